@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from plumbline.session import default_tasks
+from plumbline.session import BROADCAST_ROWS, default_tasks, rows_up_to
 
 #: A key is heavy from 1/FINE of a task's fair load.
 FINE = 8
@@ -137,6 +137,16 @@ def fragment_replicate_join(big: DataFrame, matching: DataFrame, keys: list[str]
     return left.join(right.hint("shuffle_hash"), cond).drop("_task", "_shard", "_rtask", "_rshard", *[f"_r{i}" for i in range(len(keys))])
 
 
+def sized_join(big: DataFrame, small: DataFrame, keys: list[str], spread_by: str) -> DataFrame:
+    """Inner equi-join that broadcasts ``small`` only if it is counted to be small, else fragment-replicates it.
+
+    Null keys match null keys only on the second path, so filter them out before if that matters.
+    """
+    if rows_up_to(small, BROADCAST_ROWS) <= BROADCAST_ROWS:
+        return big.join(F.broadcast(small), keys)
+    return fragment_replicate_join(big, small, keys, spread_by)
+
+
 def long_keys(points: DataFrame, fields: list[str], *others: str) -> DataFrame:
     """Unpivot key columns into ``(field_name, key_value, *others)`` in one pass; null values are kept."""
     pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).cast("bigint").alias("key_value")) for f in fields]))
