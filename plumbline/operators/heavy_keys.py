@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from plumbline.session import BROADCAST_ROWS, default_tasks, rows_up_to
+from plumbline.session import BROADCAST_ROWS, default_tasks, materialise, rows_up_to
 
 #: A key is heavy from 1/FINE of a task's fair load.
 FINE = 8
@@ -161,7 +161,7 @@ def scene_key_stats(points: DataFrame) -> DataFrame:
 
 def heavy_values(points: DataFrame, share: float = 0.04) -> DataFrame:
     """Non-null key values held by more than ``share`` of all distinct points: ``(field_name, key_value)``."""
-    stats = scene_key_stats(points)
+    stats = materialise(scene_key_stats(points), "key-stats")  # one row per key value, read twice below
     total = stats.groupBy("field_name").agg(F.sum("n_points").alias("_total"))  # every point once per field, null keys included
     return stats.join(F.broadcast(total), "field_name").filter(F.col("key_value").isNotNull() & (F.col("n_points") > share * F.col("_total"))).select("field_name", "key_value")
 
