@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import encoding, geometric, mixing, permanent, quantiles
+from plumbline.llm import encoding, geometric, mixing, neighbours, permanent, quantiles
 from plumbline.plans.catalogue import table
 from plumbline.session import materialise, new_folder
 
@@ -41,6 +41,28 @@ def p1_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbers.select()
 
 
+def _query_set(vectors: DataFrame) -> DataFrame:
+    return vectors.filter(F.col("id") % 20 == 0)
+
+
+@query("p3_found")
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.close_pairs(table(spark, sf_dir, "vector_batch")).select("id_a", "id_b")
+
+
+@query("p3_knn")
+def p3_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "vector_batch")
+    return neighbours.knn_rows(neighbours.nearest(vectors, _query_set(vectors)))
+
+
+@query("p3_recall")
+def p3_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "vector_batch")
+    found, truth = (neighbours.nearest(vectors, _query_set(vectors), exact=e) for e in (False, True))
+    return neighbours.recall(found, truth)
+
+
 _RANKED = """SELECT scope, group_key, v, row_number() OVER (PARTITION BY scope, group_key ORDER BY v) AS r, count(*) OVER (PARTITION BY scope, group_key) AS n
   FROM vals WHERE v IS NOT NULL AND isfinite(v)"""
 
