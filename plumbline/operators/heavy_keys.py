@@ -12,7 +12,7 @@ from __future__ import annotations
 import heapq
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, Row
 from pyspark.sql import functions as F
 
 from plumbline.session import BROADCAST_ROWS, default_tasks, materialise, rows_up_to
@@ -70,6 +70,18 @@ def plan_load(df: DataFrame, keys: list[str], tasks: int | None = None) -> LoadP
     counts = df.observe(seen, F.count(F.lit(1)).alias("n")).groupBy(*keys).agg(F.count(F.lit(1)).alias("_load"))
     top = counts.orderBy(F.desc("_load")).limit(tasks * FINE).collect()  # holds every key above total / (tasks * FINE)
     total = seen.get["n"]
+    return _planned(top, total, keys, tasks)
+
+
+def plan_counted(counts: DataFrame, keys: list[str], load: str, tasks: int | None = None) -> LoadPlan:
+    """The same from loads that are counted already: one row per key."""
+    tasks = tasks or default_tasks(counts.sparkSession)
+    seen = Observation()
+    top = counts.observe(seen, F.sum(load).alias("n")).select(*keys, F.col(load).alias("_load")).orderBy(F.desc("_load")).limit(tasks * FINE).collect()
+    return _planned(top, seen.get["n"] or 0, keys, tasks)
+
+
+def _planned(top: list[Row], total: int, keys: list[str], tasks: int) -> LoadPlan:
     loads = {tuple(r[k] for k in keys): r["_load"] for r in top if r["_load"] > total / (tasks * FINE)}
     return LoadPlan(tasks, total, tuple(keys), pack(loads, total, tasks))
 
@@ -89,13 +101,13 @@ def _placed(df: DataFrame, plan: LoadPlan) -> DataFrame:
 
 
 def fragment(df: DataFrame, plan: LoadPlan, spread_by: str) -> DataFrame:
-    """Move each row to the task of its shard; adds ``_shard`` and ``_task``.
+    """Move each row to the task of its shard; adds ``_shard``, ``_task`` and ``_shards``, the number of shards of its key.
 
     Equal values of ``spread_by`` with equal keys share a shard, so they can be de-duplicated there.
     """
     shard = F.when(F.col("_tasks").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(spread_by), F.size("_tasks")).cast("int"))
     task = F.when(F.col("_tasks").isNull(), F.pmod(F.hash(*plan.keys), F.lit(plan.tasks))).otherwise(F.get(F.col("_tasks"), F.col("_shard")))
-    out = _placed(df, plan).withColumn("_shard", shard).withColumn("_task", task.cast("int")).drop("_tasks")
+    out = _placed(df, plan).withColumn("_shard", shard).withColumn("_task", task.cast("int")).withColumn("_shards", F.coalesce(F.size("_tasks"), F.lit(1))).drop("_tasks")
     return out.repartitionById(plan.tasks, F.col("_task"))
 
 
@@ -134,7 +146,7 @@ def fragment_replicate_join(big: DataFrame, matching: DataFrame, keys: list[str]
     cond = (F.col("_task") == F.col("_rtask")) & (F.col("_shard") == F.col("_rshard"))
     for i, k in enumerate(keys):
         cond = cond & F.col(k).eqNullSafe(F.col(f"_r{i}"))
-    return left.join(right.hint("shuffle_hash"), cond).drop("_task", "_shard", "_rtask", "_rshard", *[f"_r{i}" for i in range(len(keys))])
+    return left.join(right.hint("shuffle_hash"), cond).drop("_task", "_shard", "_shards", "_rtask", "_rshard", *[f"_r{i}" for i in range(len(keys))])
 
 
 def sized_join(big: DataFrame, small: DataFrame, keys: list[str], spread_by: str) -> DataFrame:
