@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import encoding, geometric, mixing, neighbours, permanent, quantiles
+from plumbline.llm import diverse, encoding, geometric, mixing, neighbours, permanent, quantiles
 from plumbline.plans.catalogue import table
 from plumbline.session import materialise, new_folder
 
@@ -63,6 +63,11 @@ def p3_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.recall(found, truth)
 
 
+@query("p4_subset")
+def p4_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diverse.varied_subsets(table(spark, sf_dir, "scene_point"), table(spark, sf_dir, "lod_request"))
+
+
 _RANKED = """SELECT scope, group_key, v, row_number() OVER (PARTITION BY scope, group_key ORDER BY v) AS r, count(*) OVER (PARTITION BY scope, group_key) AS n
   FROM vals WHERE v IS NOT NULL AND isfinite(v)"""
 
