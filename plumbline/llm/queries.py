@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import diverse, encoding, geometric, mixing, neighbours, permanent, quantiles
+from plumbline.llm import diverse, encoding, geometric, mixing, neighbours, permanent, quantiles, residue
 from plumbline.plans.catalogue import table
 from plumbline.session import materialise, new_folder
 
@@ -125,3 +125,13 @@ def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted, filled = _mixture(spark, sf_dir)
     return mixing.report(filled, mixing.uses(counted, filled, SEED))
+
+
+@query("p9_found")
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.flag_residue(table(spark, sf_dir, "documents"), ["doc_id"]).filter("is_residue").select("doc_id")
+
+
+@query("p9_kept")
+def p9_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.flag_residue(table(spark, sf_dir, "documents"), ["doc_id", "source"]).filter("NOT is_residue").groupBy("source").agg(F.count(F.lit(1)).alias("n_kept"))
