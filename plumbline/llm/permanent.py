@@ -63,5 +63,6 @@ class NumberTable:
 
 def seeded_points(points: DataFrame, runs: DataFrame) -> DataFrame:
     """``(id, seed)`` of scene points under the seed of their run; points of unknown runs or runs without a seed are left out."""
-    seeds = runs.filter(F.col("run_id").isNotNull() & F.col("seed").isNotNull()).groupBy("run_id").agg(F.min("seed").alias("seed"))
+    used = points.select("run_id").distinct()
+    seeds = runs.filter(F.col("run_id").isNotNull() & F.col("seed").isNotNull()).join(used, "run_id", "left_semi").groupBy("run_id").agg(F.min("seed").alias("seed"))
     return sized_join(points.filter(F.col("run_id").isNotNull() & F.col("id").isNotNull()).select("run_id", "id"), seeds, ["run_id"], "id").select("id", "seed")
