@@ -185,7 +185,12 @@ def recall_values(results: DataFrame) -> DataFrame:
     name = clean("metric_id")
     rows = results.select("run_id", name.alias("metric"), "reported_at", F.col("detail.recall_dist").alias("v"))
     once = rows.groupBy("run_id", "metric").agg(F.min(F.struct("reported_at", "v")).alias("r"))
-    return once.select(F.lit("recall_day").alias("scope"), F.date_format("r.reported_at", "yyyy-MM-dd").alias("group_key"), F.col("r.v").alias("v"))
+    return once.select(F.lit("recall_day").alias("scope"), _utc_day("r.reported_at").alias("group_key"), F.col("r.v").alias("v"))
+
+
+def _utc_day(column: str):
+    """The UTC day as text, whatever the session's time zone."""
+    return F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.unix_seconds(F.col(column)) / 86_400).cast("int")).cast("string")
 
 
 def clean(column: str):

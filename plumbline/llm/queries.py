@@ -77,7 +77,7 @@ _RANKED = """SELECT scope, group_key, v, row_number() OVER (PARTITION BY scope,
     rf"""WITH c AS (SELECT row_id, min(struct_pack(w := written_at, m := metric_id, x := metric_value)) AS r FROM calibration_row WHERE row_id IS NOT NULL GROUP BY 1),
 t AS (SELECT run_id, lower(regexp_replace(metric_id, '^\s+|\s+$', '', 'g')) AS metric, min(struct_pack(w := reported_at, x := detail.recall_dist)) AS r FROM metric_result GROUP BY 1, 2),
 vals AS (SELECT 'metric' AS scope, lower(regexp_replace(r.m, '^\s+|\s+$', '', 'g')) AS group_key, r.x AS v FROM c
-  UNION ALL SELECT 'recall_day', strftime(r.w, '%Y-%m-%d'), r.x FROM t
+  UNION ALL SELECT 'recall_day', strftime(r.w AT TIME ZONE 'UTC', '%Y-%m-%d'), r.x FROM t
   UNION ALL SELECT 'recall_total', 'all', r.x FROM t),
 ranked AS ({_RANKED})
 SELECT scope, group_key, q, v AS value, n, 0::BIGINT AS rank_error
