@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.operators.sampling import derive_seed, first_by, keyed_hash
-from plumbline.session import hash_unit
+from plumbline.operators.sampling import derive_seed, first_by, first_by_group, keyed_hash
+from plumbline.session import hash_unit, materialise
 
 
 def cluster_sizes(n: int, clusters: int, skew: float) -> list[int]:
@@ -68,10 +68,8 @@ def apply_churn(corpus: DataFrame, fraction: float, skew: float, seed: int) -> D
         sizes = {r["cell"]: r["count"] for r in live.groupBy("cell").count().collect()}  # one row a cell
         cells = sorted(sizes)
         quota = dict(zip(cells, cluster_sizes(want, len(cells), skew)))
-        gone = None
-        for c in cells:
-            part = first_by(live.filter(F.col("cell") == c), min(quota[c], sizes[c]), u).select("id")
-            gone = part if gone is None else gone.unionByName(part)
+        table = corpus.sparkSession.createDataFrame([(c, quota[c]) for c in cells], f"cell {corpus.schema['cell'].dataType.simpleString()}, quota bigint")
+        gone = first_by_group(live, table, u, "cell").select("id")
         short = want - sum(min(quota[c], sizes[c]) for c in cells)
         if short > 0:
             gone = gone.unionByName(first_by(live.join(gone, "id", "left_anti"), short, u).select("id"))
@@ -163,4 +161,5 @@ def scenario(spark: SparkSession, name: str, rows: int | None = None) -> DataFra
             c = inject_antihubs(c, *args)
         else:
             c = skew_partitions(c, *args)
+        c = materialise(c, "scenario")
     return c

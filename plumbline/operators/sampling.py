@@ -44,6 +44,24 @@ def first_by(df: DataFrame, n: int, u: Column, id_col: str = "id") -> DataFrame:
     return below.unionByName(at_edge).drop("_u")
 
 
+def first_by_group(df: DataFrame, quotas: DataFrame, u: Column, group: str, id_col: str = "id") -> DataFrame:
+    """The rows of smallest ``u`` of each group, as many as ``quotas(group, quota)`` says, without sorting a group.
+
+    A histogram of ``u`` per group (at most BUCKETS rows each) finds the bucket in which a quota ends; only the rows of
+    that bucket are ranked. Groups without a quota give nothing.
+    """
+    bucket = F.floor(F.col("_u") * BUCKETS).cast("int")
+    with_u = df.withColumn("_u", u).filter(F.col("_u").isNotNull()).withColumn("_b", bucket)
+    hist = with_u.groupBy(group, "_b").agg(F.count(F.lit(1)).alias("_c"))
+    upto = F.sum("_c").over(Window.partitionBy(group).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0))
+    need = hist.withColumn("_end", upto).join(quotas, group).filter(F.col("_end") - F.col("_c") < F.col("quota"))
+    need = need.select(group, "_b", (F.col("quota") - F.col("_end") + F.col("_c")).alias("_need"), (F.col("_end") > F.col("quota")).alias("_edge"))
+    rows = with_u.join(need, [group, "_b"])
+    whole = rows.filter(~F.col("_edge"))
+    part = rows.filter("_edge").withColumn("_r", F.row_number().over(Window.partitionBy(group, "_b").orderBy("_u", id_col))).filter(F.col("_r") <= F.col("_need"))
+    return whole.select(*df.columns).unionByName(part.select(*df.columns))
+
+
 def sample_ids(corpus: DataFrame, n: int, seed: int, purpose: str, id_col: str = "id") -> DataFrame:
     """A sample of ``n`` rows without replacement, the same for any layout."""
     return first_by(corpus, n, keyed_hash(seed, purpose, id_col), id_col)
