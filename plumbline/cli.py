@@ -76,8 +76,9 @@ def run(argv: list[str] | None = None) -> int:
         if args.scenario not in SCENARIOS:
             raise UsageError(f"unknown scenario; known: {', '.join(SCENARIOS)}")
         rows = scenario(spark, args.scenario, args.rows)
-        opts = {"id": "id", "column": "vec", "cell": "cell", "deleted": "deleted"} if args.scenario != "capability_limited" else {"id": "id", "column": "vec"}
-        rep = run_audit(TableSource(rows, f"demo/{args.scenario}", opts), load_config(environ={}), {"nprobe": 8, "ef_budget": 64})
+        search = SCENARIOS[args.scenario][7]
+        opts = {"id": "id", "column": "vec"} | ({"cell": "cell"} if search else {}) | ({"deleted": "deleted"} if args.scenario != "capability_limited" else {})
+        rep = run_audit(TableSource(rows, f"demo/{args.scenario}", opts), load_config(environ={}), search)
         _emit(RENDER[args.format](rep), args.output)
         return EXIT[rep.verdict]
     from plumbline.sources import tables  # noqa: F401 - registers the scheme

@@ -58,7 +58,7 @@ def per_query(truth: DataFrame, returned: DataFrame, corpus: DataFrame, queries:
     full = queries.select(*keys).join(ends, keys, "left").join(per, keys, "left").fillna({"n_eff": 0, **zero})
     n = F.nullif("n_eff", F.lit(0))
     return full.select(
-        *keys, "n_eff", (F.col("hits") / n).alias("recall_id"), F.least(F.col("near") / n, F.lit(1.0)).alias("recall_dist"),
+        *keys, "n_eff", (F.col("hits") / n).alias("recall_id"), F.when(n.isNotNull(), F.least(F.col("near") / n, F.lit(1.0))).alias("recall_dist"),
         (F.col("n_returned") < F.col("n_eff")).cast("int").alias("short_return"), "n_duplicate", "n_invalid", "n_vanished", "boundary_tie",
     )
 

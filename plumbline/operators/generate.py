@@ -137,20 +137,21 @@ def skew_partitions(corpus: DataFrame, growth: float, seed: int) -> DataFrame:
     return corpus.unionByName(new.select(*corpus.columns))
 
 
-#: Named scenarios as (rows, dims, clusters, std, skew, seed, steps, expected verdict) at size small.
+#: Named scenarios as (rows, dims, clusters, std, skew, seed, steps, search, expected verdict) at size
+#: small; a search of None is exact.
 SCENARIOS = {
-    "healthy": (8_000, 16, 32, 0.15, 0.0, 101, (), "OK"),
-    "drifted": (2_000, 16, 16, 0.2, 0.3, 202, (("skew", 10, 203),), "OK"),
-    "tombstoned": (8_000, 16, 16, 0.2, 0.5, 303, (("churn", 0.35, 2.0, 304),), "FAIL"),
-    "hubby": (8_000, 64, 24, 0.1, 0.0, 404, (("hubs", 8, 4.0, 405), ("antihubs", 20, 8.0, 406)), "WARN"),
-    "capability_limited": (2_000, 16, 8, 0.2, 0.0, 505, (("churn", 0.2, 0.0, 506),), "INCONCLUSIVE"),
-    "tiny": (50, 8, 5, 0.2, 0.0, 606, (), "INCONCLUSIVE"),
+    "healthy": (8_000, 16, 32, 0.15, 0.0, 101, (), {"nprobe": 8}, "OK"),
+    "drifted": (2_000, 16, 16, 0.2, 0.3, 202, (("skew", 10, 203),), {"nprobe": 2}, "OK"),
+    "tombstoned": (8_000, 16, 16, 0.2, 0.5, 303, (("churn", 0.35, 2.0, 304),), {"nprobe": 1, "ef_budget": 8}, "FAIL"),
+    "hubby": (8_000, 64, 24, 0.1, 0.0, 404, (("hubs", 8, 4.0, 405), ("antihubs", 20, 8.0, 406)), None, "WARN"),
+    "capability_limited": (2_000, 16, 8, 0.2, 0.0, 505, (("churn", 0.2, 0.0, 506),), None, "INCONCLUSIVE"),
+    "tiny": (50, 8, 5, 0.2, 0.0, 606, (), None, "INCONCLUSIVE"),
 }
 
 
 def scenario(spark: SparkSession, name: str, rows: int | None = None) -> DataFrame:
     """The corpus of a named scenario, optionally at another number of rows."""
-    n, dim, clusters, std, skew, seed, steps, _ = SCENARIOS[name]
+    n, dim, clusters, std, skew, seed, steps, _, _ = SCENARIOS[name]
     c = generate_corpus(spark, rows or n, dim, clusters, std, skew, seed)
     for kind, *args in steps:
         if kind == "churn":

@@ -12,7 +12,7 @@ def dfi_total(corpus: DataFrame) -> DataFrame:
     """One row ``(live, dead, dfi)`` of ``corpus(deleted)``; dfi is null for an empty index. A null flag counts as live."""
     dead = F.coalesce(F.col("deleted"), F.lit(False)).cast("bigint")
     a = corpus.agg(F.coalesce(F.sum(1 - dead), F.lit(0)).alias("live"), F.coalesce(F.sum(dead), F.lit(0)).alias("dead"))
-    return a.select("live", "dead", F.least(F.col("dead") / F.nullif(F.col("live") + F.col("dead"), F.lit(0)), F.lit(1.0)).alias("dfi"))
+    return a.select("live", "dead", (F.col("dead") / F.nullif(F.col("live") + F.col("dead"), F.lit(0))).alias("dfi"))
 
 
 def dfi_by_fragment(corpus: DataFrame, fragment: str) -> DataFrame:

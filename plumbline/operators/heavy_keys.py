@@ -69,8 +69,7 @@ def plan_load(df: DataFrame, keys: list[str], tasks: int | None = None) -> LoadP
     seen = Observation()
     counts = df.observe(seen, F.count(F.lit(1)).alias("n")).groupBy(*keys).agg(F.count(F.lit(1)).alias("_load"))
     top = counts.orderBy(F.desc("_load")).limit(tasks * FINE).collect()  # holds every key above total / (tasks * FINE)
-    total = seen.get["n"]
-    return _planned(top, total, keys, tasks)
+    return _planned(top, _observed(seen, top), keys, tasks)
 
 
 def plan_counted(counts: DataFrame, keys: list[str], load: str, tasks: int | None = None) -> LoadPlan:
@@ -78,7 +77,12 @@ def plan_counted(counts: DataFrame, keys: list[str], load: str, tasks: int | Non
     tasks = tasks or default_tasks(counts.sparkSession)
     seen = Observation()
     top = counts.observe(seen, F.sum(load).alias("n")).select(*keys, F.col(load).alias("_load")).orderBy(F.desc("_load")).limit(tasks * FINE).collect()
-    return _planned(top, seen.get["n"] or 0, keys, tasks)
+    return _planned(top, _observed(seen, top), keys, tasks)
+
+
+def _observed(seen: Observation, top: list[Row]) -> int:
+    """The observed total; an empty table is optimised away together with the observation."""
+    return (seen.get["n"] or 0) if top else 0
 
 
 def _planned(top: list[Row], total: int, keys: list[str], tasks: int) -> LoadPlan:

@@ -1,0 +1,275 @@
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from plumbline.functions import vectors as V
+from plumbline.operators import generate, heavy_keys, projection, sampling, scene
+from plumbline.plans import redact, report, scene_codec
+from plumbline.sources import engines, files
+from plumbline.sources.base import Source, fetch_vectors, open_target, schemes, vector_column
+from plumbline.operators.validate import UsageError
+from plumbline.sources.tables import TableSource
+from plumbline.streaming.dfi import windowed_dfi
+
+
+def a_scene(spark, n=400):
+    rng = np.random.default_rng(1)
+    rows = [(i, *map(float, rng.uniform(-1, 1, 3)), int(i % 40 == 0), int(i % 7)) for i in range(n)]
+    return spark.createDataFrame(rows, "id bigint, x double, y double, z double, point_class int, partition_id int")
+
+
+def test_chunks_are_disjoint_and_priority_comes_first(spark, monkeypatch):
+    monkeypatch.setattr(scene, "COARSE", 30)
+    monkeypatch.setattr(scene, "REFINE", 50)
+    s = a_scene(spark)
+    assert scene.plan_chunks(400, 120) == [30, 50, 40]
+    ids = [[r["id"] for r in scene.chunk(s, 120, i).collect()] for i in range(3)]
+    assert [len(i) for i in ids] == [30, 50, 40] and len({x for i in ids for x in i}) == 120
+    assert set(range(0, 400, 40)) <= set(ids[0])
+    with pytest.raises(ValueError):
+        scene.chunk(s, 120, 3)
+
+
+def test_decimation_sizes_and_edges(spark):
+    s = a_scene(spark)
+    assert scene.decimate(s, 50).count() == 50 and scene.decimate(s, 5).count() == 5
+    assert scene.decimate(s, 1000).count() == 400 and scene.decimate(s, 0).count() == 0
+    a = {r["id"] for r in scene.decimate(s, 50).collect()}
+    assert a == {r["id"] for r in scene.decimate(s.repartition(7), 50).collect()}
+    bad = s.withColumn("x", F.lit(float("nan")))
+    assert scene.decimate(bad, 50).count() == 50
+
+
+def test_colours_cameras_and_tour(spark):
+    s = a_scene(spark)
+    values = [r["value"] for r in scene.colour_attribute(s, "partition_id")[0].collect()]
+    assert min(values) == 0 and max(values) == 1
+    assert scene.colour_attribute(s, "nk")[1]
+    flat, _ = scene.colour_attribute(s.withColumn("partition_id", F.lit(3)), "partition_id")
+    assert {r["value"] for r in flat.collect()} == {0.0}
+    p = scene.camera_presets(s)
+    assert p["overview"].available and p["hub_cluster"].available and not p["antihub_periphery"].available
+    frames = scene.tour_frames(p, fps=10)
+    assert frames[0]["preset"] == "overview" and [f["index"] for f in frames] == list(range(len(frames)))
+    assert frames[-1]["position"] == pytest.approx(p["worst_partition"].position)
+
+
+def test_projection_signs_scale_and_bounds(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 5)) * np.array([5, 3, 1, 0.1, 0.1])
+    c = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id bigint, vec array<float>")
+    p = projection.fit(c.repartition(3))
+    assert p.explained[0] > p.explained[1] > p.explained[2] and (p.basis[np.abs(p.basis).argmax(0), range(3)] > 0).all()
+    y = projection.transform(c, p).toPandas()
+    assert np.abs(y[["x", "y", "z"]].to_numpy()).max() == pytest.approx(1)
+    two = spark.createDataFrame([(0, [1.0, 2.0]), (1, [2.0, 1.0])], "id bigint, vec array<float>")
+    assert projection.fit(two).basis.shape == (2, 3)
+    with pytest.raises(ValueError):
+        projection.fit(c.limit(0))
+
+
+def test_first_by_hash_takes_exactly_n(spark):
+    ids = spark.range(1000)
+    for n in (0, 1, 10, 999, 1000, 2000):
+        got = sampling.sample_ids(ids, n, 5, "t")
+        assert got.count() == min(n, 1000)
+    a = {r["id"] for r in sampling.sample_ids(ids, 50, 5, "t").collect()}
+    assert a == {r["id"] for r in sampling.sample_ids(ids.repartition(9), 50, 5, "t").collect()}
+    assert a != {r["id"] for r in sampling.sample_ids(ids, 50, 6, "t").collect()}
+    assert sampling.derive_seed(1, "a") != sampling.derive_seed(1, "b")
+
+
+def test_degrade():
+    assert sampling.degrade(1000, 10, 200, 20_000, None) == (200, 20_000, False)
+    q, s, cut = sampling.degrade(10_000_000, 768, 200, 20_000, 300)
+    assert cut and q >= 5 and s >= 1000
+    with pytest.raises(sampling.ResourceError):
+        sampling.degrade(10**12, 768, 200, 20_000, 1)
+
+
+def test_pathologies(spark):
+    c = generate.generate_corpus(spark, 600, 8, 6, seed=3)
+    assert c.count() == 600 and sum(generate.cluster_sizes(601, 7, 1.5)) == 601
+    for skew in (0.0, 2.0):
+        assert generate.apply_churn(c, 0.35, skew, 4).filter("deleted").count() == 210
+    grown = generate.skew_partitions(c, 3.5, 5)
+    assert grown.count() > 1000 and grown.select("id").distinct().count() == grown.count()
+    far = generate.inject_antihubs(c, 4, 5.0, 6)
+    assert far.count() == 604
+    hubs = generate.inject_hubs(c, 3, 4.0, 7)
+    norms = {r["id"]: r["n"] for r in hubs.select("id", V.norm("vec").alias("n")).collect()}
+    assert max(norms[i] for i in range(6)) < 0.2 < np.median(list(norms.values()))
+    same = generate.generate_corpus(spark, 600, 8, 6, seed=3).repartition(5)
+    assert same.exceptAll(c).count() == 0
+
+
+# --- skewed keys -----------------------------------------------------------------------------------------------------
+
+
+def test_heavy_keys_are_cut_and_packed():
+    shards = heavy_keys.pack({("a",): 600, ("b",): 100}, 1000, 8)
+    assert len(shards[("a",)]) == 10 and len(set(shards[("a",)])) == 8
+    assert heavy_keys.pack({}, 0, 4) == {}
+
+
+def test_key_stats_with_a_hot_key_nulls_and_repeats(spark):
+    rows = [(1, i, float(i % 5)) for i in range(700)] + [(None, 2000 + i, None) for i in range(200)] + [(k, 5000 + k, float("nan")) for k in range(2, 50)]
+    df = spark.createDataFrame([*rows, *rows[:50], (1, None, 9.0)], "k int, id bigint, v float").withColumn("_shard_other", F.lit(1))
+    got = {r["k"]: (r["n_points"], r["value_avg"]) for r in heavy_keys.key_stats(df, ["k"], "id", "v").collect()}
+    assert got[1] == (700, 2.0) and got[None] == (200, None) and got[2] == (1, None) and len(got) == 50
+    plan = heavy_keys.plan_load(df.filter("id IS NOT NULL"), ["k"], 8)
+    assert plan.most_shards > 2
+    placed = heavy_keys.fragment(df, plan, "id").groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in placed) < 0.4 * df.count()
+    assert heavy_keys.key_stats(df.limit(0), ["k"], "id", "v").count() == 0
+
+
+def test_replicated_join_equals_a_plain_one(spark):
+    big = spark.createDataFrame([(1 if i % 3 else i, i) for i in range(3000)], "k bigint, id bigint")
+    small = spark.createDataFrame([(k, k * 10) for k in range(500)], "k bigint, w bigint")
+    want = big.join(small, "k")
+    got = heavy_keys.fragment_replicate_join(big, small, ["k"], "id").select(*want.columns)
+    assert got.exceptAll(want).count() == 0 and got.count() == want.count()
+
+
+def test_found_values_need_more_than_the_share(spark):
+    pts = spark.createDataFrame([(i, 7 if i < 50 else 1000 + i, None, 1.0) for i in range(1000)], "id bigint, partition_id int, nk int, dist_centroid float")
+    assert [tuple(r) for r in heavy_keys.heavy_values(pts).collect()] == [("partition_id", 7)]
+    assert heavy_keys.heavy_values(pts.limit(0)).count() == 0
+
+
+# --- edges of the system ---------------------------------------------------------------------------------------------
+
+
+def test_redaction(spark):
+    samples = ["postgres://bob:s3cr:t@host/db", "https://x/?api_key=abcdef&y=1", "password = hunter22", "Authorization: Bearer abc.def", "token ghp_abcdefghijkl"]
+    for s in samples:
+        assert redact.leaks(s) and "REDACTED" in redact.redact(s) and not redact.leaks(redact.redact(s)), s
+        assert spark.range(1).select(redact.redact_column(F.lit(s))).first()[0] == redact.redact(s)
+    assert redact.redact("file:///data/x.parquet") == "file:///data/x.parquet"
+
+
+def a_report(**kw):
+    m = (report.Metric("canary_recall", "OK", 0.91234567, thresholds={"warn": 0.85, "fail": 0.7}), report.Metric("dfi", "UNAVAILABLE", unavailable_reason="deleted_counts_unavailable"), report.Metric("partition_size_cv", "DISABLED"))
+    return report.Report({"engine": "table", "index_name": "i", "metric_space": "L2", "location": "x"}, {"duration_seconds": 1.5, "started_at": "2024-01-01T00:00:00+00:00"}, {"live": 5, "deleted": None}, m, "INCONCLUSIVE", ("w",), **kw)
+
+
+def test_reports_round_trip_and_render():
+    text = report.to_json(a_report())
+    assert text.endswith("}\n") and '"value": 0.912346' in text and report.to_json(report.from_json(text)) == text
+    prom = report.to_prometheus(a_report())
+    assert "plumbline_audit_verdict{" in prom and prom.count("# TYPE plumbline_metric_state") == 1 and "plumbline_dfi{" not in prom and "vectors_deleted" not in prom
+    assert "| dfi | n/a | UNAVAILABLE |" in report.to_markdown(a_report())
+    assert "\x1b[" not in report.to_text(a_report(), colour=False)
+    assert a_report().compare(a_report())["metrics"]["canary_recall"] == 0
+    with pytest.raises(report.ReportError):
+        report.from_json(text.replace('"verdict"', '"other"'))
+    with pytest.raises(report.ReportError):
+        report.Metric("x", "OK")
+    with pytest.raises(report.ReportError):
+        report.Report({"location": "postgres://a:b@c/d"}, {}, {}, (), "OK")
+    assert report.json_schema()["properties"]["verdict"]
+
+
+def test_scene_codec(spark):
+    cols = scene_codec.arrays(a_scene(spark, 37).withColumn("partition_id", F.when(F.col("id") > 3, F.col("partition_id"))))
+    data = scene_codec.encode(cols, {"lod": 1})
+    back, meta = scene_codec.decode(data)
+    assert meta == {"lod": 1} and all((back[c] == cols[c]).all() for c in cols) and back["partition_id"][0] == -1
+    for cut in (0, 3, 20, len(data) - 9):
+        with pytest.raises(scene_codec.CodecError):
+            scene_codec.decode(data[:cut])
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.binary(max_size=80))
+def test_damaged_scenes_raise_only_codec_errors(data):
+    with pytest.raises(scene_codec.CodecError):
+        scene_codec.decode(data)
+
+
+def test_sources(spark, tmp_path):
+    rows = spark.createDataFrame([(1, [1.0, 0.0], 0, False), (2, [0.0, 1.0], 1, True), (3, [1.0, 1.0], 1, False)], "id bigint, emb array<float>, cell bigint, gone boolean")
+    rows.write.parquet(str(tmp_path / "t"))
+    (tmp_path / "t" / "index.json").write_text('{"engine": "e", "kind": "IVF", "name": "n"}')
+    src = open_target(spark, f"parquet://{tmp_path}/t?cell=cell&deleted=gone&metric=L2")
+    assert isinstance(src, Source) and src.descriptor().index_kind == "IVF" and src.counts()["deleted"] == 1
+    q = spark.createDataFrame([(9, [0.9, 0.9])], "qid bigint, vec array<float>")
+    assert src.search(q, 2, {"nprobe": 2}).orderBy("rank").first()["id"] == 3
+    assert fetch_vectors(src.corpus(), spark.createDataFrame([(1,)], "id bigint")).count() == 1
+    with pytest.raises(UsageError):
+        fetch_vectors(src.corpus(), spark.createDataFrame([(99,)], "id bigint"))
+    with pytest.raises(UsageError, match="candidates"):
+        vector_column(rows.withColumn("other", F.col("emb")).schema)
+    with pytest.raises(UsageError) as e:
+        open_target(spark, "nosuch://u:secretpw@h/x")
+    assert "secretpw" not in str(e.value) and "parquet" in schemes()
+    with pytest.raises(UsageError):
+        TableSource(rows, "x", {"metric": "HAMMING"})
+
+
+def test_engine_addresses():
+    t = engines.parse_sql_target("postgres://u:p%40ss@h:5433/db?table=s.items&vector=emb")
+    assert (t.port, t.schema, t.table, t.password) == (5433, "s", "items", "p@ss")
+    o = engines.jdbc_options(t, 0, 100)
+    assert o["partitionColumn"] == "id" and "read_only" in o["sessionInitStatement"]
+    assert engines.quote_ident('a"b') == '"a""b"' and engines.dimension_of_type("vector(768)") == 768 and engines.dimension_of_type("vector") is None
+    assert engines.metric_of_opclass("vector_cosine_ops") == "COSINE" and engines.kind_of_access_method("hnsw") == "HNSW"
+    assert engines.plan_uses_index([{"Plan": {"Node Type": "Limit", "Plans": [{"Node Type": "Index Scan"}]}}]) and not engines.plan_uses_index([{"Plan": {"Node Type": "Seq Scan"}}])
+    assert engines.deleted_in_telemetry({"a": [{"num_deleted_vectors": 2}, {"b": {"num_deleted_vectors": 3}}]}) == 5 and engines.deleted_in_telemetry({}) is None
+    h = engines.parse_http_target("qdrant://host:6333/c?vector=v")
+    assert (h.mode, h.collection, h.vector_name) == ("remote", "c", "v") and engines.parse_http_target("qdrant://:memory:/c").mode == "memory"
+    assert engines.version_in_range("0.12.3", "0.11", "12.0") and not engines.version_in_range("0.10", "0.11", "12.0")
+    for bad in ("postgres://h/db", "postgres:///db?table=t"):
+        with pytest.raises(UsageError):
+            engines.parse_sql_target(bad)
+
+
+def test_vector_files(spark, tmp_path):
+    x = np.arange(12, dtype=np.float32).reshape(3, 4)
+    (tmp_path / "a.fvecs").write_bytes(files.fvecs_bytes(x))
+    assert [r["vec"] for r in files.read_fvecs(spark, str(tmp_path / "a.fvecs")).orderBy("id").collect()] == x.tolist()
+    (tmp_path / "g.txt").write_text("hello 1 2.5\nworld -1 0\nheader\n")
+    assert {r["token"]: r["vec"] for r in files.read_word_vectors(spark, str(tmp_path / "g.txt")).collect()} == {"hello": [1.0, 2.5], "world": [-1.0, 0.0]}
+    np.save(tmp_path / "m.npy", x)
+    assert files.read_npy(spark, str(tmp_path / "m.npy")).count() == 3
+    (tmp_path / "b.fvecs").write_bytes(files.fvecs_bytes(x)[:-4])
+    with pytest.raises(Exception, match="fvecs"):
+        files.read_fvecs(spark, str(tmp_path / "b.fvecs")).collect()
+
+
+def test_streaming_equals_batch(spark, tmp_path):
+    rows = spark.createDataFrame([("2024-01-01 00:10:00", "insert"), ("2024-01-01 00:20:00", "delete"), ("2024-01-01 02:00:00", "insert"), ("2024-01-01 02:10:00", "move")], "t string, op string").select(F.to_timestamp("t").alias("ts"), "op")
+    rows.write.parquet(str(tmp_path / "in"))
+    q = windowed_dfi(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName("dfi").outputMode("complete").start()
+    q.processAllAvailable()
+    q.stop()
+    want = {tuple(r) for r in windowed_dfi(rows).collect()}
+    assert {tuple(r) for r in spark.table("dfi").collect()} == want and len(want) == 2
+
+
+def test_colour_contrast(spark):
+    c = spark.range(1).select(V.contrast_ratio(F.lit("#000000"), F.lit("#ffffff"))).first()[0]
+    assert c == pytest.approx(21.0)
+    assert spark.range(1).select(V.lerp(F.lit(1.0), F.lit(3.0), V.smoothstep(F.lit(0.5)))).first()[0] == 2.0
+
+
+def test_sources_and_core_never_write():
+    import ast
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[1] / "plumbline"
+    for f in [*(root / "sources").glob("*.py"), *(root / "functions").glob("*.py")]:
+        names = {n.attr for n in ast.walk(ast.parse(f.read_text())) if isinstance(n, ast.Attribute)}
+        assert not names & {"write", "writeTo", "saveAsTable", "insertInto"}, f
+
+
+def test_nothing_outside_imports_the_llm_subpackage():
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[1]
+    for f in (root / "plumbline").rglob("*.py"):
+        if "llm" not in f.relative_to(root / "plumbline").parts:
+            assert "plumbline.llm" not in f.read_text(), f
