@@ -65,6 +65,17 @@ def _automaton() -> ahocorasick.Automaton:
     return auto
 
 
+@cache
+def _deciding() -> ahocorasick.Automaton:
+    """The phrases without which nothing is a notice: a quick look at a passage saves most of the work."""
+    auto = ahocorasick.Automaton()
+    for kind in ("error", "failure", "unable", "script", "scripts", "filler", "write"):
+        for phrase in _listed(W.PHRASES[kind]):
+            auto.add_word(phrase, True)
+    auto.make_automaton()
+    return auto
+
+
 @cache
 def _talk() -> re.Pattern:
     words = sorted(_listed(W.TALKS_OF_TEMPLATES), key=len, reverse=True)
@@ -80,6 +91,7 @@ _OF = {
 }
 _FUNCTION = frozenset(W.FUNCTION_WORDS.split())
 _KEYS = re.compile("(?:" + "|".join(re.escape(k) for k in sorted(W.KEY_RUNS.split(), key=len, reverse=True)) + ")+;?")
+_KEY_STARTS = frozenset(k[:3] for k in W.KEY_RUNS.split())
 _LATIN = tuple(sorted(W.LATIN_ENDINGS.split(), key=len, reverse=True))
 
 
@@ -92,6 +104,8 @@ def plain(text: str) -> str:
 
 def unfilled(text: str) -> bool:
     """Whether a value of a template was left unfilled in running text."""
+    if not _SLOT.search(text):
+        return False
     for sentence in _TALK_GAP.split(text):
         if _SLOT.search(_QUOTED.sub(" ", sentence)) and not _talk().search(sentence.lower()):
             rest = _SLOT.sub(" ", sentence)
@@ -148,9 +162,9 @@ def _notice(sentence: str) -> tuple[int, float, bool]:
 def _shaped(words: list[str]) -> bool:
     """Made-up Latin, keyboard runs or a few words over and over."""
     n = len(words)
-    if n >= 3 and sum(bool(_KEYS.fullmatch(w)) for w in words) >= 0.6 * n:
+    if n >= 3 and sum(w[:3] in _KEY_STARTS for w in words) >= 0.6 * n and sum(bool(_KEYS.fullmatch(w)) for w in words) >= 0.6 * n:
         return True
-    if n >= 4 and len(set(words)) <= max(1, n // 4) and len(words[0]) > 1:
+    if n >= 4 and len(set(words)) <= min(3, max(1, n // 4)) and len(words[0]) > 1:
         return True
     if n == 3 and len(set(words)) == 1 and len(words[0]) > 3:
         return True
@@ -169,7 +183,16 @@ def residue_passage(passage: str) -> bool:
     if _shaped(re.findall(r"[^\W_]+;?", _QUOTED.sub(" ", text))):
         return True
     total = notices = extra = 0
-    for sentence in _SPLIT.split(_QUOTED.sub(lambda m: " ␟" + "q" * len(m.group()) + " ", text)):
+    text = _QUOTED.sub(lambda m: " ␟" + "q" * len(m.group()) + " ", text)
+    if next(_deciding().iter(text), None) is None:
+        # only the shape of sentences is left to make it residue
+        sentences = _SPLIT.split(text)
+        found = [_shaped(re.findall(r"[^\W_]+;?", x)) for x in sentences]
+        if not any(found):
+            return False
+        sizes = [sum(b - a for a, b in _content(x)) for x in sentences]
+        return sum(n for n, f in zip(sizes, found) if f) >= PASSAGE_COVER * sum(sizes)
+    for sentence in _SPLIT.split(text):
         n, share, is_notice = _notice(sentence)
         total += n
         if is_notice or (n and _shaped(re.findall(r"[^\W_]+;?", sentence))):
