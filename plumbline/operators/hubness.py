@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.vectors import norm
+from plumbline.operators.order_stats import quantiles
 from plumbline.operators.verdict import evaluate
 
 MIN_SAMPLE = 1000
@@ -104,6 +105,6 @@ def duplicate_vectors(corpus: DataFrame) -> DataFrame:
 
 
 def norm_ratio(corpus: DataFrame) -> DataFrame:
-    """One row ``(norm_p99_ratio)``: 99th percentile of the norms over their median, 1 if the median is 0."""
-    p = corpus.agg(F.percentile(norm("vec"), F.array(F.lit(0.99), F.lit(0.5))).alias("p"))
-    return p.select(F.when(F.col("p")[1] > 0, F.col("p")[0] / F.col("p")[1]).otherwise(F.lit(1.0)).alias("norm_p99_ratio"))
+    """One row ``(norm_p99_ratio)``: 99th percentile of the norms over their median, 1 if the median is 0 or there is none."""
+    p99, median = quantiles(corpus, norm("vec"), [0.99, 0.5])
+    return corpus.sparkSession.createDataFrame([(p99 / median if median else 1.0,)], "norm_p99_ratio double")
