@@ -68,6 +68,13 @@ def water_fill(sources: list[Filled], total: float) -> list[Filled]:
             s.clamped_round, s.given = turn, float(s.most)
 
 
+def once_each(counted: DataFrame) -> DataFrame:
+    """``counted(doc_id, source_key, n_tokens)`` with each doc_id once (its smallest row if they differ); rows without a
+    doc_id are left out, since nothing could say how often they were used."""
+    one = counted.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct("source_key", "n_tokens")).alias("r"))
+    return one.select("doc_id", "r.source_key", "r.n_tokens")
+
+
 def source_tokens(counted: DataFrame) -> DataFrame:
     """``(source_key, own_tokens, own_documents)`` of ``counted(doc_id, source_key, n_tokens)``, pre-aggregated before the shuffle."""
     return counted.groupBy("source_key").agg(F.sum("n_tokens").alias("own_tokens"), F.count(F.lit(1)).alias("own_documents"))
@@ -100,7 +107,7 @@ def fill(counted: DataFrame, targets: DataFrame, total: float | None = None) ->
 def uses(counted: DataFrame, filled: list[Filled], seed: int) -> DataFrame:
     """``(doc_id, source_key, n_tokens, uses)`` of the documents used at least once, none more often than its source's cap."""
     plan = counted.sparkSession.createDataFrame([(s.key, s.epochs) for s in filled], "source_key string, epochs double")
-    drawn = (hash_unit(F.lit(seed), F.coalesce(F.col("doc_id"), F.lit(-1))) < F.col("epochs") - F.floor("epochs")).cast("int")
+    drawn = (hash_unit(F.lit(seed), F.col("doc_id")) < F.col("epochs") - F.floor("epochs")).cast("int")
     with_uses = counted.join(F.broadcast(plan), "source_key").withColumn("uses", (F.floor("epochs") + drawn).cast("int"))
     return with_uses.filter("uses > 0").select("doc_id", "source_key", "n_tokens", "uses")
 

@@ -14,6 +14,8 @@ from plumbline.session import materialise, new_folder
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 SEED = 1337
+#: Different sample sizes that may be asked for at once.
+MAX_REQUESTS = 10_000
 
 
 def query(name: str, sql: str | None = None):
@@ -93,7 +95,9 @@ def p5_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("p6_sample")
 def p6_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     results = table(spark, sf_dir, "metric_result").filter(quantiles.clean("metric_id") == "canary_recall")
-    wanted = [r[0] for r in results.select("sampling.queries").distinct().limit(10_000).collect()]  # distinct sizes of requests
+    wanted = [r[0] for r in results.select("sampling.queries").distinct().limit(MAX_REQUESTS + 1).collect()]
+    if len(wanted) > MAX_REQUESTS:
+        raise ValueError(f"more than {MAX_REQUESTS} different sample sizes")
     return geometric.fixed_size_samples(table(spark, sf_dir, "vector_batch"), wanted, SEED)
 
 
@@ -105,7 +109,7 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _mixture(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[mixing.Filled]]:
     targets = table(spark, sf_dir, "mix_target")
     listed = mixing.listed_documents(table(spark, sf_dir, "documents"), targets)
-    counted = materialise(encoding.count_tokens(listed, encoding.vocabulary(), ["doc_id", "source_key"]), "tokens")
+    counted = materialise(mixing.once_each(encoding.count_tokens(listed, encoding.vocabulary(), ["doc_id", "source_key"])), "tokens")
     return counted, mixing.fill(counted, targets)
 
 

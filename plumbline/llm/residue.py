@@ -30,6 +30,8 @@ _HIDDEN = re.compile("[​-‏ -‮⁠-⁤﻿­]")
 _TAG = re.compile(r"</?(?:html|head|title|body|h[1-6]|hr|p|div|span|br|noscript|center|b|i|a|ul|ol|li|details|summary|pre|code|script|style|meta|link|table|tr|td|th)\b[^<>]*>", re.I)
 _LOG = re.compile(r"^\s*\S{6,30}\s+(?:TRACE|DEBUG|INFO|WARN|WARNING|ERROR|FATAL)\b")
 _CHAT = re.compile(r"^\s*\[\d{1,2}:\d\d(?::\d\d)?\]\s*[\w.-]+:\s*")
+_TRACE = re.compile(r"^\s*(?:at\s+[\w.$<>]+\s*\(.*\)|File \".*\", line \d+.*|Traceback \(most recent call last\):)\s*$")
+_JSON = re.compile(r"^\s*[{\[].*[}\]]\s*$", re.S)
 _BULLET = re.compile(r"^\s*(?:[-*•]\s+|\d{1,3}[.)]\s+|\d{1,2}:\d\d\s+|#+\s+)")
 _QUOTED = re.compile(r"\"[^\"\n]{2,200}\"|“[^”\n]{2,200}”|„[^“”„\n]{2,200}[“”„]|«\s[^»\n]{2,200}\s»|»[^«\n]{2,200}«|「[^」\n]{2,200}」|『[^』\n]{2,200}』|“[^”\n]{2,200}”")
 _URL = re.compile(r"https?://\S+|www\.\S+")
@@ -154,8 +156,8 @@ def _notice(sentence: str) -> tuple[int, float, bool]:
                 covered[a:b] = b"\1" * (b - a)
         share = sum(sum(covered[a:b]) for a, b in spans) / total
         best = max(best, share)
-        speaks = alone in kinds or (sort == "error" and "failure" in kinds and _STATUS.search(sentence))
-        notice |= bool(speaks and share >= SENTENCE_COVER or one in kinds and other in kinds and share >= COMBINED_COVER)
+        together = one in kinds and other in kinds or (sort == "error" and "failure" in kinds and _STATUS.search(sentence))
+        notice |= bool(alone in kinds and share >= SENTENCE_COVER or together and share >= COMBINED_COVER)
     return total, best, notice
 
 
@@ -177,8 +179,10 @@ def _shaped(words: list[str]) -> bool:
 
 def residue_passage(passage: str) -> bool:
     """Whether a passage stands in place of content."""
-    lines = [x for x in passage.split("\n") if not x.lstrip().startswith((">", "|")) and not _LOG.match(x) and not _CHAT.match(x)]
+    lines = [x for x in passage.split("\n") if not x.lstrip().startswith((">", "|")) and not _LOG.match(x) and not _CHAT.match(x) and not _TRACE.match(x)]
     text = "\n".join(_BULLET.sub("", x) for x in lines)
+    if _JSON.match(text):
+        text = re.sub(r"[{}\[\]\":,]+", " ", text)  # the body of an answer: its strings are no quotations
     text = _URL.sub(" ", text).lower()
     if _shaped(re.findall(r"[^\W_]+;?", _QUOTED.sub(" ", text))):
         return True

@@ -8,26 +8,26 @@ three sorts) but decide nothing.
 
 PHRASES = {
     "error": """
-access denied | permission denied | not authorized | unauthorized | forbidden | you do not have permission | you don't have permission
+access denied | access forbidden | permission denied | not authorized | unauthorized | forbidden | you do not have permission | you don't have permission
 page not found | file not found | not found | no longer exists | no longer available | is unavailable | has been moved or deleted | gone | does not exist
 service unavailable | service temporarily unavailable | temporarily unavailable | currently unavailable | is not available
 internal server error | bad gateway | bad request | gateway timeout | gateway time-out | request timeout | request timed out | too many requests
 upstream request timeout | connection refused | connection timed out | connection reset | dns lookup | could not be resolved | this site can't be reached
-something went wrong | unexpected error | an error occurred | an error has occurred | application error | server error | fatal error
+something went wrong | unexpected error | unknown error | network error | failed to fetch | an error occurred | an error has occurred | application error | server error | fatal error
 session has ended | session has expired | session expired | session timed out | your session | link has expired | rate limit exceeded
 under maintenance | scheduled maintenance | down for maintenance | be back soon | be right back
 zugriff verweigert | kein zugriff | keine berechtigung | nicht gefunden | seite nicht gefunden | existiert nicht mehr | dienst nicht verfügbar | nicht erreichbar | derzeit nicht verfügbar
-vorübergehend nicht verfügbar | unerwarteter fehler | interner serverfehler | ein fehler aufgetreten | etwas ist schiefgelaufen | wartungsarbeiten | sitzung ist abgelaufen | zu viele anfragen | zeitüberschreitung
-accès refusé | accès interdit | introuvable | page introuvable | n'existe pas | n'existe plus | indisponible | momentanément indisponible | erreur inattendue | une erreur est survenue | erreur interne
+vorübergehend nicht verfügbar | unerwarteter fehler | unbekannter fehler | serverfehler | interner serverfehler | ein fehler aufgetreten | etwas ist schiefgelaufen | wartungsarbeiten | sitzung ist abgelaufen | zu viele anfragen | zeitüberschreitung
+accès refusé | accès interdit | introuvable | page introuvable | n'existe pas | n'existe plus | indisponible | momentanément indisponible | erreur inattendue | erreur inconnue | une erreur est survenue | erreur interne
 erreur du serveur | en maintenance | maintenance en cours | session a expiré | session expirée | trop de requêtes | délai dépassé | une erreur s'est produite
 acceso denegado | acceso prohibido | no se encontró la página | página no encontrada | no se ha encontrado | no encontrada | no existe | servicio no disponible | no está disponible | temporalmente no disponible
-error inesperado | error interno | se ha producido un error | se produjo un error | algo salió mal | en mantenimiento | mantenimiento programado | sesión ha caducado | sesión ha expirado | demasiadas solicitudes | tiempo de espera agotado
-acesso negado | acesso proibido | página não encontrada | não foi encontrada | não foi encontrado | não existe | serviço indisponível | indisponível | temporariamente indisponível | erro inesperado | erro interno
+error inesperado | error desconocido | error del servidor | error interno | se ha producido un error | se produjo un error | algo salió mal | en mantenimiento | mantenimiento programado | sesión ha caducado | sesión ha expirado | demasiadas solicitudes | tiempo de espera agotado
+acesso negado | acesso proibido | página não encontrada | não foi encontrada | não foi encontrado | não existe | serviço indisponível | indisponível | temporariamente indisponível | erro inesperado | erro desconhecido | erro do servidor | erro interno
 ocorreu um erro | algo deu errado | em manutenção | sessão expirou | sessão expirada | muitas solicitações | tempo esgotado
 доступ запрещён | доступ запрещен | отказано в доступе | страница не найдена | не найдена | не найдено | не существует | сервис недоступен | служба недоступна | временно недоступен | временно недоступна | недоступна
-произошла ошибка | непредвиденная ошибка | внутренняя ошибка | что-то пошло не так | технические работы | ведутся работы | сеанс истёк | сеанс истек | сессия истекла | слишком много запросов | время ожидания истекло
-アクセスが拒否されました | アクセスできません | 見つかりません | 見つかりませんでした | 存在しません | 利用できません | ご利用いただけません | エラーが発生しました | 予期しないエラー | 問題が発生しました | メンテナンス中 | セッションの有効期限 | タイムアウトしました | 権限がありません
-访问被拒绝 | 拒绝访问 | 没有权限 | 无权访问 | 页面不存在 | 页面未找到 | 找不到页面 | 未找到 | 不存在 | 服务不可用 | 暂时不可用 | 暂时无法访问 | 无法访问 | 发生错误 | 出现错误 | 意外错误 | 出错了 | 服务器错误 | 系统维护 | 维护中 | 会话已过期 | 请求过多 | 请求超时 | 稍后再试 | 稍后重试
+произошла ошибка | непредвиденная ошибка | внутренняя ошибка | что-то пошло не так | неизвестная ошибка | ошибка сервера | нет доступа | технические работы | ведутся работы | сеанс истёк | сеанс истек | сессия истекла | слишком много запросов | время ожидания истекло
+アクセスが拒否されました | アクセスできません | 見つかりません | 見つかりませんでした | 存在しません | 利用できません | ご利用いただけません | エラーが発生しました | 予期しないエラー | 不明なエラー | サーバーエラー | 問題が発生しました | メンテナンス中 | セッションの有効期限 | タイムアウトしました | 権限がありません
+访问被拒绝 | 拒绝访问 | 没有权限 | 无权访问 | 页面不存在 | 页面未找到 | 找不到页面 | 未找到 | 不存在 | 服务不可用 | 暂时不可用 | 暂时无法访问 | 无法访问 | 发生错误 | 发生未知错误 | 未知错误 | 系统错误 | 加载失败 | 网络错误 | 出现错误 | 意外错误 | 出错了 | 服务器错误 | 系统维护 | 维护中 | 会话已过期 | 请求过多 | 请求超时 | 稍后再试 | 稍后重试
 """,
     "failure": """
 error | fehler | erreur | erro | ошибка | エラー | 错误 | http
@@ -36,7 +36,7 @@ error | fehler | erreur | erro | ошибка | エラー | 错误 | http
 unable to | could not | couldn't | cannot | can't | can not | was not possible to | is not possible to | not able to | failed to
 """,
     "access": """
-show | fetch | open | find | reach | load | display | retrieve | connect | view | page | document | workspace | file | scene | run | report | request | shown
+find what you were looking for | connect to the | show | fetch | open | find | reach | load | display | retrieve | connect | view | page | document | workspace | file | scene | run | report | request | shown
 """,
     "script": """
 javascript is disabled | javascript is required | javascript required | requires javascript | javascript must be enabled | scripts are blocked | scripts are disabled | scripts must be | only with javascript | without javascript
@@ -72,10 +72,10 @@ add | put | paste | drop | write | insert | type | enter | place | describe | fi
 here | in this box | in this field | in this space | in this section | in this area | below this line
 """,
     "around_error": """
-sorry | oops | please | page | pages | requested | asked for | you asked for | document | file | scene | report | reports | workspace | server | portal | site | website | service | app | application | viewer | panel | right now | did not answer | in time | at this time | at the moment | followed | old link | link | links | check | address | url | reload | refresh | try again | later | go back | back | overview | home | homepage | ask | owner | access | permission | permissions | view | contact | administrator | support | help desk | code | reference | request | id | ref | keeps happening | happening | tell | ticket | opened | rendering | slow down | seconds | minutes | sign in | log in | again | go on | continue | expired | moved | on our side | side | failed | timeout | time out | edge | apache | nginx | available | answer | error | problem | may | show | shown | see | load | open | find | reach | fetch | run | display | lookup | address failed | down | maintenance
+sorry | oops | please | what | looking for | looking | moved | removed | deleted | typed | mistyped | database | message | status | connect | connection | host | gateway | proxy | wrong | happened | reason | details | id | page | pages | requested | asked for | you asked for | document | file | scene | report | reports | workspace | server | portal | site | website | service | app | application | viewer | panel | right now | did not answer | in time | at this time | at the moment | followed | old link | link | links | check | address | url | reload | refresh | try again | later | go back | back | overview | home | homepage | ask | owner | access | permission | permissions | view | contact | administrator | support | help desk | code | reference | request | id | ref | keeps happening | happening | tell | ticket | opened | rendering | slow down | seconds | minutes | sign in | log in | again | go on | continue | expired | moved | on our side | side | failed | timeout | time out | edge | apache | nginx | available | answer | error | problem | may | show | shown | see | load | open | find | reach | fetch | run | display | lookup | address failed | down | maintenance
 """,
     "around_script": """
-browser | browsers | page | report | reports | scene | viewer | panel | app | application | site | reload | refresh | refresh this tab | tab | see | view | show | shown | open | run | continue | go on | again | later | please | settings | experience | best | cookies | newer | use | another | different | blocker | ad blocker | detected | we've detected | switch off | almost there | before | checking | features | support | needed | opens | without it | active | modern | extension | preferences | tool | probe | the rest | interactive
+browser | browsers | nothing happens | if nothing | loading | loads | load | content | properly | correctly | website | work | works | function | functionality | page | report | reports | scene | viewer | panel | app | application | site | reload | refresh | refresh this tab | tab | see | view | show | shown | open | run | continue | go on | again | later | please | settings | experience | best | cookies | newer | use | another | different | blocker | ad blocker | detected | we've detected | switch off | almost there | before | checking | features | support | needed | opens | without it | active | modern | extension | preferences | tool | probe | the rest | interactive
 """,
     "around_filler": """
 short | summary | intro | introduction | main text | text | paragraph | outcome | finding | findings | cause | two | three | lines | sentences | sentence | words | publish | keep it short | keep | heading | title | goes | content | section | box | copy | release | body | caption | description
@@ -85,7 +85,7 @@ bitte | melden | nochmals | noch einmal | anmelden | neu an | seite | angeforder
 veuillez | reconnecter | connecter | à nouveau | encore | page | demandée | demandé | document | fichier | plus tard | réessayez | réessayer | recharger | rechargez | retour | adresse | vérifiez | réf | référence | service | serveur | navigateur | afficher | cette page | application | bloque | paramètres | remplacer | résumé | texte | votre | ici | contenu | erreur | scripts | javascript | connexion
 inicie | inicia | sesión | de nuevo | otra vez | nuevo | página | solicitada | solicitado | documento | archivo | más tarde | inténtelo | intente | vuelva | recargue | dirección | compruebe | referencia | servicio | servidor | navegador | aplicación | ver | esta página | configuración | bloqueados | texto | aquí | resumen | escriba | contenido | error | scripts | javascript
 entre | novamente | outra vez | de novo | página | pedida | solicitada | solicitado | documento | arquivo | ficheiro | mais tarde | tente | recarregue | endereço | verifique | referência | serviço | servidor | navegador | aplicação | aplicativo | ver | esta página | configurações | texto | aqui | resumo | conteúdo | erro | scripts | javascript | seu
-войдите | снова | ещё раз | еще раз | страница | страницу | запрошенная | документ | файл | позже | попробуйте | повторите | обновите | адрес | проверьте | код | ссылка | сервис | сервер | браузер | браузере | браузера | увидеть | просмотреть | просмотра | эту | приложение | настройках | текст | здесь | скоро | содержание | ошибка | скрипты | сценарии | javascript | чтобы | этой | для просмотра
+для работы | приложения | сайта | работы | неизвестно | войдите | снова | ещё раз | еще раз | страница | страницу | запрошенная | документ | файл | позже | попробуйте | повторите | обновите | адрес | проверьте | код | ссылка | сервис | сервер | браузер | браузере | браузера | увидеть | просмотреть | просмотра | эту | приложение | настройках | текст | здесь | скоро | содержание | ошибка | скрипты | сценарии | javascript | чтобы | этой | для просмотра
 このページを表示するには | 表示する | 表示でき | ページ | お探しの | 要求された | ファイル | 文書 | しばらくして | もう一度 | お試しください | 再度 | ログイン | してください | ただいま | 現在 | サーバー | サービス | ブラウザ | ブラウザー | 設定 | アプリ | アプリケーション | これは | です | ここに | 本文 | 入ります | スクリプト | javascript | になっています | エラー | このアプリ
 您的浏览器 | 浏览器 | 您访问的 | 请求的 | 页面 | 文件 | 文档 | 无法显示内容 | 无法显示 | 内容 | 查看 | 请 | 重新登录 | 登录 | 刷新 | 返回 | 首页 | 服务器 | 服务 | 设置 | 应用 | 需要 | 此 | 本 | 才能 | 这里是 | 正文 | 文字 | 脚本 | javascript | 抱歉 | 很抱歉 | 错误 | 暂时 | 参考 | 编号 | 以 | 后
 """,

@@ -64,6 +64,7 @@ def test_mixture_keeps_caps_and_reports_shares(spark):
     targets = spark.createDataFrame([("A", 0.8, 1), ("b", 0.2, 3), ("ghost", 0.0, 1), (None, 0.5, 1), ("nul", None, None)], "source string, target_share double, max_uses int")
     counted = E.count_tokens(M.listed_documents(docs, targets), E.vocabulary(), ["doc_id", "source_key"])
     filled = M.fill(counted, targets)
+    assert M.once_each(counted.unionByName(counted)).exceptAll(counted).count() == 0 and M.once_each(counted.unionByName(counted)).count() == counted.count()
     used = M.uses(counted, filled, 3)
     per = {r["source_key"]: r for r in used.groupBy("source_key").agg({"uses": "max", "doc_id": "count"}).collect()}
     assert per["a"]["max(uses)"] == 1 and per["b"]["max(uses)"] <= 3
