@@ -7,8 +7,12 @@ Lineage is cut with Parquet tables in the folder that the cluster names in
 from __future__ import annotations
 
 import atexit
+import os
+import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +21,7 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 
 _local_root: str | None = None
+_shipped: set[str] = set()
 _made: list[tuple[SparkSession, str]] = []
 
 
@@ -32,6 +37,22 @@ def shared_root(spark: SparkSession) -> str:
     return _local_root
 
 
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors, once a context, unless their search path has it already."""
+    root = Path(__file__).resolve().parents[1]
+    context = spark.sparkContext
+    if str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or context.applicationId in _shipped:
+        return
+    _shipped.add(context.applicationId)
+    folder = tempfile.mkdtemp(prefix="plumbline-code-")  # the driver hands the file out as long as it lives
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    name = f"{folder}/plumbline-{uuid.uuid4().hex}.zip"
+    with zipfile.ZipFile(name, "w") as z:
+        for f in sorted((root / "plumbline").rglob("*.py")):
+            z.write(f, f.relative_to(root))
+    context.addPyFile(name)
+
+
 def new_folder(spark: SparkSession, label: str) -> str:
     """Path of a folder of our own below the shared one; it is removed when the process ends."""
     path = f"{shared_root(spark)}/plumbline/{label}-{uuid.uuid4().hex}"
