@@ -41,10 +41,10 @@ _STATUS = re.compile(r"(?<!\d)[45]\d\d(?!\d)")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿豈-﫿々ー]")
 
 _SLOT = re.compile(
-    r"""\{\{\{?\s*[\w.$\ -]{1,60}\s*\}?\}\} | [$\#]\{[^{}\s]{1,60}\} | (?<![\w{$\#%])\{[^\W\d][\w\ .-]{0,40}\}(?!\}) | %[A-Z][A-Z0-9_]+% | @@\w[\w\ ]{0,40}@@
-    | \[\[\w[\w\ ]{0,40}\]\] | <<\w[\w\ ]{0,40}>> | --[A-Z][A-Z0-9_]+-- | (?<!\w)__[A-Z][A-Z0-9_]+__(?!\w) | \$[A-Z][A-Z0-9_]{2,}\$ | «[a-z][a-z_\ ]{1,40}(?<!\ )»
+    r"""\{\{\{?\s*[\w.$\ -]{1,60}\s*\}?\}\} | [$\#]\{[^{}\s]{1,60}\} | (?<![\w{$\#%])\{[^\W\d][\w\ .-]{0,40}\}(?!\}) | %[A-Z][A-Z0-9_]+% | (?<!\S)%[a-z][a-z0-9_]+%(?!\w) | @@\w[\w\ ]{0,40}@@
+    | \[\[\w[\w\ ]{0,40}\]\] | <<\w[\w\ ]{0,40}>> | --[A-Z][A-Z0-9_]+-- | (?<!\w)__[A-Z][A-Z0-9_]+__(?!\w) | \$[A-Z][A-Z0-9_]{2,}\$ | «[a-z][a-z_\ ]{1,40}(?<!\ )» | «[A-Z][A-Z_\ ]{1,40}(?<!\ )»
     | \[%=?\s*[\w.\ ]{1,60}\s*%\] | \{%=?\s*\w+\s*%\} | <%=?\s*[\w.\ ]{1,60}\s*%> | <[A-Z][A-Z0-9_]*(?:\ [A-Z0-9_]+)*> | \[object\ Object\] | \[(?:[A-Z][a-zA-Z]*)(?:\ [A-Z][a-zA-Z]*){0,4}\](?!\() | \[(?:insert|enter|add|your|name\ of|einfügen|insérer|insertar|inserir|вставить|вставьте|挿入|插入)\b[^\]\n]{0,60}\]
-    | [((](?:TODO|TBD|FIXME|FILL\ IN)\b[^))\n]{0,60}[))] | (?<!\S)%[sdif](?!\w) | (?<![\w])[xX]{3,}(?![\w]) | (?<!\w)undefined(?!\w) | (?<=\w\ )_{4,}(?!\w) | _{4,}(?=\ \w)""",
+    | [((](?:TODO|TBD|FIXME|FILL\ IN)\b[^))\n]{0,60}[))] | (?<!\S)%[sdifSD](?!\w) | (?<![\w])[xX]{3,}(?![\w]) | (?<!\w)undefined(?!\w) | (?<=\w\ )_{4,}(?!\w) | _{4,}(?=\ \w)""",
     re.X,
 )
 _TALK_GAP = re.compile(r"(?<=[.!?;。！？;])\s+|(?<=[。！？])|\n+")
