@@ -121,6 +121,6 @@ def report(filled: list[Filled], used: DataFrame) -> DataFrame:
     )
     got = used.groupBy("source_key").agg(F.sum(F.col("n_tokens") * F.col("uses")).alias("mixed_tokens"), F.max("uses").alias("most_uses"))
     rows = plan.join(got, "source_key", "left").fillna(0, ["mixed_tokens", "most_uses"])
-    total = got.agg(F.sum("mixed_tokens").alias("_all"))
-    share = F.coalesce(F.col("mixed_tokens") / F.nullif("_all", F.lit(0)), F.lit(0.0))
-    return rows.crossJoin(F.broadcast(total)).select("source", "target_share", "max_uses", "own_tokens", "epochs", "clamped_round", "mixed_tokens", "most_uses", share.alias("actual_share"))
+    total = got.agg(F.sum("mixed_tokens")).first()[0] or 1
+    share = F.col("mixed_tokens") / F.lit(total)
+    return rows.select("source", "target_share", "max_uses", "own_tokens", "epochs", "clamped_round", "mixed_tokens", "most_uses", share.alias("actual_share"))
