@@ -89,9 +89,10 @@ def bootstrap_ci95(scored: DataFrame, value_col: str = "recall_dist", resamples:
     """One row ``(mean, ci_low, ci_high)``: percentile interval of resampled means, widened to contain the mean."""
     values = scored.filter(F.col(value_col).isNotNull())
     means = bootstrap_means(values.select("qid", value_col), value_col, resamples, seed)
-    ends = means.agg(F.percentile("mean", F.lit(0.025)).alias("lo"), F.percentile("mean", F.lit(0.975)).alias("hi"))
-    mean = values.agg(F.avg(value_col).alias("mean"))
-    return mean.crossJoin(ends).select("mean", F.least("lo", "mean").alias("ci_low"), F.greatest("hi", "mean").alias("ci_high"))  # one row each
+    low, high = means.agg(F.percentile("mean", F.array(F.lit(0.025), F.lit(0.975)))).first()[0] or (None, None)  # one mean a resample
+    mean = values.agg(F.avg(value_col)).first()[0]
+    row = (mean, min(low, mean), max(high, mean)) if mean is not None else (None, None, None)
+    return scored.sparkSession.createDataFrame([row], "mean double, ci_low double, ci_high double")
 
 
 def group_queries(corpus: DataFrame, group: str, per_group: int, seed: int) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.operators.order_stats import Histogram
 from plumbline.operators.verdict import evaluate
 
 
@@ -40,16 +41,18 @@ def cell_sizes(corpus: DataFrame, n_cells: int | None = None) -> DataFrame:
     return every.join(sizes, "cell", "left").select("cell", F.coalesce("size", F.lit(0)).alias("size"))
 
 
+SIZES = "n_cells bigint, total bigint, cv double, gini double, max_over_mean double, p99_over_mean double, empty_fraction double"
+
+
 def partition_statistics(sizes: DataFrame) -> DataFrame:
-    """One row of size statistics: population cv (null if all are empty), Gini, maximum and p99 over the mean, empty share."""
-    hist = sizes.groupBy("size").agg(F.count(F.lit(1)).alias("c"))
-    # ranks of equal sizes are consecutive, so the Gini sum follows from the histogram of sizes
-    upto = F.sum("c").over(Window.orderBy("size").rowsBetween(Window.unboundedPreceding, 0))
-    g = hist.withColumn("_e", upto).withColumn("_ranks", F.col("c") * (2 * F.col("_e") - F.col("c") + 1) / 2).agg(F.sum(F.col("_ranks") * F.col("size")).alias("_ix"), F.sum(F.col("c") * F.col("size")).alias("_t"), F.sum("c").alias("_n"))
-    gini = (2 * F.col("_ix") - (F.col("_n") + 1) * F.col("_t")) / F.nullif(F.col("_n") * F.col("_t"), F.lit(0))
-    b = sizes.agg(F.count(F.lit(1)).alias("n_cells"), F.sum("size").alias("total"), F.avg("size").alias("_mean"), F.stddev_pop("size").alias("_std"), F.max("size").alias("_max"), F.percentile("size", F.lit(0.99)).alias("_p99"), F.avg((F.col("size") == 0).cast("double")).alias("empty_fraction"))
-    mean = F.nullif("_mean", F.lit(0.0))
-    return b.crossJoin(g).select("n_cells", "total", (F.col("_std") / mean).alias("cv"), F.coalesce(gini, F.lit(0.0)).alias("gini"), (F.col("_max") / mean).alias("max_over_mean"), (F.col("_p99") / mean).alias("p99_over_mean"), "empty_fraction")  # one row each
+    """One row of size statistics: population cv (null if all are empty), Gini, maximum and p99 over the mean, empty share.
+
+    All of it follows from one histogram of the sizes.
+    """
+    h = Histogram(sizes, "size")
+    mean = h.mean or None
+    row = (h.n, int(h.total), h.moment(2) ** 0.5 / mean if mean else None, h.gini(), float(h.v[-1]) / mean if mean else None, h.quantile(0.99) / mean if mean else None, float(h.c[h.v == 0].sum() / h.n) if h.n else None)
+    return sizes.sparkSession.createDataFrame([row], SIZES)
 
 
 def partition_metric(stats: DataFrame, warn: float = 1.20, fail: float = 2.00, index_kind: str = "IVF") -> DataFrame:

@@ -5,11 +5,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.vectors import norm
-from plumbline.operators.order_stats import quantiles
+from plumbline.operators.order_stats import Histogram, quantiles
 from plumbline.operators.verdict import evaluate
 
 MIN_SAMPLE = 1000
@@ -36,29 +38,24 @@ def assert_total(counts: DataFrame, k: int) -> DataFrame:
     return r
 
 
+STATISTICS = "s bigint, hub_share_top1pct double, antihub_fraction double, skewness double, max_nk bigint, p99_nk double, median_nk double, mad_outliers bigint"
+
+
 def statistics(counts: DataFrame) -> DataFrame:
     """One row of the N_k distribution: share of the top percent, anti-hub fraction, skewness, maximum, quantiles, outliers.
 
-    The top percent is found from a histogram of N_k (few distinct values), not by sorting the members. Skewness is null
-    if all N_k are equal; shares are 0 for an empty sample.
+    All of it follows from one histogram of N_k, which has few distinct values. Skewness is null if all N_k are equal;
+    shares are 0 for an empty sample. Outliers lie above the median by more than 5 median deviations, if that is not 0.
     """
-    hist = counts.groupBy("n_k").agg(F.count(F.lit(1)).alias("c"))
-    totals = hist.agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("n_k")).alias("total"))
-    before = F.coalesce(F.sum("c").over(Window.orderBy(F.desc("n_k")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    top = hist.crossJoin(F.broadcast(totals)).withColumn("_before", before).withColumn("_m", F.ceil(F.col("s") * 0.01))
-    take = F.greatest(F.least(F.col("c"), F.col("_m") - F.col("_before")), F.lit(0))
-    share = top.agg((F.sum(take * F.col("n_k")) / F.nullif(F.max("total"), F.lit(0))).alias("share"))
-    basic = counts.agg(
-        F.count(F.lit(1)).alias("s"), F.avg((F.col("n_k") == 0).cast("double")).alias("antihub"), F.max("n_k").alias("max_nk"), F.percentile("n_k", F.lit(0.99)).alias("p99_nk"),
-        F.percentile("n_k", F.lit(0.5)).alias("median_nk"), F.when(F.stddev_pop("n_k") > 0, F.skewness("n_k")).alias("skewness"),
-    )
-    away = counts.crossJoin(F.broadcast(basic.select("median_nk")))
-    mad = away.agg(F.percentile(F.abs(F.col("n_k") - F.col("median_nk")), F.lit(0.5)).alias("mad"))
-    out = away.crossJoin(F.broadcast(mad)).agg(F.sum(((F.col("mad") > 0) & (F.col("n_k") > F.col("median_nk") + 5 * F.col("mad"))).cast("int")).alias("mad_outliers"))
-    one = basic.crossJoin(share).crossJoin(out)  # one row each
-    return one.select(
-        "s", F.coalesce("share", F.lit(0.0)).alias("hub_share_top1pct"), F.coalesce("antihub", F.lit(0.0)).alias("antihub_fraction"), "skewness", "max_nk", "p99_nk", "median_nk", F.coalesce("mad_outliers", F.lit(0)).alias("mad_outliers"),
-    )
+    h = Histogram(counts, "n_k")
+    if not h.n:
+        return counts.sparkSession.createDataFrame([(0, 0.0, 0.0, None, None, None, None, 0)], STATISTICS)
+    median, spread = h.quantile(0.5), h.moment(2)
+    mad = h.quantile(0.5, abs(h.v - median))
+    outliers = int(h.c[h.v > median + 5 * mad].sum()) if mad else 0
+    skewness = h.moment(3) / spread**1.5 if spread > 0 else None
+    row = (h.n, h.share_of_largest(math.ceil(h.n * 0.01)), float(h.c[h.v == 0].sum() / h.n), skewness, int(h.v[-1]), h.quantile(0.99), median, outliers)
+    return counts.sparkSession.createDataFrame([row], STATISTICS)
 
 
 def metrics(stats: DataFrame, k_hub: int, thresholds: dict[str, tuple[float, float]], enforce_min_sample: bool = True) -> DataFrame:
@@ -86,12 +83,13 @@ def offenders(counts: DataFrame, cap: int = OFFENDERS) -> DataFrame:
 
 def histogram(values: DataFrame, col: str, buckets: int = 64) -> DataFrame:
     """``(bucket_start, width, n)``: unit buckets up to ``buckets`` distinct values, else equal widths without empty ones."""
-    top = values.agg(F.max(col).alias("_max"))
-    width = F.when(F.col("_max") + 1 <= buckets, F.lit(1)).otherwise(F.ceil((F.col("_max") + 1) / buckets)).cast("bigint")
-    sized = values.crossJoin(F.broadcast(top.select("_max", width.alias("width"))))
-    counted = sized.groupBy((F.floor(F.col(col) / F.col("width")) * F.col("width")).alias("bucket_start"), "width").agg(F.count(F.lit(1)).alias("n"))
-    starts = top.select("_max", width.alias("width")).filter(F.col("_max").isNotNull()).select("width", F.explode(F.when(F.col("width") == 1, F.sequence(F.lit(0), F.col("_max").cast("bigint"))).otherwise(F.array(F.lit(0).cast("bigint")))).alias("bucket_start"))
-    return starts.join(counted, ["bucket_start", "width"], "full").select("bucket_start", "width", F.coalesce("n", F.lit(0)).alias("n"))
+    top = values.agg(F.max(col)).first()[0]
+    if top is None:
+        return values.sparkSession.createDataFrame([], "bucket_start bigint, width bigint, n bigint")
+    width = 1 if top + 1 <= buckets else -(-(int(top) + 1) // buckets)
+    counted = values.filter(F.col(col).isNotNull()).groupBy((F.floor(F.col(col) / width) * width).cast("bigint").alias("bucket_start")).agg(F.count(F.lit(1)).alias("n"))
+    starts = values.sparkSession.range(int(top) + 1 if width == 1 else 1).select(F.col("id").alias("bucket_start"))
+    return starts.join(counted, "bucket_start", "full").select("bucket_start", F.lit(width).cast("bigint").alias("width"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def duplicate_vectors(corpus: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.vectors import TIE_DECIMALS, distance
+from plumbline.session import materialise
 
 #: Queries that may travel with the tasks; larger sets are compared block by block.
 SHIPPED_QUERIES = 20_000
@@ -103,6 +105,21 @@ def exact_knn(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "COSI
     return rank_top(_blocked(corpus, queries, k, metric, exclude_self), k)
 
 
+def exact_knn_within(corpus: DataFrame, queries: DataFrame, k: int, metric: str, seconds: float, slices: int = 16) -> tuple[DataFrame, bool]:
+    """Neighbours among as many slices of the corpus (by hash of the id) as a deadline allows, and whether it cut any off.
+
+    At least one slice is searched. The slices' answers are kept, so that what was found in time is not searched again.
+    """
+    began, found = time.monotonic(), None
+    for i in range(slices):
+        part = corpus.filter(F.pmod(F.xxhash64("id"), F.lit(slices)) == i)
+        top = materialise(exact_knn(part, queries, k, metric).select("qid", "id", "dist"), "slice")
+        found = top if found is None else found.unionByName(top)
+        if time.monotonic() - began > seconds and i + 1 < slices:
+            return rank_top(found, k), True
+    return rank_top(found, k), False
+
+
 _SCHEMA = "qid bigint, id bigint, dist double"
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,3 +56,45 @@ def quantiles(df: DataFrame, col, qs: list[float]) -> list[float | None]:
             pair.append(found[rank])
         out.append(pair[0] + (pair[1] - pair[0]) * (at - math.floor(at)))
     return out
+
+
+class Histogram:
+    """Distinct values of a column of counts with their frequencies, on the driver.
+
+    A column of non-negative whole numbers that add up to ``t`` has at most ``sqrt(2 t)`` distinct values, so this stays
+    small for neighbour counts and cell sizes of any index. Nulls are left out.
+    """
+
+    def __init__(self, df: DataFrame, col: str):
+        rows = sorted((r["v"], r["n"]) for r in df.filter(F.col(col).isNotNull()).groupBy(F.col(col).alias("v")).agg(F.count(F.lit(1)).alias("n")).collect())
+        self.v, self.c = (np.array([r[i] for r in rows], dtype=np.float64) for i in (0, 1))
+        self.n, self.total = int(self.c.sum()), float((self.v * self.c).sum())
+        self.mean = self.total / self.n if self.n else None
+
+    def moment(self, k: int) -> float:
+        return float((((self.v - self.mean) ** k) * self.c).sum() / self.n)
+
+    def quantile(self, q: float, v: np.ndarray | None = None) -> float | None:
+        """With linear interpolation; of other values at the same frequencies if ``v`` is given."""
+        if not self.n:
+            return None
+        values = self.v if v is None else v
+        order = np.argsort(values, kind="stable")
+        ends = np.cumsum(self.c[order])
+        at = q * (self.n - 1)
+        low, high = (float(values[order][np.searchsorted(ends, math.floor(x), side="right")]) for x in (at, math.ceil(at)))
+        return low + (high - low) * (at - math.floor(at))
+
+    def share_of_largest(self, m: int) -> float:
+        """Part of the total that the ``m`` largest rows hold; 0 if the total is 0."""
+        c = self.c[::-1]
+        before = np.concatenate([[0], np.cumsum(c)[:-1]]) if len(c) else c
+        take = np.clip(m - before, 0, c)
+        return float((take * self.v[::-1]).sum() / self.total) if self.total else 0.0
+
+    def gini(self) -> float:
+        if not self.total:
+            return 0.0
+        ends = np.cumsum(self.c)
+        ranks = self.c * (2 * ends - self.c + 1) / 2  # sum of the ranks of equal values
+        return float((2 * (ranks * self.v).sum() - (self.n + 1) * self.total) / (self.n * self.total))

@@ -68,6 +68,5 @@ def transform(corpus: DataFrame, p: Projection) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids), *[pa.array(y[:, i]) for i in range(3)]], names=["id", "x", "y", "z"])
 
     rows = corpus.select("id", "vec").mapInArrow(run, "id bigint, x double, y double, z double")
-    top = rows.agg(F.max(F.greatest(F.abs("x"), F.abs("y"), F.abs("z"))).alias("_top"))
-    scale = F.when(F.col("_top") > 0, F.col("_top")).otherwise(F.lit(1.0))
-    return rows.crossJoin(F.broadcast(top)).select("id", *[(F.col(a) / scale).cast("float").alias(a) for a in "xyz"])  # one row
+    top = rows.agg(F.max(F.greatest(F.abs("x"), F.abs("y"), F.abs("z")))).first()[0] or 1.0
+    return rows.select("id", *[(F.col(a) / top).cast("float").alias(a) for a in "xyz"])

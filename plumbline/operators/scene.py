@@ -95,9 +95,9 @@ def classify(points: DataFrame, hubs: DataFrame, antihubs: DataFrame) -> DataFra
 def with_centroid_distance(scene: DataFrame) -> DataFrame:
     """Distance of each point to the mean position; null for points with unusable coordinates."""
     use = lambda a: F.when(~F.isnan(a), F.col(a))
-    c = scene.agg(*[F.avg(use(a)).alias(f"_{a}") for a in "xyz"])
-    d = sum(((use(a) - F.col(f"_{a}")) * (use(a) - F.col(f"_{a}")) for a in "xyz"), F.lit(0.0))
-    return scene.drop("dist_centroid").crossJoin(F.broadcast(c)).withColumn("dist_centroid", F.sqrt(d)).drop("_x", "_y", "_z")  # one row
+    c = scene.agg(*[F.avg(use(a)).alias(a) for a in "xyz"]).first()
+    d = sum(((use(a) - F.lit(c[a])) * (use(a) - F.lit(c[a])) for a in "xyz"), F.lit(0.0))
+    return scene.withColumn("dist_centroid", F.sqrt(d))
 
 
 def colour_attribute(scene: DataFrame, by: str) -> tuple[DataFrame, str | None]:
@@ -110,8 +110,8 @@ def colour_attribute(scene: DataFrame, by: str) -> tuple[DataFrame, str | None]:
     if by not in scene.columns:
         return scene.select("id", F.lit(None).cast("double").alias("value")), f"{by} is UNAVAILABLE for this target"
     v = F.col(by).cast("double")
-    ends = scene.agg(F.min(v).alias("_lo"), F.max(v).alias("_hi"))
-    return scene.crossJoin(F.broadcast(ends)).select("id", min_max(v, F.col("_lo"), F.col("_hi")).alias("value")), None  # one row
+    low, high = scene.agg(F.min(v), F.max(v)).first()
+    return scene.select("id", min_max(v, F.lit(low), F.lit(high)).alias("value")), None
 
 
 def worst_partition(scene: DataFrame) -> DataFrame:

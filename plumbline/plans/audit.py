@@ -58,11 +58,18 @@ def run_audit(source: Source, config: AuditConfig | None = None, params: dict |
     on = set(cfg.metrics_enabled)
 
     def do_canary() -> Metric:
-        truth = materialise(knn.exact_knn(live, asked, cfg.k, desc.metric_space), "truth")
+        truncated = False
+        if cfg.max_seconds:
+            truth, truncated = knn.exact_knn_within(live, asked, cfg.k, desc.metric_space, cfg.max_seconds)
+        else:
+            truth = knn.exact_knn(live, asked, cfg.k, desc.metric_space)
+        truth = materialise(truth, "truth")
+        if truncated:
+            warnings.append("the true neighbours are truncated by the time limit")
         got = ivf.drop_self(source.search(asked, cfg.k + 1, params).withColumn("dist", F.col("rank").cast("double")), cfg.k)
         scored = materialise(canary.per_query(truth, got, live, asked, cfg.k, desc.metric_space, known=source.corpus()), "scored")
         warn, fail, _ = rules["canary_recall"]
-        s = canary.summary(scored, warn, fail, query_source="file" if queries is not None else "corpus").first()
+        s = canary.summary(scored, warn, fail, truncated=truncated, query_source="file" if queries is not None else "corpus").first()
         ci = canary.bootstrap_ci95(scored, seed=cfg.seed).first() if s["value"] is not None else None
         detail = {c: s[c] for c in ("recall_id", "short_returns", "duplicate_returns", "returned_invalid", "boundary_ties")}
         if ci:

@@ -22,3 +22,13 @@ def hubness_sweep(corpus: DataFrame, sizes: list[int], ks: list[int], metric: st
             stats = hubness.statistics(hubness.n_k(found.filter(F.col("rank") < k), sample)).select(F.lit(size).alias("sample_size"), F.lit(k).alias("k_hub"), "*")
             out = stats if out is None else out.unionByName(stats)
     return out
+
+
+def to_markdown(rows: list[dict]) -> str:
+    """A table of sweep rows, in the order of their first row's columns."""
+    if not rows:
+        return ""
+    cols = list(rows[0])
+    cell = lambda v: f"{v:.4f}" if isinstance(v, float) else "n/a" if v is None else str(v)
+    lines = ["| " + " | ".join(cols) + " |", "|" + "-|" * len(cols), *["| " + " | ".join(cell(r[c]) for c in cols) + " |" for r in rows]]
+    return "\n".join(lines) + "\n"

@@ -12,11 +12,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline import cli, service
-from plumbline.operators import generate, order_stats
+from plumbline.operators import generate, knn, order_stats
 from plumbline.operators.validate import UsageError
 from plumbline.plans import audit_queries, catalogue, heavy_key_queries  # noqa: F401
 from plumbline.plans import report as R
 from plumbline.plans.audit import gate, run_audit
+from plumbline.plans import calibrate
 from plumbline.plans.calibrate import hubness_sweep
 from plumbline.plans.config import AuditConfig
 from plumbline.sources.tables import TableSource
@@ -81,6 +82,7 @@ def test_a_failing_metric_does_not_end_the_others(spark):
 def test_calibration_sweep(spark):
     c = generate.generate_corpus(spark, 300, 8, 4)
     rows = hubness_sweep(c, [100, 200], [3, 5], "L2").collect()
+    assert calibrate.to_markdown([r.asDict() for r in rows]).count("\n") == 6
     assert {(r["sample_size"], r["k_hub"], r["s"]) for r in rows} == {(100, 3, 100), (100, 5, 100), (200, 3, 200), (200, 5, 200)}
 
 
@@ -107,6 +109,16 @@ def test_exact_quantiles(spark, monkeypatch):
     assert order_stats.quantiles(spark.createDataFrame([(2.0,)] * 100, "v double"), "v", [0.1, 0.9]) == [2.0, 2.0]
 
 
+def test_a_deadline_gives_a_partial_answer(spark):
+    c = generate.generate_corpus(spark, 400, 8, 4)
+    q = c.filter("id < 5").select(F.col("id").alias("qid"), "vec")
+    whole = knn.exact_knn(c, q, 5, "L2")
+    full, cut = knn.exact_knn_within(c, q, 5, "L2", 1e9, slices=3)
+    assert not cut and full.exceptAll(whole).count() == 0 and full.count() == 25
+    part, cut = knn.exact_knn_within(c, q, 5, "L2", 0.0, slices=4)
+    assert cut and part.groupBy("qid").agg(F.max("dist").alias("d")).join(whole.groupBy("qid").agg(F.max("dist").alias("w")), "qid").filter("d < w").count() == 0
+
+
 def test_progress_and_probe_guard():
     now = [0.0]
     p = service.Progress(lambda: now[0])
