@@ -110,4 +110,4 @@ def group_truth(corpus: DataFrame, group: str, queries: DataFrame, k: int, metri
     pairs = rows.join(F.broadcast(queries.withColumnRenamed("vec", "qvec")), "grp").filter(F.col("id") != F.col("qid"))
     scored = pairs.select("grp", "qid", "id", F.round(distance("qvec", "vec", metric), TIE_DECIMALS).alias("dist"))
     r = F.row_number().over(Window.partitionBy("grp", "qid").orderBy("dist", "id"))
-    return scored.withColumn("rank", r - 1).filter(F.col("rank") < k)
+    return scored.withColumn("rank", r).filter(F.col("rank") <= k).withColumn("rank", F.col("rank") - 1)

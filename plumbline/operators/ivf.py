@@ -92,7 +92,7 @@ def _scored(corpus: DataFrame, queries: DataFrame, centroids: DataFrame, nprobe:
 
 def _ranked(rows: DataFrame, k: int) -> DataFrame:
     r = F.row_number().over(Window.partitionBy("qid").orderBy("dist", "id"))
-    return rows.withColumn("rank", r - 1).filter(F.col("rank") < k)
+    return rows.withColumn("rank", r).filter(F.col("rank") <= k).withColumn("rank", F.col("rank") - 1)  # a limit that Spark applies before the shuffle
 
 
 def ivf_search(corpus: DataFrame, centroids: DataFrame, queries: DataFrame, k: int, nprobe: int, metric: str = "COSINE") -> DataFrame:

@@ -83,7 +83,7 @@ def rank_top(candidates: DataFrame, k: int, *groups: str) -> DataFrame:
     keys = [*groups, "qid"]
     once = candidates.groupBy(*keys, "id").agg(F.min("dist").alias("dist"))
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy("dist", "id"))
-    return once.withColumn("rank", rank - 1).filter(F.col("rank") < k).select(*keys, "rank", "id", "dist")
+    return once.withColumn("rank", rank).filter(F.col("rank") <= k).select(*keys, (F.col("rank") - 1).alias("rank"), "id", "dist")
 
 
 def exact_knn(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "COSINE", exclude_self: bool = True, strategy: str = "arrow") -> DataFrame:
