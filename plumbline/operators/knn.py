@@ -19,8 +19,11 @@ QUERY_STEP = 256
 BLOCK_ROWS = 65_536
 
 
-def matrix(ids: pa.Array, vecs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and float64 rows; rows with a null id, a null vector or another length than the first are left out."""
+def matrix(ids: pa.Array, vecs: pa.Array, dtype: type | None = np.float64) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and rows; rows with a null id, a null vector or another length than the first are left out.
+
+    ``dtype`` of None keeps the precision of the input.
+    """
     ids = ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids
     vecs = vecs.combine_chunks() if isinstance(vecs, pa.ChunkedArray) else vecs
     lengths = vecs.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
@@ -29,7 +32,9 @@ def matrix(ids: pa.Array, vecs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         return np.empty(0, np.int64), np.empty((0, 0))
     keep = (lengths == known[0]) & ids.is_valid().to_numpy(zero_copy_only=False)
     mask = pa.array(keep)
-    rows = vecs.filter(mask).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, known[0])
+    whole = bool(keep.all())
+    flat = (vecs if whole else vecs.filter(mask)).flatten().to_numpy(zero_copy_only=False)
+    rows = (flat if dtype is None else flat.astype(dtype, copy=False)).reshape(-1, known[0])
     return ids.filter(mask).to_numpy(zero_copy_only=False).astype(np.int64), rows
 
 
@@ -49,17 +54,30 @@ def pair_distance(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
 
 
 def block_top(qids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, metric: str, exclude_self: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The ``k`` nearest rows of each query in a block, ties at the border included: ``(qid, id, dist)``."""
+    """The ``k`` nearest rows of each query in a block, ties at the border included: ``(qid, id, dist)``.
+
+    One matrix product in the precision of the rows preselects, with a margin above its rounding error; what is left gets
+    its distance in double precision.
+    """
     out = []
-    for s in range(0, len(qids) if len(ids) else 0, QUERY_STEP):
-        ask = q[s : s + QUERY_STEP]
-        d = score(ask, x, metric)
+    if not len(ids):
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+    q = q.astype(x.dtype, copy=False)
+    x2, q2 = np.einsum("ij,ij->i", x, x), np.einsum("ij,ij->i", q, q)
+    unit = 16 * float(np.finfo(x.dtype).eps) * np.sqrt(x.shape[1])
+    for s in range(0, len(qids), QUERY_STEP):
+        ask, a2 = q[s : s + QUERY_STEP], q2[s : s + QUERY_STEP, None]
+        d = ask @ x.T
+        d *= -2 if metric == "L2" else -1
+        if metric == "L2":
+            d += x2  # the square less that of the query: the same order
         if exclude_self:
             d[qids[s : s + QUERY_STEP, None] == ids[None, :]] = np.inf
         at = min(k, d.shape[1]) - 1
-        edge = np.partition(d, at, axis=1)[:, at]
-        i, j = np.nonzero((d <= edge[:, None] + 1e-7 * (1 + np.abs(edge[:, None]))) & np.isfinite(d))
-        out.append((qids[s + i], ids[j], np.round(pair_distance(ask[i], x[j], metric), TIE_DECIMALS)))
+        edge = np.partition(d, at, axis=1)[:, at, None]
+        margin = unit * (a2 + float(x2.max()))
+        i, j = np.nonzero((d <= edge + margin) & np.isfinite(d))
+        out.append((qids[s + i], ids[j], np.round(pair_distance(ask[i].astype(np.float64), x[j].astype(np.float64), metric), TIE_DECIMALS)))
     if not out:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
     return tuple(np.concatenate(c) for c in zip(*out))
@@ -100,8 +118,9 @@ def exact_knn(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "COSI
         if exclude_self:
             pairs = pairs.filter(F.col("id") != F.col("qid"))
         return rank_top(pairs.select("qid", "id", F.round(distance("qvec", "vec", metric), TIE_DECIMALS).alias("dist")), k)
-    if queries.limit(SHIPPED_QUERIES + 1).count() <= SHIPPED_QUERIES:
-        return rank_top(_shipped(corpus, queries, k, metric, exclude_self), k)
+    asked = queries.limit(SHIPPED_QUERIES + 1).toArrow()
+    if asked.num_rows <= SHIPPED_QUERIES:
+        return rank_top(_shipped(corpus, asked, k, metric, exclude_self), k)
     return rank_top(_blocked(corpus, queries, k, metric, exclude_self), k)
 
 
@@ -123,16 +142,15 @@ def exact_knn_within(corpus: DataFrame, queries: DataFrame, k: int, metric: str,
 _SCHEMA = "qid bigint, id bigint, dist double"
 
 
-def _shipped(corpus: DataFrame, queries: DataFrame, k: int, metric: str, exclude_self: bool) -> DataFrame:
-    asked = queries.toArrow()
-    qids, q = matrix(asked.column("qid"), asked.column("qvec"))
+def _shipped(corpus: DataFrame, asked: pa.Table, k: int, metric: str, exclude_self: bool) -> DataFrame:
+    qids, q = matrix(asked.column("qid"), asked.column("qvec"), None)
     held = corpus.sparkSession.sparkContext.broadcast((qids, q))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qids, q = held.value
         best = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
         for b in batches:
-            ids, x = matrix(b.column("id"), b.column("vec"))
+            ids, x = matrix(b.column("id"), b.column("vec"), None)
             found = block_top(qids, q, ids, x, k, metric, exclude_self) if len(ids) and len(qids) else best
             best = keep_top(*(np.concatenate(c) for c in zip(best, found)), k)
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in best], names=["qid", "id", "dist"])
@@ -150,8 +168,8 @@ def _blocked(corpus: DataFrame, queries: DataFrame, k: int, metric: str, exclude
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
         found = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
         if a.num_rows and b.num_rows:
-            ids, x = matrix(a.column("id"), a.column("vec"))
-            qids, q = matrix(b.column("qid"), b.column("qvec"))
+            ids, x = matrix(a.column("id"), a.column("vec"), None)
+            qids, q = matrix(b.column("qid"), b.column("qvec"), None)
             if len(ids) and len(qids):
                 found = keep_top(*block_top(qids, q, ids, x, k, metric, exclude_self), k)
         return pa.table([pa.array(c) for c in found], names=["qid", "id", "dist"])
