@@ -64,7 +64,7 @@ def block_top(qids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
     q = q.astype(x.dtype, copy=False)
     x2, q2 = np.einsum("ij,ij->i", x, x), np.einsum("ij,ij->i", q, q)
-    unit = 16 * float(np.finfo(x.dtype).eps) * np.sqrt(x.shape[1])
+    unit = 5 * float(np.finfo(x.dtype).eps) * x.shape[1]  # a sum of d products is off by d * eps of their sizes at most
     for s in range(0, len(qids), QUERY_STEP):
         ask, a2 = q[s : s + QUERY_STEP], q2[s : s + QUERY_STEP, None]
         d = ask @ x.T
