@@ -421,3 +421,27 @@ def churn_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     c = corpus(spark, sf_dir).withColumn("deleted", F.lit(False))
     return generate.apply_churn(c, 0.35, 0.0, SEED).filter("deleted").select("id")
+
+
+@query("id_encoding", "SELECT source AS key, dense_rank() OVER (ORDER BY source) - 1 AS id FROM (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL)")
+def id_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validate.encode_ids(table(spark, sf_dir, "documents").select(F.col("source").alias("key")))
+
+
+@query(
+    "windowed_dfi",
+    """SELECT date_trunc('hour', ts) AS window_start, sum(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END)::BIGINT AS inserted, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END)::BIGINT AS deleted,
+round(sum(CASE WHEN event_type = 'error' THEN 1.0 ELSE 0.0 END) / nullif(sum(CASE WHEN event_type IN ('view', 'error') THEN 1 ELSE 0 END), 0), 6) AS dfi FROM events GROUP BY 1""",
+)
+def windowed_dfi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a change stream: views insert, errors delete."""
+    from plumbline.streaming import dfi
+
+    op = F.when(F.col("event_type") == "view", "insert").when(F.col("event_type") == "error", "delete").otherwise("other")
+    return rounded(dfi.windowed_dfi(table(spark, sf_dir, "events").select("ts", op.alias("op"))), "dfi")
+
+
+@query("scene_chunk", f"WITH {_E}, {_SCENE}, r AS (SELECT id, row_number() OVER (ORDER BY cls NOT IN (1, 2, 4, 5, 6, 7), u, id) AS i FROM s) SELECT id FROM r WHERE i <= 50000")
+def scene_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The coarse chunk of a scene that fits the budget as a whole: priority points, then the others by hash."""
+    return scene.chunk(scene_of(spark, sf_dir), 200_000, 0, SEED).select("id")
