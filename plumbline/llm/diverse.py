@@ -5,7 +5,8 @@ as varied as the determinant of its kernel matrix is large; the greedy choice ta
 up to date by one row of the Cholesky factor per step. The kernel is cut off at the borders of an octree level, so the
 matrix falls into blocks, the determinant into factors, and the greedy order over all is the blocks' orders merged by
 gain. The level of a run and budget is the coarsest whose cells can give enough points; it has fewer occupied cells than
-the budget has points, so every occupied cell is in the subset.
+the budget has points, so every occupied cell is in the subset. Levels go down to where points coincide; what crowded
+cells still lack is taken from the unused cells of the levels below, one point each.
 
 Points move once, to the task of their (run, coarse cell); crowded cells are split over several tasks. Each task reduces
 its points to core-sets, the core-sets of one cell are united and chosen from once more, and the gains are ranked.
@@ -23,8 +24,14 @@ from pyspark.sql import functions as F
 from plumbline.operators.heavy_keys import fragment, plan_counted, sized_join
 from plumbline.session import materialise
 
-#: Levels of the octree, and the level by which points are spread over tasks.
-DEPTH, BLOCK_LEVEL = 6, 3
+#: Levels of the octree (points that share a cell of the last one coincide), and the level by which points are spread over tasks.
+DEPTH, BLOCK_LEVEL = 20, 3
+#: Levels that are counted at once when the level of a run and budget is looked for, coarse ones first.
+STAGES = ((1, 6), (7, 10), (11, 14), (15, DEPTH))
+#: Shifts and masks that move the bits of a number of DEPTH bits to every third place.
+SPREAD = ((32, 0x1F00000000FFFF), (16, 0x1F0000FF0000FF), (8, 0x100F00F00F00F00F), (4, 0x10C30C30C30C30C3), (2, 0x1249249249249249))
+#: A coordinate this many powers of two beyond 99 % of its run is brought nearer, by the logarithm.
+FAR = 10
 #: Points a cell must be able to give (an octree cell has eight children), and points it is asked for.
 ENOUGH, PICKS = 8, 10
 #: Width of the kernel in cells, and the kernel between different classes.
@@ -93,7 +100,7 @@ def _runs(*keys: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(change)]) if len(keys[0]) else np.empty(0, int)
 
 
-_FOUND = "run_id bigint, level int, cell int, id bigint, u bigint, cls int, x float, y float, z float, gain float, shared boolean"
+_FOUND = "run_id bigint, level int, cell bigint, id bigint, u bigint, cls int, x float, y float, z float, gain float, shared boolean"
 
 
 def _core_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,15 +124,14 @@ def _core_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 take = np.arange(len(at))
             else:
                 fine = np.where(cell < 0, NO_CELL, cell >> (3 * (DEPTH - max(level, BLOCK_LEVEL))))
-                key = (part[at].astype(np.int64) << 32) | (fine.astype(np.int64) + 1)
-                order = np.argsort(key, kind="stable")  # keeps the hash order of the rows within a cell
-                chosen, gains = greedy(key[order], p[at][order] * np.float32(2**level), cls[order])
+                order = np.lexsort((fine, part[at]))  # keeps the hash order of the rows within a cell
+                chosen, gains = greedy(_runs(part[at][order], fine[order]), p[at][order] * np.float32(2**level), cls[order])
                 chosen = order[chosen]
                 gain[chosen] = gains
                 take = np.unique(np.concatenate([chosen, _firsts(run_no[at] * 1024 + cls, u)]))
             coarse = np.where(cell < 0, NO_CELL, cell >> (3 * (DEPTH - level)))
             shared = (c["_shards"][at] > 1) | ((level < BLOCK_LEVEL) & (cell >= 0)) if level else np.zeros(len(at), bool)
-            cols = [run, np.full(len(at), level, np.int32), coarse.astype(np.int32), ids, u, cls.astype(np.int32), *p[at].T, gain, shared]
+            cols = [run, np.full(len(at), level, np.int32), coarse.astype(np.int64), ids, u, cls.astype(np.int32), *p[at].T, gain, shared]
             if not level:  # taken anyway: nothing but the ids is needed, and zeros take no room
                 cols = [c if n in (0, 1, 3) else np.zeros_like(c) for n, c in enumerate(cols)]
             yield pa.RecordBatch.from_arrays([pa.array(x[take]) for x in cols], names=[f.split()[0] for f in _FOUND.split(", ")])
@@ -166,40 +172,74 @@ def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def located(points: DataFrame) -> DataFrame:
     """``(run_id, id, u, cls, x, y, z, cell, block)``: positions scaled to the cube of their run, with octree cells.
 
-    Points with a null or NaN coordinate share one cell of their own; rows with a null id or run are left out.
+    Points with a null or NaN coordinate share one cell of their own; rows with a null id or run are left out. Where the
+    largest coordinate is over ``2**FAR`` times what 99 % of the run stay within, those beyond it count by their
+    logarithm, so that single far points leave the others their levels.
     """
     rows = points.filter(F.col("id").isNotNull() & F.col("run_id").isNotNull())
     fine = F.lit(True)
     for a in "xyz":
         fine = fine & F.col(a).isNotNull() & ~F.isnan(a) & (F.abs(a) < float("inf"))
     rows = rows.select("run_id", "id", F.coalesce(F.col("point_class").cast("int"), F.lit(-1)).alias("cls"), *[F.col(a).cast("double").alias(a) for a in "xyz"], F.coalesce(fine, F.lit(False)).alias("_fine"))
-    ends = rows.groupBy("run_id").agg(*[f(F.when(F.col("_fine"), F.col(a))).alias(f"_{n}{a}") for a in "xyz" for n, f in (("lo", F.min), ("hi", F.max))])
+    most = F.greatest(*[F.abs(a) for a in "xyz"])
+    power = F.when(F.col("_fine"), F.when(most > 0, F.ceil(F.log2(most))).otherwise(F.lit(-1100)))
+    ends = rows.groupBy("run_id").agg(
+        F.ceil(F.percentile(power, 0.99)).alias("_usual"), F.max(power).alias("_power"), *[f(F.when(F.col("_fine"), F.col(a))).alias(f"_{n}{a}") for a in "xyz" for n, f in (("lo", F.min), ("hi", F.max))]
+    )  # the percentile is exact, over a few hundred different powers at most
+    reach = F.pow(F.lit(2.0), F.greatest("_usual", F.lit(-1000)).cast("double"))
+    ends = ends.withColumn("_reach", F.when(F.col("_power") > F.greatest("_usual", F.lit(-1000)) + FAR, reach))
+    near = lambda v: F.when(F.abs(v) > F.col("_reach"), F.signum(v) * F.col("_reach") * (1 + F.log2(F.abs(v) / F.col("_reach")))).otherwise(v)
+    ends = ends.withColumns({f"_{n}{a}": near(F.col(f"_{n}{a}")) for a in "xyz" for n in ("lo", "hi")})
     size = F.greatest(*[F.col(f"_hi{a}") - F.col(f"_lo{a}") for a in "xyz"])
-    cube = ends.select("run_id", *[F.col(f"_lo{a}") for a in "xyz"], F.when(size > 0, size).otherwise(F.lit(1.0)).alias("_size"))
+    cube = ends.select("run_id", "_reach", *[F.col(f"_lo{a}") for a in "xyz"], F.when(size > 0, size).otherwise(F.lit(1.0)).alias("_size"))
+    cube = materialise(cube, "cubes")  # one row per run, used by every read of the points
     n = 1 << DEPTH
     placed = sized_join(rows, cube, ["run_id"], "id")
     for a in "xyz":
-        placed = placed.withColumn(a, F.when(F.col("_fine"), (F.col(a) - F.col(f"_lo{a}")) / F.col("_size")).otherwise(F.lit(0.0)).cast("float"))
-        placed = placed.withColumn(f"_i{a}", F.least(F.floor(F.col(a) * n), F.lit(n - 1)).cast("int"))
-    code = F.lit(0)
-    for b in range(DEPTH):
-        for j, a in enumerate("xyz"):
-            code = code.bitwiseOR(F.shiftleft(F.shiftright(F.col(f"_i{a}"), b).bitwiseAND(F.lit(1)), 3 * b + j))
-    placed = placed.withColumn("cell", F.when(F.col("_fine"), code).otherwise(F.lit(NO_CELL)).cast("int"))
+        placed = placed.withColumn(a, F.when(F.col("_fine"), (near(F.col(a)) - F.col(f"_lo{a}")) / F.col("_size")).otherwise(F.lit(0.0)).cast("float"))
+        placed = placed.withColumn(f"_i{a}", F.least(F.floor(F.col(a) * n), F.lit(n - 1)).cast("bigint"))
+    for shift, mask in SPREAD:
+        placed = placed.withColumns({f"_i{a}": F.col(f"_i{a}").bitwiseOR(F.shiftleft(f"_i{a}", shift)).bitwiseAND(F.lit(mask)) for a in "xyz"})
+    code = F.col("_ix").bitwiseOR(F.shiftleft("_iy", 1)).bitwiseOR(F.shiftleft("_iz", 2))
+    placed = placed.withColumn("cell", F.when(F.col("_fine"), code).otherwise(F.lit(NO_CELL)).cast("bigint"))
     block = F.when(F.col("cell") < 0, F.lit(NO_CELL)).otherwise(F.shiftright("cell", 3 * (DEPTH - BLOCK_LEVEL)))
     return placed.select("run_id", "id", F.xxhash64("id", F.lit(5)).alias("u"), "cls", "x", "y", "z", "cell", block.cast("int").alias("block"))
 
 
-def choose_levels(counts: DataFrame, requests: DataFrame) -> DataFrame:
-    """``(run_id, request_id, budget, level)`` from ``counts(run_id, cell, n)``; level 0 takes all points of the run."""
-    by_level = counts.withColumn("level", F.explode(F.sequence(F.lit(1), F.lit(DEPTH))))
-    coarse = F.when(F.col("cell") < 0, F.col("cell")).otherwise(F.expr(f"shiftright(cell, 3 * ({DEPTH} - level))"))
-    cells = by_level.groupBy("run_id", "level", coarse.alias("c")).agg(F.sum("n").alias("n"))
-    can = cells.groupBy("run_id", "level").agg(F.sum(F.least("n", F.lit(ENOUGH))).alias("can"), F.sum("n").alias("total"))
+def _at_level(level: str) -> F.Column:
+    """The cell of an octree level, by an expression for the level."""
+    return F.when(F.col("cell") < 0, F.col("cell")).otherwise(F.expr(f"shiftright(cell, 3 * ({DEPTH} - {level}))"))
+
+
+def choose_levels(counts: DataFrame, base: DataFrame, requests: DataFrame) -> DataFrame:
+    """``(run_id, request_id, budget, level)``, level 0 where the request takes all points of the run.
+
+    ``counts(run_id, cell, n)`` counts the rows in the cells of the first of STAGES, whose codes are those of DEPTH; for runs
+    whose budgets these cells cannot give, the different positions of ``base`` are counted in deeper ones.
+    """
     wanted = requests.filter(F.col("requested_budget") > 0).select("request_id", F.col("requested_budget").alias("budget"))
-    each = can.join(F.broadcast(wanted))  # the short list of requests against a few rows per run
-    level = F.when(F.max("total") <= F.col("budget"), F.lit(0)).otherwise(F.coalesce(F.min(F.when(F.col("can") >= F.col("budget"), F.col("level"))), F.lit(DEPTH)))
-    return each.groupBy("run_id", "request_id", "budget").agg(level.alias("level"))
+    total = counts.groupBy("run_id").agg(F.sum("n").alias("total"))
+    left = total.join(F.broadcast(wanted))  # the short list of requests against one row per run
+    plan = left.filter(F.col("total") <= F.col("budget")).select("run_id", "request_id", "budget", F.lit(0).alias("level"))
+    left = left.filter(F.col("total") > F.col("budget")).select("run_id", "request_id", "budget")
+    placed = None
+    for lo, hi in STAGES:
+        if lo > STAGES[0][1]:
+            if placed is None:
+                runs = left.select("run_id").distinct()
+                placed = materialise(sized_join(base.select("run_id", "cell", "id"), runs, ["run_id"], "id").select("run_id", "cell").distinct(), "positions")
+                counts = placed.withColumn("n", F.lit(1))
+            counts = counts.join(left.select("run_id").distinct(), "run_id", "left_semi")
+        by_level = counts.withColumn("level", F.explode(F.sequence(F.lit(lo), F.lit(hi))))
+        cells = by_level.groupBy("run_id", "level", _at_level("level").alias("c")).agg(F.sum("n").alias("n"))
+        can = cells.groupBy("run_id", "level").agg(F.sum(F.least("n", F.lit(ENOUGH))).alias("can"))
+        each = can.join(left, "run_id").groupBy("run_id", "request_id", "budget").agg(F.min(F.when(F.col("can") >= F.col("budget"), F.col("level"))).alias("level"))
+        each = materialise(each, "levels")
+        plan = plan.unionByName(each.filter("level IS NOT NULL"))
+        left = each.filter("level IS NULL").select("run_id", "request_id", "budget")
+        if left.isEmpty():
+            return plan
+    return plan.unionByName(left.withColumn("level", F.lit(DEPTH)))
 
 
 def varied_subsets(points: DataFrame, requests: DataFrame) -> DataFrame:
@@ -210,8 +250,10 @@ def varied_subsets(points: DataFrame, requests: DataFrame) -> DataFrame:
     short and is broadcast). Equal gains are settled by a hash of the id, so the result does not depend on the layout.
     """
     base = located(points)
-    counts = materialise(base.groupBy("run_id", "cell", "block").agg(F.count(F.lit(1)).alias("n")), "cells")
-    plan = materialise(choose_levels(counts, requests), "levels")
+    rough = 3 * (DEPTH - STAGES[0][1])
+    top = F.when(F.col("cell") < 0, F.col("cell")).otherwise(F.shiftleft(F.shiftright("cell", rough), rough))
+    counts = materialise(base.groupBy("run_id", top.alias("cell"), "block").agg(F.count(F.lit(1)).alias("n")), "cells")
+    plan = materialise(choose_levels(counts, base, requests), "levels")
     bits = plan.groupBy("run_id").agg(F.bit_or(F.expr("shiftleft(1, level)")).alias("levels"))
     load = plan_counted(counts.groupBy("run_id", "block").agg(F.sum("n").alias("n")), ["run_id", "block"], "n")
     moved = fragment(sized_join(base, bits, ["run_id"], "id"), load, "id")
@@ -233,15 +275,37 @@ def varied_subsets(points: DataFrame, requests: DataFrame) -> DataFrame:
 
 
 def _fill(base: DataFrame, plan: DataFrame, chosen: DataFrame) -> DataFrame:
-    """What is missing where points coincide, so that the cells could not give enough: other points of the run, by hash."""
+    """What is still missing where points crowd within the cells of their level, or coincide.
+
+    Level by level, the first point by hash of each cell that has none yet is taken, until the number is reached; a request
+    starts below its own level. Only points that share a cell of the last level with a taken one, so coincide with it, are
+    left to the hash alone.
+    """
+    added = chosen.limit(0)
     have = chosen.groupBy("run_id", "request_id").agg(F.count(F.lit(1)).alias("have"))
-    short = materialise(plan.join(have, ["run_id", "request_id"], "left").withColumn("missing", F.col("budget") - F.coalesce("have", F.lit(0))).filter("missing > 0").select("run_id", "request_id", "budget", "missing"), "short")
+    short = materialise(plan.join(have, ["run_id", "request_id"], "left").withColumn("missing", F.col("budget") - F.coalesce("have", F.lit(0))).filter("missing > 0").select("run_id", "request_id", "budget", "level", "missing"), "short")
     if short.isEmpty():
-        return chosen.limit(0)
-    rest = sized_join(base.select("run_id", "id", "u").distinct(), short, ["run_id"], "id").join(chosen.select("run_id", "request_id", "id"), ["run_id", "request_id", "id"], "left_anti")
-    rest = materialise(rest, "rest")
-    n = rest.groupBy("run_id", "request_id").agg(F.count(F.lit(1)).alias("n"))
+        return added
+    points = sized_join(base.select("run_id", "id", "u", "cell"), short.select("run_id", "request_id", "level"), ["run_id"], "id")
+    points = points.groupBy("run_id", "request_id", "id", "u", "level").agg(F.min("cell").alias("cell"))
+    points = materialise(points.join(chosen.select("run_id", "request_id", "id", F.lit(True).alias("_in")), ["run_id", "request_id", "id"], "left"), "crowds")
+    key = ["run_id", "request_id"]
+    for level in range(short.agg(F.min("level")).first()[0] + 1, DEPTH + 1):
+        cells = points.filter(F.col("level") < level).groupBy(*key, _at_level(str(level)).alias("_c")).agg(F.max("_in").alias("_in"), F.min(F.struct("u", "id")).alias("_first"))
+        picked = sized_join(cells.filter("_in IS NULL").select(*key, "_first.u", "_first.id"), short.select(*key, "budget", "missing"), key, "id")
+        ranked = picked.withColumn("_r", F.row_number().over(Window.partitionBy(*key).orderBy("u", "id")))
+        picked = materialise(ranked.filter(F.col("_r") <= F.col("missing")).select(*key, "budget", "id"), "deeper")
+        added = added.unionByName(picked)
+        n = picked.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
+        short = materialise(short.join(n, key, "left").withColumn("missing", F.col("missing") - F.coalesce("_n", F.lit(0))).filter("missing > 0").drop("_n"), "short")
+        if short.isEmpty():
+            return added
+        new = picked.select(*key, "id", F.lit(True).alias("_new"))
+        points = points.join(short.select(*key), key, "left_semi").join(new, [*key, "id"], "left").withColumn("_in", F.coalesce("_in", "_new")).drop("_new")
+        points = materialise(points, "crowds")
+    rest = materialise(points.filter("_in IS NULL").select(*key, "id", "u").join(short, key), "rest")
+    n = rest.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
     # about twice as many as are missing come near the rank, whatever the size of the run
-    near = rest.join(n, ["run_id", "request_id"]).filter((F.col("u") / F.lit(2.0**64) + 0.5) < (2 * F.col("missing") + 50) / F.col("n"))
-    ranked = near.withColumn("_r", F.row_number().over(Window.partitionBy("run_id", "request_id").orderBy("u", "id")))
-    return ranked.filter(F.col("_r") <= F.col("missing")).select("run_id", "request_id", "budget", "id")
+    near = rest.join(n, key).filter((F.col("u") / F.lit(2.0**64) + 0.5) < (2 * F.col("missing") + 50) / F.col("n"))
+    ranked = near.withColumn("_r", F.row_number().over(Window.partitionBy(*key).orderBy("u", "id")))
+    return added.unionByName(ranked.filter(F.col("_r") <= F.col("missing")).select(*key, "budget", "id"))

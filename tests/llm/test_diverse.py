@@ -82,3 +82,25 @@ def test_the_size_of_a_task_unit_does_not_matter(spark, unit, monkeypatch):
     monkeypatch.setattr(D, "UNIT", 10**9)
     whole = pa.Table.from_batches(list(D._core_sets(iter(t.to_batches()))))
     assert chosen == {i for i, g in zip(whole.column("id").to_pylist(), whole.column("gain").to_pylist()) if g > 0}
+
+
+@pytest.mark.parametrize("far", [1.0, 1000.0, -1e30])
+def test_crowded_cells_are_varied_too(spark, far):
+    rng = np.random.default_rng(4)
+    xyz = np.where(np.arange(2000)[:, None] < 1900, rng.normal(0.0005, 2e-6, (2000, 3)), rng.uniform(0, 0.001, (2000, 3)))  # one cell of 64 a side
+    pts = spark.createDataFrame([(1, i, *map(float, v), 0, 0, 0) for i, v in enumerate(xyz)] + [(1, 2000, far, far, far, 0, 0, 0)], COLS)
+    req = spark.createDataFrame([(1, 200), (2, 600)], "request_id int, requested_budget bigint")
+    got = D.varied_subsets(pts, req).toPandas()
+    for request, budget in ((1, 200), (2, 600)):
+        ids = set(got[got["request_id"] == request]["id"])
+        assert len(ids) == budget and 2000 in ids
+        assert len(ids & set(range(1900, 2000))) >= 95  # a random choice has 10 and 30
+
+
+def test_all_positions_come_before_copies(spark):
+    rng = np.random.default_rng(6)
+    xyz = np.concatenate([rng.random((300, 3)), np.full((700, 3), 0.5), 0.25 + np.arange(50)[:, None] * 1e-5 * np.ones((1, 3))])
+    pts = spark.createDataFrame([(1, i, *map(float, v), 0, 0, 0) for i, v in enumerate(xyz)], COLS)
+    req = spark.createDataFrame([(1, 360)], "request_id int, requested_budget bigint")
+    ids = {r["id"] for r in D.varied_subsets(pts, req).collect()}
+    assert len(ids) == 360 and len(ids - set(range(300, 1000))) == 350
