@@ -27,6 +27,7 @@ SENTENCE_COVER, COMBINED_COVER, PASSAGE_COVER = 0.6, 0.7, 0.5
 
 _CODE = re.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)|`[^`\n]*`", re.S)
 _HIDDEN = re.compile("[​-‏ -‮⁠-⁤﻿­]")
+_LINE_END = re.compile("\r\n|[\r\v\f\x85\u2028]")
 _TAG = re.compile(r"</?(?:html|head|title|body|h[1-6]|hr|p|div|span|br|noscript|center|b|i|a|ul|ol|li|details|summary|pre|code|script|style|meta|link|table|tr|td|th)\b[^<>]*>", re.I)
 _LOG = re.compile(r"^\s*\S{6,30}\s+(?:TRACE|DEBUG|INFO|WARN|WARNING|ERROR|FATAL)\b")
 _CHAT = re.compile(r"^\s*\[\d{1,2}:\d\d(?::\d\d)?\]\s*[\w.-]+:\s*")
@@ -99,7 +100,7 @@ _LATIN = tuple(sorted(W.LATIN_ENDINGS.split(), key=len, reverse=True))
 
 def plain(text: str) -> str:
     """The text without code, hidden characters, markup and odd line ends; compatibility forms are unified."""
-    text = text.replace("\r\n", "\n").replace("\r", "\n")
+    text = _LINE_END.sub("\n", text).replace("\u2029", "\n\n")
     text = _HIDDEN.sub("", _CODE.sub(" ", text))
     return unicodedata.normalize("NFKC", _TAG.sub("\n", text).replace("’", "'"))
 

@@ -107,3 +107,10 @@ def test_residue_of_a_table(spark):
     got = sorted((tuple(r) for r in R.flag_residue(df, ["doc_id"]).collect()), key=str)
     assert got == [(1, True), (1, True), (2, False), (3, False), (None, False)]
     assert R.flag_residue(df.limit(0), ["doc_id"]).count() == 0
+
+
+@pytest.mark.parametrize("gap", ["\u2029", "\u2028\u2028", "\x85\x85", "\f\f", "\v\v"])
+def test_other_separators_part_passages(gap):
+    content = "The harvest of the year was brought in by three farms along the river before the storm came over the hills"
+    assert not R.is_residue(content)
+    assert R.is_residue(content + gap + "Please enable JavaScript to view this page.")
