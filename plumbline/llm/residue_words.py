@@ -34,9 +34,16 @@ error | fehler | erreur | erro | ошибка | エラー | 错误 | http
 """,
     "unable": """
 unable to | could not | couldn't | cannot | can't | can not | was not possible to | is not possible to | not able to | failed to
+konnte nicht | konnten nicht | kann nicht | können nicht | nicht möglich | konnte | konnten | impossible de | n'avons pas pu | n'a pas pu | n'a pas pu être | ne peut pas | ne pouvons pas | n'arrivons pas à
+no se pudo | no pudimos | no podemos | no se puede | no hemos podido | no fue posible | imposible | não foi possível | não conseguimos | não podemos | não pôde ser | impossível
+не удалось | не удаётся | не удается | не можем | не смогли | невозможно | できませんでした | できません | 无法 | 不能 | 未能
 """,
     "access": """
 find what you were looking for | connect to the | show | fetch | open | find | reach | load | display | retrieve | connect | view | page | document | workspace | file | scene | run | report | request | shown
+nicht finden | nicht gefunden | nicht laden | nicht geladen | nicht öffnen | nicht anzeigen | angezeigt | seite | dokument | datei | anfrage | finden | laden | geladen | öffnen | anzeigen | abrufen | werden
+trouver | charger | ouvrir | afficher | accéder | page | fichier | document | demande | trouvée | chargée | affichée
+encontrar | cargar | abrir | mostrar | acceder | página | archivo | documento | solicitud | carregar | exibir | acessar | arquivo | pedido
+найти | загрузить | открыть | показать | отобразить | получить | страницу | страница | файл | документ | запрос | ページ | ファイル | 文書 | 表示 | 読み込み | 読み込む | 開く | 見つける | 页面 | 网页 | 文件 | 文档 | 加载 | 打开 | 显示 | 找到
 """,
     "script": """
 javascript is disabled | javascript is required | javascript required | requires javascript | javascript must be enabled | scripts are blocked | scripts are disabled | scripts must be | only with javascript | without javascript
@@ -50,9 +57,14 @@ javascript を有効に | javascriptを有効に | スクリプトが無効 | 
 """,
     "scripts": """
 javascript | js | script | scripts | scripting | active scripting | script support | client-side scripts | client-side scripting
+skripte | skript | scripte | java-script | les scripts | los scripts | os scripts | скрипты | скриптов | スクリプト | 脚本
 """,
     "switch": """
 enable | enabled | turn on | turn them on | turned on | switch on | switched on | activate | activated | allow | allowed | unblock | unblocked | permit | permitted | disabled | blocked | switched off | turned off | needs | need | required | requires | require | works only with | only works with | must be
+schalten | einschalten | aktivieren | aktiviert | aktiviere | erlauben | zulassen | eingeschaltet | deaktiviert | benötigt | erfordert
+activez | activer | activé | autorisez | autoriser | désactivé | nécessite | requiert | habilite | habilita | habilitar | active | activa | activar | activado | permita | permitir | desactivado | requiere | necesita
+ative | ativar | ativado | habilitado | desativado | requer | precisa | включите | включить | включён | включен | разрешите | отключён | отключен | требуется | требует | нужен
+有効 | 有効に | オン | 許可 | 必要 | 無効 | 启用 | 开启 | 打开 | 允许 | 需要 | 禁用
 """,
     "filler": """
 lorem ipsum | lorem | ipsum | dolor sit amet | your text here | your text goes here | text goes here | heading goes here | title goes here | content goes here | content coming soon | coming soon | content to follow
@@ -67,9 +79,12 @@ texto de preenchimento | conteúdo em breve | em breve | escreva aqui | seu text
 """,
     "write": """
 add | put | paste | drop | write | insert | type | enter | place | describe | fill in
+schreiben | schreibe | einfügen | eingeben | eintragen | ergänzen | écrivez | écrire | ajoutez | saisissez | insérez | collez | escriba | escribe | añada | añade | inserte | pegue | introduzca
+escreva | adicione | insira | cole | digite | напишите | добавьте | вставьте | введите | впишите | 入力 | 記入 | 書いて | 追加 | 输入 | 填写 | 添加 | 写
 """,
     "here": """
 here | in this box | in this field | in this space | in this section | in this area | below this line
+hier | an dieser stelle | in diesem feld | ici | dans ce champ | à cet endroit | aquí | en este campo | aqui | neste campo | neste espaço | здесь | сюда | тут | в этом поле | в это поле | ここに | ここ | この欄に | 此处 | 这里 | 在此
 """,
     "around_error": """
 sorry | oops | please | what | looking for | looking | moved | removed | deleted | typed | mistyped | database | message | status | connect | connection | host | gateway | proxy | wrong | happened | reason | details | id | page | pages | requested | asked for | you asked for | document | file | scene | report | reports | workspace | server | portal | site | website | service | app | application | viewer | panel | right now | did not answer | in time | at this time | at the moment | followed | old link | link | links | check | address | url | reload | refresh | try again | later | go back | back | overview | home | homepage | ask | owner | access | permission | permissions | view | contact | administrator | support | help desk | code | reference | request | id | ref | keeps happening | happening | tell | ticket | opened | rendering | slow down | seconds | minutes | sign in | log in | again | go on | continue | expired | moved | on our side | side | failed | timeout | time out | edge | apache | nginx | available | answer | error | problem | may | show | shown | see | load | open | find | reach | fetch | run | display | lookup | address failed | down | maintenance

@@ -114,3 +114,19 @@ def test_other_separators_part_passages(gap):
     content = "The harvest of the year was brought in by three farms along the river before the storm came over the hills"
     assert not R.is_residue(content)
     assert R.is_residue(content + gap + "Please enable JavaScript to view this page.")
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "Bitte schalten Sie JavaScript ein.", "Wir konnten die Seite nicht finden.", "Activez JavaScript.", "Nous n'avons pas pu afficher la page.", "Habilite JavaScript.", "No pudimos cargar el documento.",
+        "Ative o JavaScript.", "Não conseguimos carregar o arquivo.", "Включите скрипты.", "Мы не смогли загрузить страницу.", "スクリプトを有効に", "无法打开文件", "Schreiben Sie hier.", "Écrivez ici.", "Escriba aquí.", "Escreva aqui.", "Напишите здесь.",
+    ],
+)
+def test_notices_combine_in_other_languages(text):
+    assert R.is_residue(text)
+
+
+@pytest.mark.parametrize("text", ["Wir konnten die Seite des Buches, die unser Großvater markiert hatte, erst nach langem Suchen finden.", "Le document explique pourquoi les agriculteurs n'ont pas pu vendre leur récolte cette année.", "Мы не смогли поехать к морю, потому что дорога была закрыта из-за снега."])
+def test_words_of_notices_in_other_languages_are_kept(text):
+    assert not R.is_residue(text)
