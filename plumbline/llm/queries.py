@@ -16,6 +16,8 @@ ORACLE: dict[str, str] = {}
 SEED = 1337
 #: Different sample sizes that may be asked for at once.
 MAX_REQUESTS = 10_000
+#: Setting that names the folder in which the numbers and thresholds of p1_sample stay from run to run, one folder per population.
+NUMBERS_FOLDER = "spark.plumbline.numbers.folder"
 
 
 def query(name: str, sql: str | None = None):
@@ -37,7 +39,7 @@ SELECT CAST(request_id AS BIGINT) AS request_id, keep_share AS threshold, id FRO
 WHERE keep_share IS NOT NULL AND NOT isnan(keep_share) AND u < keep_share""",
 )
 def p1_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    numbers = permanent.NumberTable(spark, new_folder(spark, "permanent"))
+    numbers = permanent.NumberTable(spark, spark.conf.get(NUMBERS_FOLDER, None) or new_folder(spark, "permanent"))
     numbers.insert(permanent.seeded_points(table(spark, sf_dir, "scene_point"), table(spark, sf_dir, "audit_run")))
     numbers.raise_thresholds(table(spark, sf_dir, "lod_request"))
     return numbers.select()

@@ -49,3 +49,20 @@ def test_points_get_the_seed_of_their_run(spark):
     runs = spark.createDataFrame([(1, 5), (1, 5), (2, None), (4, 1)], "run_id bigint, seed bigint")
     assert {tuple(r) for r in seeded_points(points, runs).collect()} == {(10, 5)}
     assert seeded_points(points.limit(0), runs).count() == 0
+
+
+def test_the_query_keeps_what_it_selected_in_an_earlier_run(spark, tmp_path):
+    from plumbline.llm import queries as Q
+
+    spark.range(500).selectExpr("1L AS run_id", "id").write.parquet(f"{tmp_path}/scene_point.parquet")
+    spark.createDataFrame([(1, 7)], "run_id bigint, seed bigint").write.parquet(f"{tmp_path}/audit_run.parquet")
+    got = []
+    spark.conf.set(Q.NUMBERS_FOLDER, f"file://{tmp_path}/kept")
+    try:
+        for share in (0.5, 0.2):
+            spark.createDataFrame([(1, share)], "request_id int, keep_share double").write.mode("overwrite").parquet(f"{tmp_path}/lod_request.parquet")
+            spark.catalog.clearCache()
+            got.append({r["id"] for r in Q.p1_sample(spark, str(tmp_path)).collect()})
+    finally:
+        spark.conf.unset(Q.NUMBERS_FOLDER)
+    assert got[0] == got[1] and len(got[0]) > 200
