@@ -19,8 +19,8 @@ QUERY_STEP = 256
 BLOCK_ROWS = 65_536
 
 
-def matrix(ids: pa.Array, vecs: pa.Array, dtype: type | None = np.float64) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and rows; rows with a null id, a null vector or another length than the first are left out.
+def matrix(ids: pa.Array, vecs: pa.Array, dtype: type | None = np.float64, dim: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and rows; rows with a null id, a null vector or another length than ``dim``, else than the first, are left out.
 
     ``dtype`` of None keeps the precision of the input.
     """
@@ -29,12 +29,13 @@ def matrix(ids: pa.Array, vecs: pa.Array, dtype: type | None = np.float64) -> tu
     lengths = vecs.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
     known = lengths[lengths > 0]
     if not len(known):
-        return np.empty(0, np.int64), np.empty((0, 0))
-    keep = (lengths == known[0]) & ids.is_valid().to_numpy(zero_copy_only=False)
+        return np.empty(0, np.int64), np.empty((0, dim or 0))
+    dim = dim or int(known[0])
+    keep = (lengths == dim) & ids.is_valid().to_numpy(zero_copy_only=False)
     mask = pa.array(keep)
     whole = bool(keep.all())
     flat = (vecs if whole else vecs.filter(mask)).flatten().to_numpy(zero_copy_only=False)
-    rows = (flat if dtype is None else flat.astype(dtype, copy=False)).reshape(-1, known[0])
+    rows = (flat if dtype is None else flat.astype(dtype, copy=False)).reshape(-1, dim)
     return ids.filter(mask).to_numpy(zero_copy_only=False).astype(np.int64), rows
 
 
@@ -143,14 +144,16 @@ _SCHEMA = "qid bigint, id bigint, dist double"
 
 
 def _shipped(corpus: DataFrame, asked: pa.Table, k: int, metric: str, exclude_self: bool) -> DataFrame:
-    qids, q = matrix(asked.column("qid"), asked.column("qvec"), None)
+    lengths = asked.column("qvec").combine_chunks().value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    counts = np.bincount(lengths[lengths > 0], minlength=1)
+    qids, q = matrix(asked.column("qid"), asked.column("qvec"), None, int(counts.argmax()))  # the usual length, wherever it stands
     held = corpus.sparkSession.sparkContext.broadcast((qids, q))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qids, q = held.value
         best = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
         for b in batches:
-            ids, x = matrix(b.column("id"), b.column("vec"), None)
+            ids, x = matrix(b.column("id"), b.column("vec"), None, q.shape[1])
             found = block_top(qids, q, ids, x, k, metric, exclude_self) if len(ids) and len(qids) else best
             best = keep_top(*(np.concatenate(c) for c in zip(best, found)), k)
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in best], names=["qid", "id", "dist"])
@@ -165,11 +168,14 @@ def _blocked(corpus: DataFrame, queries: DataFrame, k: int, metric: str, exclude
     rows = rows.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
     asked = queries.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(q_blocks)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
+    usual = queries.filter(F.size("qvec") > 0).groupBy(F.size("qvec").alias("d")).count().orderBy(F.desc("count"), "d").first()
+    dim = usual["d"] if usual else None
+
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
         found = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
         if a.num_rows and b.num_rows:
-            ids, x = matrix(a.column("id"), a.column("vec"), None)
-            qids, q = matrix(b.column("qid"), b.column("qvec"), None)
+            ids, x = matrix(a.column("id"), a.column("vec"), None, dim)
+            qids, q = matrix(b.column("qid"), b.column("qvec"), None, dim)
             if len(ids) and len(qids):
                 found = keep_top(*block_top(qids, q, ids, x, k, metric, exclude_self), k)
         return pa.table([pa.array(c) for c in found], names=["qid", "id", "dist"])

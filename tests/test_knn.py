@@ -60,3 +60,12 @@ def test_keep_top_keeps_the_smallest(rows, k):
     for qid in sorted({r[0] for r in rows}):
         want += [(qid, b, a) for a, b in sorted({(float(r[2]), r[1]) for r in rows if r[0] == qid})[:k]]
     assert got == want
+
+
+@pytest.mark.parametrize("shipped", [knn.SHIPPED_QUERIES, 0])
+def test_a_first_row_of_wrong_length_is_left_out_alone(spark, shipped, monkeypatch):
+    monkeypatch.setattr(knn, "SHIPPED_QUERIES", shipped)
+    corpus = frame(spark, [(99, (1.0, 2.0, 3.0)), *POINTS]).coalesce(1)
+    asked = frame(spark, [(0, (0.0, 0.0)), (4, (10.0, 1.0))], "qid")
+    got = found(knn.exact_knn(corpus, asked, 1, "L2"))
+    assert got == {(0, 0): 1, (4, 0): 3}
