@@ -33,14 +33,14 @@ def distance(a: Column | str, b: Column | str, metric: str) -> Column:
 
 
 def normalise(a: Column | str) -> Column:
-    """Scaled to norm 1 as floats; null for a zero vector."""
+    """Scaled to norm 1 as floats; null for a zero vector and for one whose norm is not finite."""
     n = norm(a)
-    return F.when(n > 0, F.transform(a, lambda x: (x.cast("double") / n).cast("float")))
+    return F.when((n > 0) & (n < float("inf")), F.transform(a, lambda x: (x.cast("double") / n).cast("float")))
 
 
 def all_finite(a: Column | str) -> Column:
     """Whether every element is a finite number; null for a null array."""
-    return F.forall(a, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return F.forall(a, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
 
 
 def is_zero(a: Column | str) -> Column:

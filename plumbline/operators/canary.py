@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.vectors import TIE_DECIMALS, distance
+from plumbline.operators import knn
 from plumbline.operators.sampling import bootstrap_means
 from plumbline.operators.verdict import evaluate
+from plumbline.session import broadcast_if_small, settle
 
 RTOL = 1e-6
 MIN_QUERIES = 5
@@ -21,12 +23,16 @@ def returned_distances(returned: DataFrame, corpus: DataFrame, queries: DataFram
     """True distance of each returned id from the corpus; null for an id that is not live. Engine distances are ignored.
 
     Negative (padding) ids and repeated ids of a query are removed, keeping the best rank; ``n_duplicate`` counts them.
+    An id that the corpus has twice gets the smaller distance. The few returned ids meet the corpus where it is scanned,
+    so its vectors are not shuffled, unless the ids are too many to broadcast.
     """
     keys = [*groups, "qid"]
     rows = returned.filter(F.col("id") >= 0)
-    once = rows.groupBy(*keys, "id").agg(F.min("rank").alias("rank"), (F.count(F.lit(1)) - 1).alias("n_duplicate"))
-    vecs = once.join(corpus.select("id", "vec"), "id", "left").join(F.broadcast(queries.select(*keys, F.col("vec").alias("qvec"))), keys)
-    return vecs.select(*keys, "rank", "id", "n_duplicate", F.round(distance("qvec", "vec", metric), TIE_DECIMALS).alias("dist"), F.col("vec").isNotNull().alias("live"))
+    once = settle(rows.groupBy(*keys, "id").agg(F.min("rank").alias("rank"), (F.count(F.lit(1)) - 1).alias("n_duplicate")), "returned")
+    asked = queries.select(*keys, F.col("vec").alias("qvec"))
+    met = corpus.select("id", "vec").filter(F.col("vec").isNotNull()).join(broadcast_if_small(once.select(*keys, "id")), "id").join(broadcast_if_small(asked), keys)
+    near = met.select(*keys, "id", F.round(distance("qvec", "vec", metric), TIE_DECIMALS).alias("dist")).groupBy(*keys, "id").agg(F.min("dist").alias("dist"), F.lit(True).alias("_live"))
+    return once.join(near, [*keys, "id"], "left").select(*keys, "rank", "id", "n_duplicate", "dist", F.coalesce("_live", F.lit(False)).alias("live"))
 
 
 def per_query(truth: DataFrame, returned: DataFrame, corpus: DataFrame, queries: DataFrame, k: int, metric: str, *groups: str, known: DataFrame | None = None) -> DataFrame:
@@ -105,9 +111,17 @@ def group_queries(corpus: DataFrame, group: str, per_group: int, seed: int) -> D
 
 
 def group_truth(corpus: DataFrame, group: str, queries: DataFrame, k: int, metric: str) -> DataFrame:
-    """Exact neighbours within each query's own group: one plan for all groups."""
-    rows = corpus.select(F.col(group).alias("grp"), "id", "vec")
-    pairs = rows.join(F.broadcast(queries.withColumnRenamed("vec", "qvec")), "grp").filter(F.col("id") != F.col("qid"))
-    scored = pairs.select("grp", "qid", "id", F.round(distance("qvec", "vec", metric), TIE_DECIMALS).alias("dist"))
-    r = F.row_number().over(Window.partitionBy("grp", "qid").orderBy("dist", "id"))
-    return scored.withColumn("rank", r).filter(F.col("rank") <= k).withColumn("rank", F.col("rank") - 1)
+    """Exact neighbours within each query's own group: one plan for all groups.
+
+    Each batch of the corpus is compared with the queries of the groups that it has, by one matrix product a group. More
+    than ``knn.SHIPPED_QUERIES`` queries are joined with their groups instead.
+    """
+    rows = corpus.select(F.col(group).alias("grp"), "id", "vec").filter(F.col("grp").isNotNull())
+    asked = queries.select("grp", "qid", F.col("vec").alias("qvec"))
+    held = asked.limit(knn.SHIPPED_QUERIES + 1).toArrow()
+    if held.num_rows <= knn.SHIPPED_QUERIES:
+        found = knn.grouped_top(rows, held, k, metric)
+    else:
+        pairs = rows.join(asked, "grp").filter((F.col("id") != F.col("qid")) & (F.size("vec") == F.size("qvec")))
+        found = pairs.select("grp", "qid", "id", F.round(distance("qvec", "vec", metric), TIE_DECIMALS).alias("dist"))
+    return knn.rank_top(found, k, "grp")

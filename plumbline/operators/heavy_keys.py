@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Observation, Row
 from pyspark.sql import functions as F
 
-from plumbline.session import BROADCAST_ROWS, default_tasks, materialise, rows_up_to
+from plumbline.session import default_tasks, materialise, small_enough
 
 #: A key is heavy from 1/FINE of a task's fair load.
 FINE = 8
@@ -154,13 +154,17 @@ def fragment_replicate_join(big: DataFrame, matching: DataFrame, keys: list[str]
 
 
 def sized_join(big: DataFrame, small: DataFrame, keys: list[str], spread_by: str) -> DataFrame:
-    """Inner equi-join that broadcasts ``small`` only if it is counted to be small, else fragment-replicates it.
+    """Inner equi-join that broadcasts ``small`` only if its rows and bytes are counted to be few, else fragment-replicates it.
 
-    Null keys match null keys only on the second path, so filter them out before if that matters.
+    A null key matches nothing, on either path. The keys come first, then the other columns of either side.
     """
-    if rows_up_to(small, BROADCAST_ROWS) <= BROADCAST_ROWS:
-        return big.join(F.broadcast(small), keys)
-    return fragment_replicate_join(big, small, keys, spread_by)
+    some = F.lit(True)
+    for k in keys:
+        some = some & F.col(k).isNotNull()
+    order = [*keys, *[c for c in (*big.columns, *small.columns) if c not in keys]]
+    big, small = big.filter(some), small.filter(some)
+    joined = big.join(F.broadcast(small), keys) if small_enough(small) else fragment_replicate_join(big, small, keys, spread_by)
+    return joined.select(*order)
 
 
 def long_keys(points: DataFrame, fields: list[str], *others: str) -> DataFrame:

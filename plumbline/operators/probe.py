@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.session import broadcast_if_small, settle
+
 INVERSE_CAP = 500
 
 
@@ -15,8 +17,10 @@ def probe_roles(truth: DataFrame, returned: DataFrame, corpus: DataFrame) -> Dat
     """
     t = truth.select("qid", "id", F.lit(True).alias("_true")).distinct()
     r = returned.filter(F.col("id") >= 0).select("qid", "id", F.lit(True).alias("_got")).distinct()
-    live = corpus.filter(~F.coalesce(F.col("deleted"), F.lit(False))).select("id", F.lit(True).alias("_live"))
-    both = t.join(r, ["qid", "id"], "full").join(live, "id", "left")
+    pairs = settle(t.join(r, ["qid", "id"], "full"), "probe")
+    # the few ids meet the corpus where it is scanned; only what was met goes on
+    live = corpus.filter(~F.coalesce(F.col("deleted"), F.lit(False))).select("id").join(broadcast_if_small(pairs.select("id").distinct()), "id", "left_semi")
+    both = pairs.join(live.distinct().withColumn("_live", F.lit(True)), "id", "left")
     role = F.when(F.col("_true") & F.col("_got"), "hit").when(F.col("_true"), "missed").when(F.col("_live").isNull(), "dead").otherwise("unexpected")
     return both.select("qid", "id", role.alias("role"))
 
@@ -33,7 +37,7 @@ def hub_cannibalisation(neighbours: DataFrame, hubs: DataFrame, cap: int = INVER
 
     ``n_k`` is not capped. A hub that nobody names has an empty list.
     """
-    named = neighbours.join(F.broadcast(hubs.select("id")) if hubs.limit(10_001).count() <= 10_000 else hubs.select("id"), "id").select("id", "qid").distinct()
+    named = neighbours.join(broadcast_if_small(hubs.select("id").distinct()), "id", "left_semi").select("id", "qid").distinct()
     n = named.groupBy("id").agg(F.count(F.lit(1)).alias("n_k"))
     first = named.withColumn("_r", F.row_number().over(Window.partitionBy("id").orderBy("qid"))).filter(F.col("_r") <= cap)
     lists = first.groupBy("id").agg(F.sort_array(F.collect_list("qid")).alias("qids"))
@@ -44,7 +48,9 @@ def hub_cannibalisation(neighbours: DataFrame, hubs: DataFrame, cap: int = INVER
 
 def ghost_neighbourhood(neighbours_all: DataFrame, corpus: DataFrame) -> DataFrame:
     """``(qid, n, n_live, n_dead, blocked_fraction)`` of neighbours among live and dead rows together."""
-    flags = neighbours_all.join(corpus.select("id", F.coalesce("deleted", F.lit(False)).alias("deleted")), "id")
+    pairs = settle(neighbours_all.select("qid", "id"), "ghosts")
+    met = corpus.select("id", F.coalesce("deleted", F.lit(False)).alias("deleted")).join(broadcast_if_small(pairs.select("id").distinct()), "id", "left_semi")
+    flags = pairs.join(met, "id")
     dead = F.sum(F.col("deleted").cast("bigint"))
     return flags.groupBy("qid").agg(F.count(F.lit(1)).alias("n"), (F.count(F.lit(1)) - dead).alias("n_live"), dead.alias("n_dead"), (dead / F.count(F.lit(1))).alias("blocked_fraction"))
 

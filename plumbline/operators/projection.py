@@ -13,6 +13,14 @@ from pyspark.sql import functions as F
 from plumbline.operators.knn import matrix
 
 
+#: Matrices that a step of the tree leaves, as a part of those before, and that come to the driver.
+FAN_IN = 8
+
+
+def _cell(values: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([values.tobytes()], pa.binary())], names=["m"])
+
+
 @dataclass(frozen=True)
 class Projection:
     mean: np.ndarray
@@ -24,26 +32,42 @@ class Projection:
 def fit(corpus: DataFrame, components: int = 3) -> Projection:
     """Mean, leading eigenvectors and scale of ``corpus(id, vec)``.
 
-    Each task sums x and x x' of its rows; the driver gets one d x d matrix per task group. Signs are fixed so that the
-    largest loading of a component is positive; with fewer dimensions than components the basis is padded with zeros.
+    Each task sums x and x x' of its rows and sends one d x d matrix as a single cell; the matrices are added in a tree and
+    the driver gets FAN_IN of them. Signs are fixed so that the largest loading of a component is positive; with fewer
+    dimensions than components the basis is padded with zeros. Vectors of another length than the first are left out.
     """
+    first = corpus.select(F.size("vec").alias("d")).filter("d > 0").first()
+    if not first:
+        raise ValueError("an empty corpus cannot be projected")
+    d = first["d"]
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, s, g = 0, None, None
         for b in batches:
-            ids, x = matrix(b.column("id"), b.column("vec"))
+            ids, x = matrix(b.column("id"), b.column("vec"), dim=d)
             if len(ids):
                 n += len(ids)
                 s = x.sum(0) if s is None else s + x.sum(0)
                 g = x.T @ x if g is None else g + x.T @ x
         if n:
-            flat = np.concatenate([[n], s, g.ravel()])
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat)], names=["i", "v"])
+            yield _cell(np.concatenate([[n], s, g.ravel()]))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for b in batches:
+            for x in b.column("m"):
+                part = np.frombuffer(x.as_buffer(), np.float64)
+                total = part.copy() if total is None else total + part
+        if total is not None:
+            yield _cell(total)
 
-    total = corpus.select("id", "vec").mapInArrow(sums, "i bigint, v double").groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").toArrow().column("v").to_numpy()
-    if not len(total):
+    parts, left = corpus.select("id", "vec").mapInArrow(sums, "m binary"), FAN_IN**2
+    while left > 1:  # a tree: each task adds the matrices of its share, one at a time
+        parts, left = parts.repartition(left, F.spark_partition_id()).mapInArrow(add, "m binary"), left // FAN_IN
+    last = list(add(parts.toArrow().to_batches()))
+    if not last:
         raise ValueError("an empty corpus cannot be projected")
-    d = int((np.sqrt(4 * len(total) - 3) - 1) / 2)
+    total = np.frombuffer(last[0].column("m")[0].as_buffer(), np.float64)
     n, mean, gram = total[0], total[1 : d + 1] / total[0], total[d + 1 :].reshape(d, d)
     cov = (gram - n * np.outer(mean, mean)) / max(n - 1, 1)
     values, vectors = np.linalg.eigh(cov)
@@ -63,7 +87,7 @@ def transform(corpus: DataFrame, p: Projection) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = held.value
         for b in batches:
-            ids, x = matrix(b.column("id"), b.column("vec"))
+            ids, x = matrix(b.column("id"), b.column("vec"), dim=len(p.mean))
             y = np.clip((x - p.mean) @ p.basis / p.scale, -1, 1) if len(ids) else np.empty((0, 3))
             yield pa.RecordBatch.from_arrays([pa.array(ids), *[pa.array(y[:, i]) for i in range(3)]], names=["id", "x", "y", "z"])
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.vectors import min_max, voxel_key
 from plumbline.operators.sampling import first_by, keyed_hash
+from plumbline.session import broadcast_if_small
 
 #: Classes of points and those that are always shown.
 CLASSES = {"ordinary": 0, "hub": 1, "antihub": 2, "tombstone": 3, "query": 4, "true_neighbour": 5, "returned": 6, "missed": 7}
@@ -33,11 +34,11 @@ def resolve_budget(requested: int | None, device_max: int | None = None) -> int:
     return min(want, HARD_BUDGET, device_max or HARD_BUDGET)
 
 
-def plan_chunks(total: int, budget: int) -> list[int]:
+def plan_chunks(total: int, budget: int, coarse: int = COARSE, refine: int = REFINE) -> list[int]:
     """Sizes of the chunks that a scene is sent in: a coarse one, then refinements."""
     left, sizes = min(total, budget), []
     while left > 0:
-        size = min(left, REFINE if sizes else COARSE)
+        size = min(left, refine if sizes else coarse)
         sizes.append(size)
         left -= size
     return sizes
@@ -70,13 +71,13 @@ def decimate(scene: DataFrame, budget: int, seed: int = 1337) -> DataFrame:
     return priority.unionByName(marked.filter("_stage = 1")).unionByName(first_by(marked.filter("_stage = 2"), left - n_reps, u))
 
 
-def chunk(scene: DataFrame, budget: int, index: int, seed: int = 1337) -> DataFrame:
+def chunk(scene: DataFrame, budget: int, index: int, seed: int = 1337, coarse: int = COARSE, refine: int = REFINE) -> DataFrame:
     """One chunk of a scene that is sent in order of stage and hash; chunks are disjoint and make up the decimated scene.
 
     The ranking runs over the decimated scene, which the display budget bounds.
     """
     shown = decimate(scene, min(budget, HARD_BUDGET), seed)
-    sizes = plan_chunks(scene.count(), budget)
+    sizes = plan_chunks(scene.count(), min(budget, HARD_BUDGET), coarse, refine)
     if not 0 <= index < len(sizes):
         raise ValueError(f"chunk {index} of {len(sizes)}")
     start = sum(sizes[:index])
@@ -85,11 +86,14 @@ def chunk(scene: DataFrame, budget: int, index: int, seed: int = 1337) -> DataFr
 
 
 def classify(points: DataFrame, hubs: DataFrame, antihubs: DataFrame) -> DataFrame:
-    """``point_class`` from lists of ids (capped report lists): tombstone before hub before anti-hub."""
-    h = F.broadcast(hubs.limit(10_000).select("id", F.lit(True).alias("_h")))
-    a = F.broadcast(antihubs.limit(10_000).select("id", F.lit(True).alias("_a")))
-    cls = F.when(F.col("deleted"), CLASSES["tombstone"]).when(F.col("_h"), CLASSES["hub"]).when(F.col("_a"), CLASSES["antihub"]).otherwise(CLASSES["ordinary"])
-    return points.join(h, "id", "left").join(a, "id", "left").withColumn("point_class", cls.cast("tinyint")).drop("_h", "_a")
+    """``point_class`` from tables of ids of any length: tombstone before hub before anti-hub, else ordinary.
+
+    A null ``deleted`` counts as live; an id may be listed more than once.
+    """
+    marks = hubs.select("id", F.lit(CLASSES["hub"]).alias("_m")).unionByName(antihubs.select("id", F.lit(CLASSES["antihub"]).alias("_m")))
+    marks = marks.filter(F.col("id").isNotNull()).groupBy("id").agg(F.min("_m").alias("_m"))
+    cls = F.when(F.col("deleted"), CLASSES["tombstone"]).otherwise(F.coalesce("_m", F.lit(CLASSES["ordinary"])))
+    return points.join(broadcast_if_small(marks), "id", "left").withColumn("point_class", cls.cast("tinyint")).drop("_m")
 
 
 def with_centroid_distance(scene: DataFrame) -> DataFrame:

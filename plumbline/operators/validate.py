@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.vectors import all_finite, is_zero
+from plumbline.functions.vectors import all_finite, is_zero, norm
+from plumbline.session import broadcast_if_small, materialise
 
 #: Offending ids that an error names, at most.
 MAX_OFFENDERS = 20
@@ -48,10 +49,19 @@ def check(corpus: DataFrame, dim: int, metric: str) -> int:
     return r["n_degenerate"]
 
 
+def check_unit(corpus: DataFrame, tolerance: float = 1e-4) -> None:
+    """Raise UsageError if a vector that was scaled to norm 1 is off by more than ``tolerance``."""
+    off = F.abs(norm("vec") - 1)
+    bad = corpus.filter(~(off <= tolerance)).select("id").limit(MAX_OFFENDERS).collect()
+    if bad:
+        raise UsageError("vectors do not have norm 1 after normalising", [r["id"] for r in bad])
+
+
 def payload_equals(field: str, value: str):
-    """Loose equality of a payload field: as text, or as whole numbers."""
-    as_text = F.col(field).cast("string") == value
-    as_number = F.expr(f"try_cast(`{field}` AS BIGINT)") == F.expr(f"try_cast('{value.replace(chr(39), '')}' AS BIGINT)")
+    """Loose equality of a payload field: as text, or as whole numbers. ``field`` is one column name, whatever it holds."""
+    column = F.col("`" + field.replace("`", "``") + "`")
+    as_text = column.cast("string") == F.lit(value)
+    as_number = column.try_cast("bigint") == F.lit(value).try_cast("bigint")
     return F.coalesce(as_text, F.lit(False)) | F.coalesce(as_number, F.lit(False))
 
 
@@ -62,8 +72,6 @@ def encode_ids(keys: DataFrame, key: str = "key") -> DataFrame:
     """
     distinct = keys.select(key).filter(F.col(key).isNotNull()).distinct()
     ranged = distinct.repartitionByRange(key).sortWithinPartitions(key).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("bigint"), 33))
-    from plumbline.session import materialise
-
     ranged = materialise(ranged, "ids")
     sizes = ranged.groupBy("_p").count().orderBy("_p").collect()  # one row per partition
     offsets, at = [], 0
@@ -72,3 +80,9 @@ def encode_ids(keys: DataFrame, key: str = "key") -> DataFrame:
         at += r["count"]
     table = keys.sparkSession.createDataFrame(offsets, "_p int, _o bigint")
     return ranged.join(F.broadcast(table), "_p").select(key, (F.col("_o") + F.col("_i")).alias("id"))
+
+
+def decode_ids(rows: DataFrame, encoded: DataFrame, id_col: str = "id", key: str = "key") -> DataFrame:
+    """``rows`` with the original ``key`` of each id by the table of :func:`encode_ids`; an unknown or null id has a null key."""
+    table = encoded.select(F.col("id").alias("_id"), F.col(key))
+    return rows.join(broadcast_if_small(table), F.col(id_col) == F.col("_id"), "left").drop("_id")

@@ -28,20 +28,21 @@ def severity(state: Column) -> Column:
     return F.when(state == "FAIL", 2).when(state == "WARN", 1).when(state == "OK", 0)
 
 
-def aggregate(metrics: DataFrame, strict_unavailable: bool = False) -> DataFrame:
-    """One row ``(verdict, exit_code, n_checked, n_unavailable)``.
+def aggregate(metrics: DataFrame, strict_unavailable: bool = False, *groups: str) -> DataFrame:
+    """One row ``(verdict, exit_code, n_checked, n_unavailable)``, or one for each of the ``groups``.
 
     Disabled metrics do not count; a FAIL on low evidence counts as a WARN; the worst wins. An unavailable metric turns
     an OK into INCONCLUSIVE, or anything into FAIL if strict. Nothing checked is INCONCLUSIVE.
     """
     weighed = F.when((F.col("state") == "FAIL") & (F.col("evidence") == "low"), 1).otherwise(severity(F.col("state")))
-    a = metrics.filter(F.col("state") != "DISABLED").agg(F.max(weighed).alias("worst"), F.count(weighed).alias("n_checked"), F.coalesce(F.sum((F.col("state") == "UNAVAILABLE").cast("int")), F.lit(0)).alias("n_unavailable"))
+    rows = metrics.filter(F.col("state") != "DISABLED")
+    a = (rows.groupBy(*groups) if groups else rows.groupBy()).agg(F.max(weighed).alias("worst"), F.count(weighed).alias("n_checked"), F.coalesce(F.sum((F.col("state") == "UNAVAILABLE").cast("int")), F.lit(0)).alias("n_unavailable"))
     missing = F.col("n_unavailable") > 0
     verdict = (
         F.when(missing & F.lit(strict_unavailable), "FAIL").when(F.col("worst") == 2, "FAIL").when(F.col("worst") == 1, "WARN")
         .when(F.col("worst").isNull() | missing, "INCONCLUSIVE").otherwise("OK")
     )
-    return a.select(verdict.alias("verdict"), exit_code(verdict).alias("exit_code"), "n_checked", "n_unavailable")
+    return a.select(*groups, verdict.alias("verdict"), exit_code(verdict).alias("exit_code"), "n_checked", "n_unavailable")
 
 
 def exit_code(verdict: Column) -> Column:

@@ -12,7 +12,7 @@ from plumbline import __version__
 from plumbline.operators import canary, health, hubness, ivf, knn, sampling, validate, verdict
 from plumbline.plans.config import AuditConfig
 from plumbline.plans.report import Metric, Report
-from plumbline.session import materialise
+from plumbline.session import broadcast_if_small, materialise
 from plumbline.sources.base import Source
 
 
@@ -34,6 +34,19 @@ def _guarded(name: str, enabled: bool, run) -> Metric:
         return Metric(name, "UNAVAILABLE", evidence_strength="low", unavailable_reason=f"{type(e).__name__}: {e}"[:300])
 
 
+#: Groups of a grouped canary that a report names, the worst first; all are counted.
+WORST_GROUPS = 1000
+
+
+def grouped_canary(source: Source, grouped: DataFrame, per_group: int, cfg: AuditConfig, params: dict | None, limits: tuple[float, float]) -> DataFrame:
+    """One row a group of ``grouped(id, vec, _grp)``: recall of the source's answers within the group, over up to ``per_group`` queries of it."""
+    metric = source.descriptor().metric_space
+    q = materialise(canary.group_queries(grouped, "_grp", per_group, cfg.seed), "group-queries")
+    truth = canary.group_truth(grouped, "_grp", q, cfg.k, metric)
+    got = ivf.drop_self(source.search(q.select("qid", "vec"), cfg.k + 1, params).withColumn("dist", F.col("rank").cast("double")), cfg.k).join(broadcast_if_small(q.select("grp", "qid")), "qid")
+    return canary.summary(canary.per_query(truth, got, grouped, q, cfg.k, metric, "grp"), *limits, "grp")
+
+
 def run_audit(source: Source, config: AuditConfig | None = None, params: dict | None = None, queries: DataFrame | None = None, on_metric=None) -> Report:
     """Audit a source. ``queries(qid, vec)`` replaces the sampled queries by a query log."""
     cfg, began = config or AuditConfig(), time.time()
@@ -43,12 +56,16 @@ def run_audit(source: Source, config: AuditConfig | None = None, params: dict |
     if cfg.filter_field:
         keep = source.payload(cfg.filter_field).filter(validate.payload_equals(cfg.filter_field, cfg.filter_value or ""))
         rows = rows.join(keep.select("id"), "id", "left_semi")
-    live = materialise(rows.filter(~F.col("deleted")), "live")
+    live = rows.filter(~F.col("deleted"))
+    if cfg.filter_field or not getattr(source, "snapshot", False):
+        live = materialise(live, "live")  # else the source's own files serve, column by column
     degenerate = validate.check(live, desc.dimension, desc.metric_space)
     if degenerate:
         warnings.append(f"{degenerate} vectors have norm 0 and are left out")
     if desc.metric_space == "COSINE":
         live = ivf.normalised(live)
+        validate.check_unit(live)
+        queries = ivf.normalised(queries) if queries is not None else None
     n_queries, n_hub, cut = sampling.degrade(counts["live"], desc.dimension, cfg.queries, cfg.hubness_sample_size, cfg.max_memory_mb)
     if cut:
         warnings.append("the samples were cut to keep the memory budget")
@@ -60,9 +77,9 @@ def run_audit(source: Source, config: AuditConfig | None = None, params: dict |
     def do_canary() -> Metric:
         truncated = False
         if cfg.max_seconds:
-            truth, truncated = knn.exact_knn_within(live, asked, cfg.k, desc.metric_space, cfg.max_seconds)
+            truth, truncated = knn.exact_knn_within(live, asked, cfg.k, desc.metric_space, cfg.max_seconds, working_set_mb=cfg.block_working_set_mb)
         else:
-            truth = knn.exact_knn(live, asked, cfg.k, desc.metric_space)
+            truth = knn.exact_knn(live, asked, cfg.k, desc.metric_space, working_set_mb=cfg.block_working_set_mb)
         truth = materialise(truth, "truth")
         if truncated:
             warnings.append("the true neighbours are truncated by the time limit")
@@ -70,21 +87,29 @@ def run_audit(source: Source, config: AuditConfig | None = None, params: dict |
         scored = materialise(canary.per_query(truth, got, live, asked, cfg.k, desc.metric_space, known=source.corpus()), "scored")
         warn, fail, _ = rules["canary_recall"]
         s = canary.summary(scored, warn, fail, truncated=truncated, query_source="file" if queries is not None else "corpus").first()
+        gone = scored.agg(F.sum("n_vanished")).first()[0] or 0
+        if gone:
+            warnings.append(f"the snapshot is inconsistent: {gone} returned ids were there at the start and are gone")
         ci = canary.bootstrap_ci95(scored, seed=cfg.seed).first() if s["value"] is not None else None
-        detail = {c: s[c] for c in ("recall_id", "short_returns", "duplicate_returns", "returned_invalid", "boundary_ties")}
+        detail = {c: s[c] for c in ("recall_id", "short_returns", "duplicate_returns", "returned_invalid", "boundary_ties")} | {"snapshot_inconsistent": bool(gone)}
         if ci:
             detail["ci95"] = [ci["ci_low"], ci["ci_high"]]
         if cfg.group_by:
-            detail["groups"] = by_group()
+            detail |= by_group()
         return _metric("canary_recall", s, rules["canary_recall"], sampling={"queries": s["n_queries"], "k": cfg.k, "sample_seed": cfg.seed}, detail=detail)
 
-    def by_group() -> list[dict]:
+    def by_group() -> dict:
+        """All groups counted by state, the worst of them by name; the rest are named in the table that is left, if one is wanted."""
         grouped = live.join(source.payload(cfg.group_by).select("id", F.col(cfg.group_by).cast("string").alias("_grp")), "id")
-        q = materialise(canary.group_queries(grouped, "_grp", n_queries, cfg.seed), "group-queries")
-        truth = canary.group_truth(grouped, "_grp", q, cfg.k, desc.metric_space)
-        got = ivf.drop_self(source.search(q.select("qid", "vec"), cfg.k + 1, params).withColumn("dist", F.col("rank").cast("double")), cfg.k).join(q.select("grp", "qid"), "qid")
-        s = canary.summary(canary.per_query(truth, got, live, q, cfg.k, desc.metric_space, "grp"), *rules["canary_recall"][:2], "grp")
-        return [{"group": r["grp"], "value": r["value"], "state": r["state"]} for r in s.orderBy("grp").limit(1000).collect()]
+        s = materialise(grouped_canary(source, grouped, n_queries, cfg, params, rules["canary_recall"][:2]), "groups")
+        states = {r["state"]: r["count"] for r in s.groupBy("state").count().collect()}
+        worst = s.orderBy(F.col("value").asc_nulls_last(), "grp").limit(WORST_GROUPS).collect()
+        total = sum(states.values())
+        if cfg.groups_path:
+            s.write.mode("overwrite").parquet(cfg.groups_path)
+        if total > len(worst):
+            warnings.append(f"the report names the {len(worst)} worst of {total} groups" + (f"; all are in {cfg.groups_path}" if cfg.groups_path else "; set groups_path for all"))
+        return {"groups": [{"group": r["grp"], "value": r["value"], "state": r["state"]} for r in worst], "group_states": states, "groups_total": total}
 
     hub_rows: dict = {}
 

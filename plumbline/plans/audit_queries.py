@@ -6,11 +6,14 @@ keyed md5 number is below 0.35; queries are the first 50 ids by keyed md5.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from plumbline.functions.vectors import all_finite, is_zero
 from plumbline.operators import canary, health, hubness, ivf, knn, probe, sampling, scene, validate, verdict
 from plumbline.plans.catalogue import query, table
+from plumbline.session import materialise
+from plumbline.sources.tables import TableSource
 
 SEED, K, N_QUERIES, NPROBE, EF = 1337, 10, 50, 2, 16
 THRESHOLDS = {"hub_share_top1pct": (0.20, 0.35), "antihub_fraction": (0.25, 0.40)}
@@ -131,7 +134,9 @@ def canary_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 _GROUPED = f"""WITH e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, label::BIGINT AS grp FROM embeddings),
 q AS (SELECT grp, id AS qid, v AS qv FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY {_U.format(p="group", c="id")}, id) AS r FROM e) WHERE r <= 10),
 truth AS (SELECT * FROM (SELECT q.grp, qid, id, round(1 - list_dot_product(qv, v), 12) AS dist, row_number() OVER (PARTITION BY qid ORDER BY round(1 - list_dot_product(qv, v), 12), id) AS r FROM q JOIN e ON q.grp = e.grp WHERE id <> qid) WHERE r <= 10),
-got AS (SELECT * FROM (SELECT q.grp, qid, id, row_number() OVER (PARTITION BY qid ORDER BY round(1 - list_dot_product(qv, v), 12), id) AS r FROM q, e WHERE id <> qid) WHERE r <= 10)"""
+cent AS (SELECT cell, list(m ORDER BY pos) AS c FROM (SELECT cell, pos, avg(x) AS m FROM (SELECT grp AS cell, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM e) GROUP BY 1, 2) GROUP BY 1),
+probed AS (SELECT qid, qv, cell FROM (SELECT qid, qv, cent.cell, row_number() OVER (PARTITION BY qid ORDER BY round(1 - list_dot_product(qv, c), 12), cent.cell) AS r FROM q, cent) WHERE r <= 2),
+got AS (SELECT * FROM (SELECT qid, e.id, row_number() OVER (PARTITION BY qid ORDER BY round(1 - list_dot_product(qv, v), 12), e.id) AS r FROM probed JOIN e ON e.grp = probed.cell WHERE e.id <> qid) WHERE r <= 10)"""
 
 
 @query(
@@ -140,11 +145,11 @@ got AS (SELECT * FROM (SELECT q.grp, qid, id, row_number() OVER (PARTITION BY qi
 FROM q JOIN truth ON q.qid = truth.qid LEFT JOIN got ON got.qid = truth.qid AND got.id = truth.id GROUP BY 1""",
 )
 def canary_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Unfiltered answers of the index held against the truth within each payload value."""
-    c = corpus(spark, sf_dir).withColumnRenamed("cell", "payload")
+    """Unfiltered answers of the IVF held against the truth within each payload value."""
+    c = corpus(spark, sf_dir).withColumn("payload", F.col("cell"))
     asked = canary.group_queries(c, "payload", 10, SEED)
     truth = canary.group_truth(c, "payload", asked, K, "COSINE")
-    got = knn.exact_knn(c, asked.select("qid", "vec"), K).join(asked.select("grp", "qid"), "qid")
+    got = engine(c, asked.select("qid", "vec")).join(asked.select("grp", "qid"), "qid")
     s = canary.summary(canary.per_query(truth, got, c, asked, K, "COSINE", "grp"), 0.85, 0.70, "grp")
     return rounded(s.select("grp", "n_queries", "recall_id"), "recall_id")
 
@@ -193,12 +198,13 @@ def hubness_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "hubness_guard",
-    "SELECT m AS metric, NULL::DOUBLE AS value, 'UNAVAILABLE' AS state, 'sample_too_small' AS reason FROM (SELECT unnest(['hub_share_top1pct', 'antihub_fraction']) AS m) WHERE (SELECT count(*) FROM embeddings) < 1000",
+    "SELECT m AS metric, NULL::DOUBLE AS value, 'UNAVAILABLE' AS state, 'sample_too_small' AS reason FROM (SELECT unnest(['hub_share_top1pct', 'antihub_fraction']) AS m) WHERE (SELECT count(*) FROM embeddings) > 0",
 )
 def hubness_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = corpus(spark, sf_dir)
+    """A sample below the guard has no value."""
+    c = sampling.sample_ids(corpus(spark, sf_dir), hubness.MIN_SAMPLE - 1, SEED, "hubness")
     m = hubness.metrics(hubness.statistics(hubness.n_k(self_neighbours(c), c)), K, THRESHOLDS)
-    return m.filter(F.col("reason") == "sample_too_small").select("metric", "value", "state", "reason")
+    return m.select("metric", "value", "state", "reason")
 
 
 @query(
@@ -286,6 +292,19 @@ def kmeans_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ivf.assign_cells(c, ivf.partition_centroids(c, False), "L2")
 
 
+@query(
+    "kmeans_round",
+    f"""WITH {_E}, c0 AS (SELECT row_number() OVER (ORDER BY id) - 1 AS cell, v AS c FROM (SELECT id, v FROM e ORDER BY {_U.format(p="kmeans", c="id")}, id LIMIT 8)),
+a AS (SELECT id, v, cell FROM (SELECT id, v, c0.cell, row_number() OVER (PARTITION BY id ORDER BY round(list_distance(v, c), 12), c0.cell) AS r FROM e, c0) WHERE r = 1),
+m AS (SELECT cell, list(round(x, 6) ORDER BY pos) AS centroid FROM (SELECT cell, pos, avg(x) AS x FROM (SELECT cell, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM a) GROUP BY 1, 2) GROUP BY 1)
+SELECT c0.cell, coalesce(m.centroid, list_transform(c0.c, lambda x: round(x, 6))) AS centroid FROM c0 LEFT JOIN m ON c0.cell = m.cell""",
+)
+def kmeans_round(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The centroids after one round from a seeded start."""
+    c = ivf.kmeans(corpus(spark, sf_dir), 8, rounds=1, seed=SEED)
+    return c.select("cell", F.transform("centroid", lambda x: F.round(x, 6)).alias("centroid"))
+
+
 @query("kmeans_fit")
 def kmeans_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = corpus(spark, sf_dir)
@@ -371,31 +390,63 @@ def pca_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return projection.transform(c, projection.fit(c)).withColumns({a: F.round(a, 4) for a in "xyz"})
 
 
-_METRICS = [("canary_recall", 0.84, "medium"), ("hub_share_top1pct", 0.20, "low"), ("antihub_fraction", 0.41, "low"), ("dfi", 0.35, "high"), ("partition_size_cv", None, "low")]
-_METRIC_SQL = """m AS (SELECT * FROM (VALUES ('canary_recall', 0.84::DOUBLE, 'medium', 0.85, 0.7, -1), ('hub_share_top1pct', 0.20, 'low', 0.2, 0.35, 1), ('antihub_fraction', 0.41, 'low', 0.25, 0.4, 1), ('dfi', 0.35, 'high', 0.15, 0.3, 1), ('partition_size_cv', NULL, 'low', 1.2, 2.0, 1)) t(metric, value, evidence, warn, fail, sign)),
-st AS (SELECT *, CASE WHEN value IS NULL THEN 'UNAVAILABLE' WHEN value * sign > fail * sign THEN 'FAIL' WHEN value * sign > warn * sign THEN 'WARN' ELSE 'OK' END AS state FROM m)"""
+@query(
+    "pca_variance",
+    f"""WITH {_E}, x AS (SELECT generate_subscripts(v, 1) AS pos, unnest(v) AS x FROM e)
+SELECT round(sum(s), 6) AS total_variance, TRUE AS orthonormal, TRUE AS eigenvectors FROM (SELECT pos, var_samp(x) AS s FROM x GROUP BY 1)""",
+)
+def pca_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Total variance by the fitted ratios, whether the basis is orthonormal, and whether it projects to the variances it claims."""
+    from plumbline.operators import projection
 
+    c = corpus(spark, sf_dir)
+    p = projection.fit(c)
+    top = p.scale**2 / 3
+    total = top / p.explained[0]
+    held = [[float(v) for v in p.basis[:, i]] for i in range(3)]
+    along = c.select(*[F.aggregate(F.zip_with("vec", F.lit(h), lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x).alias(f"c{i}") for i, h in enumerate(held)])
+    seen = along.agg(*[F.var_samp(f"c{i}").alias(f"v{i}") for i in range(3)], *[F.covar_samp(f"c{i}", f"c{j}").alias(f"k{i}{j}") for i in range(3) for j in range(i)])
+    fits = F.lit(True)
+    for i in range(3):
+        fits = fits & (F.abs(F.col(f"v{i}") - p.explained[i] * total) < 1e-6 * total)
+        for j in range(i):
+            fits = fits & (F.abs(f"k{i}{j}") < 1e-6 * total)
+    orthonormal = bool(abs(p.basis.T @ p.basis - projection.np.eye(3)).max() < 1e-9)
+    return seen.select(F.round(F.lit(total), 6).alias("total_variance"), F.lit(orthonormal).alias("orthonormal"), fits.alias("eigenvectors"))
+
+
+_REPORTED = """r AS (SELECT run_id, lower(regexp_replace(metric_id, '^\\s+|\\s+$', '', 'g')) AS metric, min(struct_pack(t := reported_at, v := metric_value, w := thresholds.warn, f := thresholds.fail, d := thresholds.direction, e := evidence_strength)) AS x FROM metric_result GROUP BY 1, 2),
+m AS (SELECT run_id, metric, CASE WHEN isfinite(x.v) THEN x.v END AS value, x.e AS evidence, x.w AS warn, x.f AS fail, CASE WHEN x.d = 'lower_is_worse' THEN -1 ELSE 1 END AS sign FROM r),
+st AS (SELECT *, CASE WHEN value IS NULL THEN 'UNAVAILABLE' WHEN value * sign > fail * sign THEN 'FAIL' WHEN value * sign > warn * sign THEN 'WARN' ELSE 'OK' END AS state FROM m)"""
 
-def metric_table(spark: SparkSession) -> DataFrame:
-    from plumbline.plans.config import BASE_THRESHOLDS
 
-    rules = spark.createDataFrame([(m, *t) for m, t in BASE_THRESHOLDS.items()], "metric string, warn double, fail double, direction string")
-    m = spark.createDataFrame(_METRICS, "metric string, value double, evidence string").join(F.broadcast(rules), "metric")
-    return m.select("metric", "value", "evidence", F.coalesce(verdict.evaluate(F.col("value"), F.col("warn"), F.col("fail"), F.col("direction")), F.lit("UNAVAILABLE")).alias("state"))
+def reported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(run_id, metric, value, evidence, state)`` of the stored reports, each (run, metric) at its first report, evaluated anew."""
+    name = F.lower(F.regexp_replace("metric_id", r"^\s+|\s+$", ""))
+    first = F.min(F.struct("reported_at", "metric_value", "thresholds.warn", "thresholds.fail", "thresholds.direction", "evidence_strength")).alias("r")
+    rows = table(spark, sf_dir, "metric_result").groupBy("run_id", name.alias("metric")).agg(first)
+    value = F.when(~F.isnan("r.metric_value") & (F.abs("r.metric_value") < float("inf")), F.col("r.metric_value"))
+    state = F.coalesce(verdict.evaluate(value, F.col("r.warn"), F.col("r.fail"), F.col("r.direction")), F.lit("UNAVAILABLE"))
+    return rows.select("run_id", "metric", value.alias("value"), F.col("r.evidence_strength").alias("evidence"), state.alias("state"))
 
 
-@query("metric_states", f"WITH {_METRIC_SQL} SELECT metric, value, evidence, state FROM st")
+@query("metric_states", f"WITH {_REPORTED} SELECT run_id, metric, value, evidence, state FROM st")
 def metric_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metric_table(spark)
+    return reported(spark, sf_dir)
+
+
+_VERDICT = """CASE max(CASE WHEN state = 'FAIL' AND evidence = 'low' THEN 1 WHEN state = 'FAIL' THEN 2 WHEN state = 'WARN' THEN 1 WHEN state = 'OK' THEN 0 END) WHEN 2 THEN 'FAIL' WHEN 1 THEN 'WARN'
+  ELSE CASE WHEN count(*) FILTER (WHERE state = 'UNAVAILABLE') > 0 THEN 'INCONCLUSIVE' ELSE 'OK' END END"""
 
 
 @query(
     "verdict_rollup",
-    f"""WITH {_METRIC_SQL} SELECT CASE max(CASE WHEN state = 'FAIL' AND evidence = 'low' THEN 1 WHEN state = 'FAIL' THEN 2 WHEN state = 'WARN' THEN 1 WHEN state = 'OK' THEN 0 END) WHEN 2 THEN 'FAIL' WHEN 1 THEN 'WARN' ELSE 'INCONCLUSIVE' END AS verdict,
-2::INT AS exit_code, count(*) FILTER (WHERE state <> 'UNAVAILABLE') AS n_checked, count(*) FILTER (WHERE state = 'UNAVAILABLE') AS n_unavailable FROM st""",
+    f"""WITH {_REPORTED}, v AS (SELECT run_id, {_VERDICT} AS verdict, count(*) FILTER (WHERE state <> 'UNAVAILABLE') AS n_checked, count(*) FILTER (WHERE state = 'UNAVAILABLE') AS n_unavailable FROM st GROUP BY 1)
+SELECT run_id, verdict, CASE verdict WHEN 'OK' THEN 0 WHEN 'WARN' THEN 1 WHEN 'FAIL' THEN 2 ELSE 3 END AS exit_code, n_checked, n_unavailable FROM v""",
 )
 def verdict_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return verdict.aggregate(metric_table(spark))
+    """The verdict of every stored run."""
+    return verdict.aggregate(reported(spark, sf_dir), False, "run_id")
 
 
 @query(
@@ -441,7 +492,134 @@ def windowed_dfi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(dfi.windowed_dfi(table(spark, sf_dir, "events").select("ts", op.alias("op"))), "dfi")
 
 
-@query("scene_chunk", f"WITH {_E}, {_SCENE}, r AS (SELECT id, row_number() OVER (ORDER BY cls NOT IN (1, 2, 4, 5, 6, 7), u, id) AS i FROM s) SELECT id FROM r WHERE i <= 50000")
+_POINTS = f"""p AS (SELECT id, min(struct_pack(t := loaded_at, x := x, y := y, z := z, c := point_class)) AS r FROM scene_point WHERE id IS NOT NULL GROUP BY 1),
+s AS (SELECT id, r.x::DOUBLE AS x, r.y::DOUBLE AS y, r.z::DOUBLE AS z, coalesce(r.c IN (1, 2, 4, 5, 6, 7), FALSE) AS first, {_U.format(p="scene", c="id")} AS u FROM p)"""
+
+
+def stored_scene(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored points of all runs as one scene, each id once."""
+    rows = table(spark, sf_dir, "scene_point").filter("id IS NOT NULL").groupBy("id").agg(F.min(F.struct("loaded_at", "x", "y", "z", "point_class")).alias("r"))
+    return rows.select("id", *[F.col(f"r.{a}").cast("double").alias(a) for a in "xyz"], F.coalesce("r.point_class", F.lit(0)).cast("tinyint").alias("point_class"))
+
+
+@query("scene_chunk", f"WITH {_POINTS}, r AS (SELECT id, row_number() OVER (ORDER BY NOT first, u, id) AS i FROM s) SELECT id FROM r WHERE i > 200 AND i <= 700")
 def scene_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The coarse chunk of a scene that fits the budget as a whole: priority points, then the others by hash."""
-    return scene.chunk(scene_of(spark, sf_dir), 200_000, 0, SEED).select("id")
+    """The second chunk of a scene that fits the budget as a whole, at chunks of 200 and 500 points."""
+    return scene.chunk(stored_scene(spark, sf_dir), scene.HARD_BUDGET, 1, SEED, 200, 500).select("id")
+
+
+@query(
+    "scene_classify",
+    f"""{_SELF}, h AS (SELECT id FROM nk WHERE n_k > 0 ORDER BY n_k DESC, id LIMIT 40), a AS (SELECT id FROM nk WHERE n_k = 0)
+SELECT id, (CASE WHEN deleted THEN 3 WHEN id IN (SELECT id FROM h) THEN 1 WHEN id IN (SELECT id FROM a) THEN 2 ELSE 0 END)::TINYINT AS point_class FROM e""",
+)
+def scene_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes from the tombstones, the forty largest hubs and every anti-hub."""
+    c = corpus(spark, sf_dir)
+    nk = materialise(hubness.n_k(self_neighbours(c), c), "nk")
+    return scene.classify(c.select("id", "deleted"), hubness.offenders(nk, 40).filter("kind = 'hub'"), nk.filter("n_k = 0")).select("id", "point_class")
+
+
+# --- dirty vectors of differing norms --------------------------------------------------------------------------------
+
+_BATCH = """b AS (SELECT id, min(struct_pack(t := loaded_at, v := vec)).v::DOUBLE[] AS v FROM vector_batch WHERE id IS NOT NULL AND len(vec) = 48 GROUP BY 1),
+f AS (SELECT id, v FROM b WHERE len(list_filter(v, lambda x: x IS NOT NULL AND isfinite(x))) = 48)"""
+_PICK = f"q AS (SELECT id AS qid, v AS qv FROM u ORDER BY {_U.format(p='canary', c='id')}, id LIMIT 50)"
+
+
+def batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``vector_batch`` as it was first loaded, every id once, dirty vectors included."""
+    return table(spark, sf_dir, "vector_batch").filter("id IS NOT NULL").groupBy("id").agg(F.min(F.struct("loaded_at", "vec")).alias("r")).select("id", F.col("r.vec").alias("vec"))
+
+
+def usable(rows: DataFrame) -> DataFrame:
+    return rows.filter((F.size("vec") == 48) & all_finite("vec") & ~is_zero("vec"))
+
+
+@query("exact_knn_dirty", f"WITH {_BATCH}, u AS (SELECT * FROM f WHERE list_dot_product(v, v) > 0), {_PICK}, {_knn('t', 'f', 'L2')} SELECT qid, rank, id, round(dist, 4) AS dist FROM t")
+def exact_knn_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null, short, NaN and infinite vectors stand among the rows and take no part."""
+    rows = batches(spark, sf_dir)
+    return knn.exact_knn(rows, queries(usable(rows)), K, "L2").withColumn("dist", F.round("dist", 4))
+
+
+_COSINE = f"""WITH {_BATCH}, u AS (SELECT id, list_transform(v, lambda x: (x / n)::FLOAT::DOUBLE) AS v FROM (SELECT id, v, sqrt(list_dot_product(v, v)) AS n FROM f) WHERE n > 0), {_PICK}, {_knn('t', 'u')}"""
+
+
+@query("engine_exact_cosine", f"{_COSINE} SELECT qid, rank, id, round(dist, 6) AS dist FROM t")
+def engine_exact_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A flat source under COSINE answers by angle, whatever the norms of its rows and queries."""
+    rows = batches(spark, sf_dir)
+    source = TableSource(rows.filter(F.size("vec") == 48), "vector_batch", {"id": "id", "column": "vec", "metric": "COSINE"})
+    return rounded(ivf.drop_self(source.search(queries(usable(rows)), K + 1), K), "dist")
+
+
+@query(
+    "canary_counters",
+    f"""{_COSINE}, g AS (SELECT qid, rank, CASE WHEN rank = 3 THEN -1 WHEN rank = 5 THEN first_value(id) OVER (PARTITION BY qid ORDER BY rank) WHEN rank = 7 THEN 4000000000000 + qid ELSE id END AS id FROM t WHERE rank < 9),
+o AS (SELECT qid, id, count(*) - 1 AS dup FROM g WHERE id >= 0 GROUP BY 1, 2)
+SELECT o.qid, count(*) AS n_returned, sum(dup)::BIGINT AS n_duplicate, count(*) FILTER (WHERE t.id IS NULL)::BIGINT AS n_invalid, 1 AS short_return, round(count(t.id) / 10, 6) AS recall_id FROM o LEFT JOIN t ON t.qid = o.qid AND t.id = o.id GROUP BY 1""",
+)
+def canary_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers with padding, a repeated and an unknown id, one place short."""
+    rows = ivf.normalised(usable(batches(spark, sf_dir)))
+    asked = queries(rows)
+    truth = knn.exact_knn(rows, asked, K)
+    first = F.first("id").over(Window.partitionBy("qid").orderBy("rank"))
+    bent = F.when(F.col("rank") == 3, F.lit(-1)).when(F.col("rank") == 5, first).when(F.col("rank") == 7, F.col("qid") + 4_000_000_000_000).otherwise(F.col("id"))
+    got = truth.withColumn("id", bent).filter("rank < 9")
+    per = canary.per_query(truth, got, rows, asked, K, "COSINE")
+    return rounded(per.select("qid", (F.lit(8) - F.col("n_duplicate")).cast("bigint").alias("n_returned"), "n_duplicate", "n_invalid", "short_return", "recall_id"), "recall_id")
+
+
+@query(
+    "probe_summary",
+    f"""WITH {_E}, {_CENT}, live AS (SELECT * FROM e WHERE NOT deleted), {_knn('truth', 'live')}, {_GOT}, r AS (SELECT coalesce(t.qid, g.qid) AS qid, t.id IS NOT NULL AS t, g.id IS NOT NULL AS g, e.deleted
+  FROM truth t FULL JOIN got g ON t.qid = g.qid AND t.id = g.id JOIN e ON e.id = coalesce(t.id, g.id))
+SELECT qid, count(*) FILTER (WHERE t) AS n_true, count(*) FILTER (WHERE t AND g) AS n_hit, count(*) FILTER (WHERE t AND NOT g) AS n_missed, count(*) FILTER (WHERE NOT t AND deleted) AS n_dead,
+count(*) FILTER (WHERE NOT t AND NOT deleted) AS n_unexpected, round(count(*) FILTER (WHERE t AND g) / count(*) FILTER (WHERE t), 6) AS recall_id FROM r GROUP BY 1""",
+)
+def probe_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(probe.probe_summary(probe_roles(spark, sf_dir)), "recall_id")
+
+
+@query(
+    "partition_metric",
+    f"""WITH {_SIZES}, m AS (SELECT stddev_pop(size) / avg(size) AS cv, count(*) AS n FROM s)
+SELECT 'partition_size_cv' AS metric, round(cv, 6) AS value, CASE WHEN n < 8 THEN 'low' ELSE 'high' END AS evidence, CASE WHEN cv > 2.0 THEN 'FAIL' WHEN cv > 1.2 THEN 'WARN' ELSE 'OK' END AS state, NULL::VARCHAR AS reason FROM m
+UNION ALL SELECT 'partition_size_cv', NULL, CASE WHEN n < 8 THEN 'low' ELSE 'high' END, 'UNAVAILABLE', 'not_applicable' FROM m
+UNION ALL SELECT 'partition_size_cv', NULL, 'low', 'UNAVAILABLE', 'single_partition' FROM m""",
+)
+def partition_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sizes of an IVF's cells, of an index without cells, and of a single cell."""
+    sizes = supplier_sizes(spark, sf_dir)
+    stats = health.partition_statistics(sizes)
+    one = health.partition_statistics(sizes.agg(F.sum("size").alias("size")))
+    rows = health.partition_metric(stats).unionByName(health.partition_metric(stats, index_kind="HNSW")).unionByName(health.partition_metric(one))
+    return rounded(rows, "value")
+
+
+@query(
+    "verdict_gate",
+    f"""WITH {_REPORTED}, s AS (SELECT metric, min(value) FILTER (WHERE run_id % 2 = 0) AS cur, min(value) FILTER (WHERE run_id % 2 = 1) AS base FROM st GROUP BY 1),
+t AS (SELECT * FROM (VALUES ('canary_recall', 0.85, 0.70, 0.05, 0.10, -1), ('hub_share_top1pct', 0.20, 0.35, 0.05, 0.10, 1), ('antihub_fraction', 0.25, 0.40, 0.05, 0.10, 1), ('dfi', 0.15, 0.30, 0.05, 0.10, 1), ('partition_size_cv', 1.20, 2.00, 0.20, 0.40, 1)) x(metric, warn, fail, dw, df, sign)),
+z AS (SELECT s.metric, CASE WHEN cur IS NULL OR sign IS NULL THEN 'UNAVAILABLE' WHEN cur * sign > fail * sign THEN 'FAIL' WHEN cur * sign > warn * sign THEN 'WARN' ELSE 'OK' END AS a,
+  CASE WHEN cur IS NULL OR base IS NULL OR sign IS NULL THEN 'UNAVAILABLE' WHEN round(cur - base, 9) * sign > df THEN 'FAIL' WHEN round(cur - base, 9) * sign > dw THEN 'WARN' ELSE 'OK' END AS d FROM s LEFT JOIN t USING (metric)),
+v AS (SELECT {_VERDICT.replace("state", "a").replace("evidence", "'high'")} AS absolute, {_VERDICT.replace("state", "d").replace("evidence", "'high'")} AS delta FROM z),
+o AS (SELECT * FROM (VALUES ('OK', 0), ('INCONCLUSIVE', 1), ('WARN', 2), ('FAIL', 3)) x(verdict, i))
+SELECT absolute, delta, (SELECT verdict FROM o WHERE i = (SELECT max(i) FROM o WHERE verdict IN (absolute, delta))) AS "both" FROM v""",
+)
+def verdict_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The smallest value of each metric over even runs, gated alone, against the odd runs, and by both."""
+    from plumbline.plans.config import BASE_THRESHOLDS
+
+    rules = spark.createDataFrame([(m, *t) for m, t in BASE_THRESHOLDS.items()], "metric string, warn double, fail double, direction string")
+    values = reported(spark, sf_dir)
+
+    def side(odd: int) -> DataFrame:
+        every = values.groupBy("metric").agg(F.min(F.when(F.col("run_id") % 2 == odd, F.col("value"))).alias("value")).join(rules, "metric", "left")
+        state = F.coalesce(verdict.evaluate(F.col("value"), F.col("warn"), F.col("fail"), F.col("direction")), F.lit("UNAVAILABLE"))
+        return materialise(every.select("metric", "value", F.when(F.col("direction").isNull(), "UNAVAILABLE").otherwise(state).alias("state"), F.lit("high").alias("evidence")), "side")
+
+    now, before = side(0), side(1)
+    return spark.createDataFrame([tuple(verdict.gate(now, before, m) for m in ("absolute", "delta", "both"))], "absolute string, delta string, both string")

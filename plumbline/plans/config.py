@@ -17,12 +17,12 @@ BASE_THRESHOLDS = {
     "dfi": (0.15, 0.30, "higher_is_worse"),
     "partition_size_cv": (1.20, 2.00, "higher_is_worse"),
 }
-#: Largest dimension of a profile and its thresholds that differ from the base.
+#: Largest dimension of a profile and its (warn, fail) of each metric.
 PROFILES = {
-    "low": (64, {}),
-    "medium": (384, {"hub_share_top1pct": (0.28, 0.42), "antihub_fraction": (0.39, 0.50)}),
-    "high": (1024, {"hub_share_top1pct": (0.32, 0.45), "antihub_fraction": (0.43, 0.55), "partition_size_cv": (1.30, 2.10)}),
-    "ultra_high": (None, {"hub_share_top1pct": (0.35, 0.48), "antihub_fraction": (0.46, 0.58), "partition_size_cv": (1.50, 2.25)}),
+    "low": (64, {"canary_recall": (0.85, 0.70), "hub_share_top1pct": (0.20, 0.35), "antihub_fraction": (0.25, 0.40), "dfi": (0.15, 0.30), "partition_size_cv": (1.20, 2.00)}),
+    "medium": (384, {"canary_recall": (0.85, 0.70), "hub_share_top1pct": (0.28, 0.42), "antihub_fraction": (0.39, 0.50), "dfi": (0.15, 0.30), "partition_size_cv": (1.20, 2.00)}),
+    "high": (1024, {"canary_recall": (0.85, 0.70), "hub_share_top1pct": (0.32, 0.45), "antihub_fraction": (0.43, 0.55), "dfi": (0.15, 0.30), "partition_size_cv": (1.30, 2.10)}),
+    "ultra_high": (None, {"canary_recall": (0.85, 0.70), "hub_share_top1pct": (0.35, 0.48), "antihub_fraction": (0.46, 0.58), "dfi": (0.15, 0.30), "partition_size_cv": (1.50, 2.25)}),
 }
 METRICS = tuple(BASE_THRESHOLDS)
 
@@ -48,6 +48,7 @@ class AuditConfig:
     block_working_set_mb: int = 256
     strict_unavailable: bool = False
     group_by: str | None = None
+    groups_path: str | None = None
     filter_field: str | None = None
     filter_value: str | None = None
     gate_mode: str = "both"
@@ -70,7 +71,7 @@ class AuditConfig:
     def for_dimension(self, dimension: int) -> dict:
         """Thresholds of a dimension: the profile's, except where the caller changed the base."""
         changed = PROFILES[profile_for(dimension)][1]
-        return {m: (*changed[m], t[2]) if m in changed and t == BASE_THRESHOLDS[m] else t for m, t in self.thresholds.items()}
+        return {m: (*changed[m], t[2]) if t == BASE_THRESHOLDS[m] else t for m, t in self.thresholds.items()}
 
     def to_dict(self) -> dict:
         return asdict(self)

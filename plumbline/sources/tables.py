@@ -19,8 +19,12 @@ from plumbline.sources.base import Capabilities, Descriptor, options_of, registe
 
 
 class TableSource:
-    def __init__(self, frame: DataFrame, location: str, options: dict[str, str], meta: dict | None = None):
+    """``centroids(cell, centroid)`` are those of the time when the index was built; without them they follow the live rows.
+    ``snapshot`` says that the rows cannot change while they are read."""
+
+    def __init__(self, frame: DataFrame, location: str, options: dict[str, str], meta: dict | None = None, centroids: DataFrame | None = None, snapshot: bool = True):
         self.meta, self.options, self.location = meta or {}, options, location
+        self.centroids, self.snapshot = centroids, snapshot
         self.frame = frame
         self.vec = vector_column(frame.schema, options.get("column"))
         self.id = options.get("id") or next((c for c in ("id", "vec_id", "_rowid") if c in frame.columns), None)
@@ -61,11 +65,16 @@ class TableSource:
         return {"live": r["total"] - (r["dead"] or 0), "deleted": r["dead"] or 0 if known else None, "total": r["total"], "indexed": r["total"], "exact": True}
 
     def search(self, queries: DataFrame, k: int, params: dict | None = None) -> DataFrame:
+        """An index's answers by its own metric: under COSINE corpus, queries and centroids are scaled to norm 1."""
         p = params or {}
         rows = self.corpus()
+        if self.metric == "COSINE":
+            rows, queries = ivf.normalised(rows), ivf.normalised(queries)
         if "cell" not in rows.columns:
             return knn.exact_knn(rows.filter("NOT deleted"), queries, k, self.metric, exclude_self=False)
-        centroids = ivf.partition_centroids(rows)
+        centroids = self.centroids if self.centroids is not None else ivf.partition_centroids(rows)
+        if self.metric == "COSINE":
+            centroids = ivf.normalised(centroids.withColumnRenamed("centroid", "vec")).withColumnRenamed("vec", "centroid")
         if p.get("ef_budget"):
             return ivf.ivf_tombstoned(rows, centroids, queries, k, int(p.get("nprobe", 1)), int(p["ef_budget"]), self.metric)
         return ivf.ivf_search(rows, centroids, queries, k, int(p.get("nprobe", 1)), self.metric)

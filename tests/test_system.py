@@ -100,13 +100,17 @@ def test_command_line(tmp_path, spark, capsys):
 
 def test_exact_quantiles(spark, monkeypatch):
     monkeypatch.setattr(order_stats, "FINISH", 20)
-    monkeypatch.setattr(order_stats, "BUCKETS", 7)
+    monkeypatch.setattr(order_stats, "ACCURACY", 50)
     v = np.random.default_rng(1).lognormal(0, 3, 2000)
     df = spark.createDataFrame([(float(x),) for x in v] + [(None,), (float("nan"),)], "v double")
     qs = [0.0, 0.5, 0.99, 0.999, 1.0]
     assert order_stats.quantiles(df, "v", qs) == pytest.approx(np.quantile(v, qs).tolist())
     assert order_stats.quantiles(df.limit(0), "v", [0.5]) == [None]
     assert order_stats.quantiles(spark.createDataFrame([(2.0,)] * 100, "v double"), "v", [0.1, 0.9]) == [2.0, 2.0]
+    ends = sorted([float("-inf")] * 35 + [1.0] * 27 + [2.0] * 27 + [float("inf")] * 32 + [1e-300, 1e300] * 4)
+    far = spark.createDataFrame([(x,) for x in ends], "v double")
+    places = (0, 34, 35, 38, 39, 66, 92, 93, 96, 97, 128)
+    assert order_stats.quantiles(far, "v", [r / 128 for r in places]) == [ends[r] for r in places]
 
 
 def test_a_deadline_gives_a_partial_answer(spark):
