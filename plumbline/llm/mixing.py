@@ -7,66 +7,12 @@ Whole repetitions take every document, the fractional rest takes a seeded share
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.quantiles import clean
-from plumbline.session import hash_unit
-
-#: Most sources that a mixture may list; the driver fills them in.
-MAX_SOURCES = 100_000
-
-
-@dataclass
-class Filled:
-    """What a source gets: ``clamped_round`` is 0 if it was never clamped, 1 if its own share was already too much."""
-
-    name: str
-    key: str
-    share: float
-    max_uses: int
-    own: int
-    wanted: float = 0.0
-    given: float = 0.0
-    clamped_round: int = 0
-
-    @property
-    def most(self) -> int:
-        return self.max_uses * self.own
-
-    @property
-    def epochs(self) -> float:
-        return min(self.given / self.own, float(self.max_uses)) if self.own else 0.0
-
-
-def water_fill(sources: list[Filled], total: float) -> list[Filled]:
-    """Set ``wanted``, ``given`` and ``clamped_round`` for a mixture of ``total`` tokens.
-
-    Shares need not add up to 1. If every source is clamped, the mixture stays below ``total``.
-    """
-    weight = sum(s.share for s in sources)
-    for s in sources:
-        s.wanted = s.share * total
-    # the stated share counts in the first round, so shares that do not add up to 1 are scaled only afterwards
-    for s in sources:
-        if s.wanted > s.most:
-            s.clamped_round, s.given = 1, float(s.most)
-    turn = 1
-    while True:
-        turn += 1
-        free = [s for s in sources if not s.clamped_round]
-        weight = sum(s.share for s in free)
-        left = total - sum(s.given for s in sources if s.clamped_round)
-        for s in free:
-            s.given = left * s.share / weight if weight > 0 else 0.0
-        over = [s for s in free if s.given > s.most]
-        if not over:
-            return sources
-        for s in over:
-            s.clamped_round, s.given = turn, float(s.most)
-
+from plumbline.operators.heavy_keys import sized_join
+from plumbline.session import broadcast_if_small, hash_unit, materialise
 
 def once_each(counted: DataFrame) -> DataFrame:
     """``counted(doc_id, source_key, n_tokens)`` with each doc_id once (its smallest row if they differ); rows without a
@@ -81,46 +27,58 @@ def source_tokens(counted: DataFrame) -> DataFrame:
 
 
 def listed_documents(documents: DataFrame, targets: DataFrame) -> DataFrame:
-    """The documents whose trimmed, lower-cased source is listed, with ``source_key``; the list is bounded by MAX_SOURCES."""
+    """The documents whose trimmed, lower-cased source is listed, with ``source_key``."""
     keys = targets.select(clean("source").alias("source_key")).filter("source_key IS NOT NULL").distinct()
-    if keys.limit(MAX_SOURCES + 1).count() > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    return documents.withColumn("source_key", clean("source")).join(F.broadcast(keys), "source_key", "left_semi")
+    return documents.withColumn("source_key", clean("source")).join(broadcast_if_small(keys), "source_key", "left_semi")
+
 
+def fill(counted: DataFrame, targets: DataFrame, total: float | None = None) -> DataFrame:
+    """Water-filling over ``targets(source, target_share, max_uses)``, one row a source.
 
-def fill(counted: DataFrame, targets: DataFrame, total: float | None = None) -> list[Filled]:
-    """Water-filling over ``targets(source, target_share, max_uses)``.
+    ``(source, source_key, target_share, max_uses, own_tokens, given, epochs, clamped_round)``: ``clamped_round`` is 0 for
+    a source that was never clamped and 1 if its own share was already too much.
 
     ``total`` defaults to the tokens of all listed documents, each once. A null share counts as 0, a null or negative
-    ``max_uses`` as 0. A source listed twice is taken once, with the sum of its shares and the smaller cap.
+    ``max_uses`` as 0. A source listed twice is taken once, with the sum of its shares and the smaller cap. Shares need
+    not add up to 1; if every source is clamped, the mixture stays below ``total``. A round is one aggregate over the
+    sources, however many there are: it gives the level, tokens per unit of share, of those that are free still.
     """
     rows = targets.filter("source IS NOT NULL").groupBy(clean("source").alias("source_key")).agg(
         F.min("source").alias("source"),
-        F.sum(F.coalesce("target_share", F.lit(0.0))).alias("share"),
+        F.sum(F.coalesce("target_share", F.lit(0.0))).alias("target_share"),
         F.min(F.greatest(F.coalesce("max_uses", F.lit(0)), F.lit(0))).alias("max_uses"),
     )
-    own = {r["source_key"]: r["own_tokens"] for r in source_tokens(counted).collect()}  # no more rows than targets
-    sources = [Filled(r["source"], r["source_key"], float(r["share"]), int(r["max_uses"]), int(own.get(r["source_key"]) or 0)) for r in rows.orderBy("source_key").collect()]
-    return water_fill(sources, float(sum(own.values())) if total is None else total)
-
-
-def uses(counted: DataFrame, filled: list[Filled], seed: int) -> DataFrame:
+    own = source_tokens(counted).select("source_key", F.col("own_tokens").alias("_own"))
+    sources = materialise(rows.join(own, "source_key", "left").withColumn("own_tokens", F.coalesce("_own", F.lit(0)).cast("bigint")).drop("_own"), "sources")
+    if total is None:
+        total = float(sources.agg(F.coalesce(F.sum("own_tokens"), F.lit(0))).first()[0])
+    most = (F.col("max_uses") * F.col("own_tokens")).cast("double")
+    levels, clamped = [float(total)], None
+    while True:
+        over = F.array(*[F.col("target_share") * F.lit(v) > most for v in levels])
+        turn = F.coalesce(F.array_position(over, True), F.lit(0)).cast("int")  # the first round in which the level was too high
+        a = sources.agg(F.sum((turn > 0).cast("int")).alias("n"), F.sum(F.when(turn > 0, most)).alias("fixed"), F.sum(F.when(turn == 0, F.col("target_share"))).alias("weight")).first()
+        if a["n"] == clamped:
+            break
+        clamped = a["n"]
+        levels.append(max(0.0, total - (a["fixed"] or 0.0)) / a["weight"] if a["weight"] else 0.0)
+    given = F.when(turn > 0, most).otherwise(F.col("target_share") * levels[-1])
+    epochs = F.when(F.col("own_tokens") > 0, F.least(given / F.col("own_tokens"), F.col("max_uses").cast("double"))).otherwise(0.0)
+    return sources.select("source", "source_key", "target_share", "max_uses", "own_tokens", given.alias("given"), epochs.alias("epochs"), turn.alias("clamped_round"))
+
+
+def uses(counted: DataFrame, filled: DataFrame, seed: int) -> DataFrame:
     """``(doc_id, source_key, n_tokens, uses)`` of the documents used at least once, none more often than its source's cap."""
-    plan = counted.sparkSession.createDataFrame([(s.key, s.epochs) for s in filled], "source_key string, epochs double")
     drawn = (hash_unit(F.lit(seed), F.col("doc_id")) < F.col("epochs") - F.floor("epochs")).cast("int")
-    with_uses = counted.join(F.broadcast(plan), "source_key").withColumn("uses", (F.floor("epochs") + drawn).cast("int"))
+    with_uses = sized_join(counted, filled.select("source_key", "epochs"), ["source_key"], "doc_id").withColumn("uses", (F.floor("epochs") + drawn).cast("int"))
     return with_uses.filter("uses > 0").select("doc_id", "source_key", "n_tokens", "uses")
 
 
-def report(filled: list[Filled], used: DataFrame) -> DataFrame:
+def report(filled: DataFrame, used: DataFrame) -> DataFrame:
     """Per source: target share, own tokens, planned and reached repetitions and the share that was really reached."""
-    spark = used.sparkSession
-    plan = spark.createDataFrame(
-        [(s.name, s.key, s.share, s.max_uses, s.own, s.epochs, s.clamped_round) for s in filled],
-        "source string, source_key string, target_share double, max_uses int, own_tokens bigint, epochs double, clamped_round int",
-    )
     got = used.groupBy("source_key").agg(F.sum(F.col("n_tokens") * F.col("uses")).alias("mixed_tokens"), F.max("uses").alias("most_uses"))
-    rows = plan.join(got, "source_key", "left").fillna(0, ["mixed_tokens", "most_uses"])
+    got = materialise(got, "mixed")  # one row a source
+    rows = filled.join(got, "source_key", "left").fillna(0, ["mixed_tokens", "most_uses"])
     total = got.agg(F.sum("mixed_tokens")).first()[0] or 1
     share = F.col("mixed_tokens") / F.lit(total)
     return rows.select("source", "target_share", "max_uses", "own_tokens", "epochs", "clamped_round", "mixed_tokens", "most_uses", share.alias("actual_share"))

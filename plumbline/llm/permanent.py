@@ -11,7 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.operators.heavy_keys import sized_join
-from plumbline.session import hash_unit
+from plumbline.session import hash_unit, settle
+
+#: Buckets of [0, 1) in which ids and thresholds meet.
+BUCKETS = 256
 
 
 class NumberTable:
@@ -26,11 +29,12 @@ class NumberTable:
         self.spark, self.folder = spark, folder
         self._numbers, self._thresholds = f"{folder}/numbers", f"{folder}/thresholds"
 
+    def _there(self, path: str) -> bool:
+        target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
     def _read(self, path: str, schema: str) -> DataFrame:
-        jvm = self.spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        there = target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
-        return self.spark.read.schema(schema).parquet(path) if there else self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(path) if self._there(path) else self.spark.createDataFrame([], schema)
 
     def numbers(self) -> DataFrame:
         """``(id, u)``, one row per identifier seen."""
@@ -43,26 +47,47 @@ class NumberTable:
     def insert(self, batch: DataFrame) -> None:
         """Number the unseen ids of ``batch(id, seed)``. One append is one Spark job and is committed as a whole."""
         fresh = batch.filter(F.col("id").isNotNull() & F.col("seed").isNotNull()).groupBy("id").agg(F.min("seed").alias("seed"))
-        known = self.numbers()
-        if not known.isEmpty():
-            fresh = fresh.join(known.select("id"), "id", "left_anti")
+        if self._there(self._numbers):
+            fresh = fresh.join(self.numbers().select("id"), "id", "left_anti")
         fresh.select(F.col("id").cast("bigint").alias("id"), hash_unit("seed", "id").alias("u")).write.mode("append").parquet(self._numbers)
 
     def raise_thresholds(self, requests: DataFrame) -> None:
-        """Record the wanted thresholds ``(request_id, keep_share)``; a null or NaN share asks for nothing."""
+        """Record the wanted thresholds ``(request_id, keep_share)`` that are above the known ones; a null or NaN share asks for nothing."""
         want = requests.filter(F.col("keep_share").isNotNull() & ~F.isnan("keep_share"))
-        want.select(F.col("request_id").cast("bigint").alias("request_id"), F.col("keep_share").alias("threshold")).write.mode("append").parquet(self._thresholds)
+        want = want.groupBy(F.col("request_id").cast("bigint").alias("request_id")).agg(F.max("keep_share").cast("double").alias("threshold"))
+        old = self.thresholds().withColumnRenamed("threshold", "_old")
+        higher = want.join(old, "request_id", "left").filter(F.col("_old").isNull() | (F.col("threshold") > F.col("_old"))).drop("_old")
+        if not higher.isEmpty():
+            higher.write.mode("append").parquet(self._thresholds)
+
+    def select(self) -> DataFrame:
+        """``(request_id, threshold, id)`` of every id below the threshold of each request.
 
-    def select(self, bound: int = 10_000) -> DataFrame:
-        """``(request_id, threshold, id)`` of every id below the threshold of each request (at most ``bound`` requests)."""
-        wanted = self.thresholds()
-        if wanted.count() > bound:
-            raise ValueError(f"more than {bound} requests")
-        return self.numbers().join(F.broadcast(wanted), F.col("u") < F.col("threshold")).select("request_id", "threshold", "id")
+        [0, 1) is cut into BUCKETS; a threshold lies over its own bucket and all below, so an id meets the requests of its
+        bucket by equality, however many requests there are, and is compared with no others.
+        """
+        last = F.least(F.floor(F.col("threshold") * BUCKETS), F.lit(BUCKETS - 1))
+        over = self.thresholds().filter("threshold > 0").select("request_id", "threshold", F.explode(F.sequence(F.lit(0).cast("bigint"), last.cast("bigint"))).alias("_b"))
+        numbers = self.numbers().withColumn("_b", F.floor(F.col("u") * BUCKETS).cast("bigint"))
+        return sized_join(numbers, over, ["_b"], "id").filter(F.col("u") < F.col("threshold")).select("request_id", "threshold", "id")
 
 
-def seeded_points(points: DataFrame, runs: DataFrame) -> DataFrame:
-    """``(id, seed)`` of scene points under the seed of their run; points of unknown runs or runs without a seed are left out."""
+def batch_of(points: DataFrame, batches: int, chunk: str = "chunk_index") -> DataFrame:
+    """``points`` with ``_batch``, from 0: their chunks in order, cut into ``batches`` ranges of numbers of equal width.
+
+    A null chunk arrives last. An empty table stays empty.
+    """
+    top = points.agg(F.max(chunk).alias("top")).first()["top"]
+    at = F.floor(F.col(chunk).cast("bigint") * batches / F.lit((top or 0) + 1))
+    return points.withColumn("_batch", F.coalesce(at, F.lit(batches - 1)).cast("int"))
+
+
+def run_seeds(points: DataFrame, runs: DataFrame) -> DataFrame:
+    """``(run_id, seed)`` of the runs that have points, evaluated once; runs without a seed are left out."""
     used = points.select("run_id").distinct()
-    seeds = runs.filter(F.col("run_id").isNotNull() & F.col("seed").isNotNull()).join(used, "run_id", "left_semi").groupBy("run_id").agg(F.min("seed").alias("seed"))
-    return sized_join(points.filter(F.col("run_id").isNotNull() & F.col("id").isNotNull()).select("run_id", "id"), seeds, ["run_id"], "id").select("id", "seed")
+    return settle(runs.filter(F.col("run_id").isNotNull() & F.col("seed").isNotNull()).join(used, "run_id", "left_semi").groupBy("run_id").agg(F.min("seed").alias("seed")), "seeds")
+
+
+def seeded_points(points: DataFrame, seeds: DataFrame) -> DataFrame:
+    """``(id, seed)`` of points under the seed of their run; points of unknown runs or runs without a seed are left out."""
+    return sized_join(points.filter(F.col("id").isNotNull()).select("run_id", "id"), seeds, ["run_id"], "id").select("id", "seed")

@@ -5,8 +5,8 @@ buffers of a level collapse into one of the next by keeping every second element
 first or the second element in turn. One collapse at level ``h`` moves the rank of any value by at most ``2**h``; the sum
 of these amounts is kept as the proven bound. Up to ``k`` values per group the answers are exact.
 
-Partitions build sketches of their own rows, and the sketches are merged in a tree of fixed fan-in, so no task ever gets
-more than ``FAN_IN`` sketches of a group.
+Partitions build sketches of their own rows, and the sketches are merged in a tree of fixed fan-in over as many places as
+there are partitions, so no task ever gets more than ``FAN_IN`` sketches of a group.
 """
 
 from __future__ import annotations
@@ -20,11 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.session import default_tasks
+from plumbline.operators.validate import encode_ids
+from plumbline.session import broadcast_if_small, materialise
 
 #: Elements of a buffer. With N values the bound is about log2(N / k) / (2 k) of N: under 0.03 % for 10**9 values.
 BUFFER = 32_768
 FAN_IN = 16
+#: Values that a task holds before it hands its sketches on.
+HELD = 8 << 20
 QUANTILES = (0.5, 0.9, 0.99, 0.999)
 SKETCH = "scope string, group_key string, part int, n bigint, rank_error bigint, levels array<int>, lengths array<int>, vals array<double>"
 
@@ -79,6 +82,10 @@ class Sketch:
         for values in other.loose:
             self._loose(values)
 
+    def held(self) -> int:
+        """Values in memory."""
+        return self.n_loose + self.k * len(self.full)
+
     def quantile(self, q: float) -> float:
         """The value of rank ``ceil(q * n)``, at least the first."""
         values = [np.concatenate(self.loose)] if self.n_loose else []
@@ -112,28 +119,43 @@ class Sketch:
 _COLUMNS = [f.split()[0] for f in SKETCH.split(", ")]
 
 
-def sketches(values: DataFrame, k: int = BUFFER, width: int | None = None) -> DataFrame:
+def sketches(values: DataFrame, k: int = BUFFER) -> DataFrame:
     """One merged sketch per ``(scope, group_key)`` of ``values(scope, group_key, v)``.
 
     Null, NaN and infinite values are left out; a group without a finite value has no sketch. Null group keys form a
-    group. Rows are taken as they are: remove repeated rows before.
+    group. Rows are taken as they are: remove repeated rows before. A task that holds more than HELD values hands its
+    sketches on and begins new ones.
     """
-    width = width or 4 * default_tasks(values.sparkSession)  # no fewer than the partitions, usually
     finite = values.filter(F.col("v").isNotNull() & ~F.isnan("v") & (F.abs("v") < float("inf")))
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
         found: dict[tuple, Sketch] = {}
+        turn = added = 0
+
+        def out() -> Iterator[pd.DataFrame]:
+            rows = [(*key, turn, TaskContext.get().partitionId(), *s.row()) for key, s in found.items()]
+            for at in range(0, len(rows), FAN_IN):
+                yield pd.DataFrame(rows[at : at + FAN_IN], columns=[*_COLUMNS[:2], "turn", *_COLUMNS[2:]])
+
         for pdf in batches:
             for key, part in pdf.groupby(["scope", "group_key"], dropna=False, sort=False)["v"]:
                 key = tuple(None if pd.isna(x) else x for x in key)
                 found.setdefault(key, Sketch(k)).add(part.to_numpy())
-        at = TaskContext.get().partitionId() % width
-        for key, s in found.items():
-            yield pd.DataFrame([(*key, at, *s.row())], columns=_COLUMNS)
+            added += len(pdf)
+            if added > HELD:
+                added = sum(s.held() for s in found.values())
+                if added > HELD:
+                    yield from out()
+                    found, turn, added = {}, turn + 1, 0
+        yield from out()
 
-    return merge_tree(finite.select("scope", "group_key", "v").mapInPandas(build, SKETCH), width, k)
+    parts = materialise(finite.select("scope", "group_key", "v").mapInPandas(build, SKETCH.replace("part int", "turn int, part int")), "sketches")
+    last = parts.agg(F.max("part").alias("part"), F.max("turn").alias("turn")).first()
+    turns = (last["turn"] or 0) + 1
+    numbered = parts.withColumn("part", F.col("part") * turns + F.col("turn")).drop("turn")
+    return merge_tree(numbered, ((last["part"] or 0) + 1) * turns, k)
 
 
 def merge_tree(parts: DataFrame, width: int, k: int = BUFFER) -> DataFrame:
@@ -153,10 +175,21 @@ def merge_tree(parts: DataFrame, width: int, k: int = BUFFER) -> DataFrame:
     return parts
 
 
-def combine(daily: DataFrame, scope: str, group_key: str, spread: int = FAN_IN**2, k: int = BUFFER) -> DataFrame:
-    """One sketch of all the given sketches, without going back to the rows."""
-    keyed = daily.withColumn("part", F.pmod(F.hash("group_key"), F.lit(spread * FAN_IN)).cast("int"))
-    return merge_tree(keyed.select(F.lit(scope).alias("scope"), F.lit(group_key).alias("group_key"), *_COLUMNS[2:]), spread * FAN_IN, k)
+def combine(daily: DataFrame, scope: str, group_key: str, k: int = BUFFER) -> DataFrame:
+    """One sketch of all the given sketches, without going back to the rows. The sketches are numbered densely, a null key first."""
+    keys = encode_ids(daily.select("group_key"), "group_key").select(F.col("group_key").alias("_key"), (F.col("id") + 1).cast("int").alias("_part"))
+    keys = materialise(keys, "keys")
+    keyed = daily.join(broadcast_if_small(keys), F.col("group_key") == F.col("_key"), "left").withColumn("part", F.coalesce("_part", F.lit(0)))
+    return merge_tree(keyed.select(F.lit(scope).alias("scope"), F.lit(group_key).alias("group_key"), *_COLUMNS[2:]), keys.count() + 1, k)
+
+
+def rank_bounds(values: DataFrame, read: DataFrame) -> DataFrame:
+    """``(scope, group_key, q, n, rank_error, within)``: whether each quantile of ``read`` is as near its rank as it says, by counting."""
+    rows = values.filter(F.col("v").isNotNull() & ~F.isnan("v") & (F.abs("v") < float("inf"))).select(F.col("scope").alias("_s"), F.col("group_key").alias("_g"), "v")
+    met = rows.join(broadcast_if_small(read), F.col("_s").eqNullSafe(F.col("scope")) & F.col("_g").eqNullSafe(F.col("group_key")))
+    counts = met.groupBy("scope", "group_key", "q", "n", "rank_error").agg(F.sum((F.col("v") < F.col("value")).cast("bigint")).alias("_less"), F.sum((F.col("v") <= F.col("value")).cast("bigint")).alias("_upto"))
+    rank = F.greatest(F.lit(1).cast("bigint"), F.ceil(F.col("q") * F.col("n")))
+    return counts.select("scope", "group_key", "q", "n", "rank_error", ((F.col("_less") + 1 - F.col("rank_error") <= rank) & (rank <= F.col("_upto") + F.col("rank_error"))).alias("within"))
 
 
 def read_quantiles(sketched: DataFrame, qs: tuple[float, ...] = QUANTILES, k: int = BUFFER) -> DataFrame:

@@ -43,6 +43,19 @@ def test_groups_hot_groups_dirt_and_daily_totals(spark):
     assert Q.sketches(df.limit(0)).count() == 0
 
 
+def test_more_partitions_than_places_and_flushed_sketches(spark, monkeypatch):
+    """No merge gets more than FAN_IN sketches of a group, whatever the number of partitions, and no value is lost."""
+    monkeypatch.setattr(Q, "HELD", 40)
+    most = []
+    tree = Q.merge_tree
+    monkeypatch.setattr(Q, "merge_tree", lambda parts, width, k: (most.append((width, parts.groupBy("scope", "group_key", F.floor(F.col("part") / Q.FAN_IN)).count().agg(F.max("count")).first()[0])), tree(parts, width, k))[1])
+    df = spark.range(4000).select(F.lit("s").alias("scope"), (F.col("id") % 5).cast("string").alias("group_key"), (F.col("id") * 7 % 4001).cast("double").alias("v")).repartition(60)
+    got = Q.read_quantiles(Q.sketches(df, k=16), k=16)
+    assert most[0][0] >= 60 and most[0][1] <= Q.FAN_IN
+    checked = Q.rank_bounds(df, got).collect()
+    assert len(checked) == 20 and all(r["within"] and r["n"] == 800 and 0 < r["rank_error"] < 400 for r in checked)
+
+
 def test_rows_sent_twice_count_once(spark):
     c = spark.createDataFrame([(1, " DFI", 1.0, 1), (1, " DFI", 1.0, 2), (2, "dfi\t", 3.0, 1), (None, "dfi", 9.0, 1)], "row_id bigint, metric_id string, metric_value double, written_at int")
     assert sorted(tuple(r) for r in Q.metric_values(c).collect()) == [("metric", "dfi", 1.0), ("metric", "dfi", 3.0)]
@@ -52,15 +65,15 @@ def test_rows_sent_twice_count_once(spark):
 
 
 @pytest.mark.parametrize("buffer", [1, 7, 50])
-def test_the_geometric_file_is_uniform(tmp_path, buffer):
+def test_the_geometric_file_is_uniform(buffer):
     hits = np.zeros(200)
     for t in range(400):
-        f = G.GeometricFile(50, buffer, np.random.default_rng([buffer, t]), G.SegmentStore(f"file://{tmp_path}/{t}"))
+        kept = {}
+        f = G.GeometricFile(50, buffer, np.random.default_rng([buffer, t]), kept.__setitem__)
         for part in np.array_split(np.arange(200), 9):
             f.offer(part)
-        s = f.sample()
+        s = np.concatenate([kept[segment][:n] for segment, n in f.live()])
         assert len(s) == len(set(s.tolist())) == 50 and f.seen == 200
-        f.store.clear()
         hits[s] += 1
     # 400 draws of a quarter: mean 100, deviation 8.7 per id; old and new ids are as likely
     assert abs(hits[:60].mean() - 100) < 4 and abs(hits[-60:].mean() - 100) < 4 and hits.min() > 60 and hits.max() < 140
@@ -74,18 +87,19 @@ def test_segments_shrink_and_add_up():
 
 def test_short_streams_and_sizes(spark):
     s = spark.createDataFrame([(i, i % 5) for i in range(100)] + [(3, 9), (None, 1)], "id bigint, batch_no int")
-    got = G.fixed_size_samples(s, [10, 40, 500, 0, -1, None, 10])
+    wanted = lambda *x: spark.createDataFrame([(v,) for v in x], "queries int")
+    got = G.fixed_size_samples(s, wanted(10, 40, 500, 0, -1, None, 10))
     n = {r["queries"]: (r["n"], r["d"]) for r in got.groupBy("queries").agg(F.count("*").alias("n"), F.countDistinct("id").alias("d")).collect()}
     assert n == {10: (10, 10), 40: (40, 40), 500: (100, 100)}
-    again = G.fixed_size_samples(s.repartition(6), [10, 40, 500])
+    again = G.fixed_size_samples(s.repartition(6), wanted(10, 40, 500))
     assert again.exceptAll(got).count() == 0
-    assert G.fixed_size_samples(s.limit(0), [5]).count() == 0 and G.fixed_size_samples(s, []).count() == 0
+    assert G.fixed_size_samples(s.limit(0), wanted(5)).count() == 0 and G.fixed_size_samples(s, wanted()).count() == 0
 
 
 def test_every_id_is_equally_likely(spark):
     s = spark.range(60).select("id", (F.col("id") % 7).cast("int").alias("batch_no"))
     hits = np.zeros(60)
     for seed in range(30):
-        for r in G.fixed_size_samples(s, [20], seed=seed, shards=3).collect():
+        for r in G.fixed_size_samples(s, spark.createDataFrame([(20,)], "queries int"), seed=seed, shards=3).collect():
             hits[r["id"]] += 1
     assert hits.sum() == 600 and hits.min() >= 1 and hits.max() <= 20

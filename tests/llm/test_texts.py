@@ -46,32 +46,69 @@ def test_encoding_of_a_table(spark, enc):
     assert E.encode_texts(df.limit(0), E.vocabulary()).count() == 0
 
 
-def test_water_filling():
-    s = [M.Filled("a", "a", 0.5, 1, 10), M.Filled("b", "b", 0.3, 2, 100), M.Filled("c", "c", 0.2, 1, 90), M.Filled("d", "d", 0.0, 3, 0)]
-    M.water_fill(s, 200)
-    assert [x.clamped_round for x in s] == [1, 0, 0, 0] and sum(x.given for x in s) == pytest.approx(200)
-    assert s[1].given / s[2].given == pytest.approx(1.5)
-    chain = [M.Filled("a", "a", 0.5, 1, 10), M.Filled("b", "b", 0.45, 1, 100), M.Filled("c", "c", 0.05, 9, 1000)]
-    M.water_fill(chain, 200)
-    assert [x.clamped_round for x in chain] == [1, 2, 0] and chain[2].given == pytest.approx(90)
-    none = [M.Filled("a", "a", 1.0, 1, 10)]
-    M.water_fill(none, 100)
-    assert none[0].given == 10 and M.water_fill([], 5) == []
+def brute_fill(sources, total):
+    """``{name: (given, clamped_round)}`` of ``(name, share, most)``, source by source."""
+    out = {n: (m, 1) for n, s, m in sources if s * total > m}
+    turn = 1
+    while True:
+        turn += 1
+        free = [x for x in sources if x[0] not in out]
+        left, weight = max(0.0, total - sum(g for g, _ in out.values())), sum(s for _, s, _ in free)
+        given = {n: left * s / weight if weight else 0.0 for n, s, _ in free}
+        over = [(n, m) for n, _, m in free if given[n] > m]
+        if not over:
+            return out | {n: (g, 0) for n, g in given.items()}
+        out |= {n: (float(m), turn) for n, m in over}
+
+
+def filled(spark, sources, total):
+    """The same by the operator, for ``(name, share, max_uses, own)``."""
+    targets = spark.createDataFrame([(n, s, u) for n, s, u, _ in sources], "source string, target_share double, max_uses int")
+    counted = spark.createDataFrame([(i, n, o) for i, (n, _, _, o) in enumerate(sources) if o], "doc_id bigint, source_key string, n_tokens bigint")
+    return {r["source"]: r for r in M.fill(counted, targets, total).collect()}
+
+
+CASES = [
+    ([("a", 0.5, 1, 10), ("b", 0.3, 2, 100), ("c", 0.2, 1, 90), ("d", 0.0, 3, 0)], 200.0, [1, 0, 0, 0]),
+    ([("a", 0.5, 1, 10), ("b", 0.45, 1, 100), ("c", 0.05, 9, 1000)], 200.0, [1, 2, 0]),
+    ([("a", 1.0, 1, 10)], 100.0, [1]),
+    ([("a", 1.5, 4, 100), ("b", 0.5, 4, 100)], 100.0, [0, 0]),
+    ([("a", 0.9, 0, 50), ("b", 0.1, 5, 0)], 50.0, [1, 1]),
+]
+
+
+@pytest.mark.parametrize("sources, total, rounds", CASES)
+def test_water_filling(spark, sources, total, rounds):
+    got, want = filled(spark, sources, total), brute_fill([(n, s, float(u * o)) for n, s, u, o in sources], total)
+    assert [got[n]["clamped_round"] for n, *_ in sources] == rounds == [want[n][1] for n, *_ in sources]
+    assert all(got[n]["given"] == pytest.approx(want[n][0]) and got[n]["epochs"] <= u for n, _, u, _ in sources)
+
+
+def test_water_filling_over_many_sources(spark):
+    rng = random.Random(4)
+    sources = [(f"s{i}", rng.random(), rng.randint(0, 4), rng.randint(0, 200)) for i in range(300)]
+    total = 0.5 * sum(o for *_, o in sources)
+    scale = sum(s for _, s, _, _ in sources)
+    sources = [(n, s / scale, u, o) for n, s, u, o in sources]
+    got, want = filled(spark, sources, total), brute_fill([(n, s, float(u * o)) for n, s, u, o in sources], total)
+    assert all(got[n]["given"] == pytest.approx(want[n][0]) and got[n]["clamped_round"] == want[n][1] for n, *_ in sources)
+    empty = spark.createDataFrame([], "source string, target_share double, max_uses int")
+    assert M.fill(spark.createDataFrame([], "doc_id bigint, source_key string, n_tokens bigint"), empty).count() == 0
 
 
 def test_mixture_keeps_caps_and_reports_shares(spark):
     docs = spark.createDataFrame([(i, " A" if i % 2 else "b ", "one two three") for i in range(400)] + [(900, "other", "x"), (901, None, "x"), (902, "a", None)], "doc_id bigint, source string, text string")
     targets = spark.createDataFrame([("A", 0.8, 1), ("b", 0.2, 3), ("ghost", 0.0, 1), (None, 0.5, 1), ("nul", None, None)], "source string, target_share double, max_uses int")
     counted = E.count_tokens(M.listed_documents(docs, targets), E.vocabulary(), ["doc_id", "source_key"])
-    filled = M.fill(counted, targets)
+    plan = M.fill(counted, targets)
     assert M.once_each(counted.unionByName(counted)).exceptAll(counted).count() == 0 and M.once_each(counted.unionByName(counted)).count() == counted.count()
-    used = M.uses(counted, filled, 3)
+    used = M.uses(counted, plan, 3)
     per = {r["source_key"]: r for r in used.groupBy("source_key").agg({"uses": "max", "doc_id": "count"}).collect()}
     assert per["a"]["max(uses)"] == 1 and per["b"]["max(uses)"] <= 3
-    rep = {r["source"]: r for r in M.report(filled, used).collect()}
+    rep = {r["source"]: r for r in M.report(plan, used).collect()}
     assert rep["A"]["clamped_round"] == 1 and sum(r["actual_share"] for r in rep.values()) == pytest.approx(1.0)
     assert rep["A"]["actual_share"] == pytest.approx(0.5, abs=0.05) and rep["ghost"]["actual_share"] == 0 and "other" not in rep
-    assert used.exceptAll(M.uses(counted.repartition(5), filled, 3)).count() == 0
+    assert used.exceptAll(M.uses(counted.repartition(5), plan, 3)).count() == 0
     empty = counted.limit(0)
     assert M.report(M.fill(empty, targets), M.uses(empty, M.fill(empty, targets), 1)).count() == 4
 
