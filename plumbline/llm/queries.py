@@ -185,3 +185,10 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("p9_kept")
 def p9_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.flag_residue(table(spark, sf_dir, "documents"), ["doc_id", "source"]).filter("NOT is_residue").groupBy("source").agg(F.count(F.lit(1)).alias("n_kept"))
+
+
+@query("p9_spans")
+def p9_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The matched stretches of the documents that are left out, in places of their cleaned text, and the share that they make up."""
+    flagged = residue.flag_residue(table(spark, sf_dir, "documents"), ["doc_id"]).filter("is_residue")
+    return flagged.select("doc_id", F.round("coverage", 6).alias("coverage"), F.explode("spans").alias("s")).select("doc_id", "coverage", "s.sort", "s.start", "s.stop")

@@ -1,11 +1,11 @@
 """Template residue, filler, error pages and script notices in place of content.
 
-Quoted, logged and coded parts of a text are set aside first. The rest is read passage by passage and sentence by
-sentence. One automaton finds the phrases of all languages at once; a sentence is a notice if a phrase or combination of
-phrases says so and the matched phrases cover most of its content words, and a passage is residue if notices make up at
-least half of it. A sentence that merely mentions such a phrase is covered too little. Made-up Latin, keyboard runs and
-repeated words are told by their shape. A template value that was left unfilled counts wherever it stands, unless its
-sentence speaks about templates.
+One automaton finds the phrases of all languages in one pass over the text without its code, quotations, logs and chats. A
+sentence is a notice if a phrase or combination of phrases says so and the matched phrases cover most of its content
+words, and a passage is matched if notices make up at least half of it. A sentence that merely mentions such a phrase is
+covered too little. Made-up Latin, keyboard runs and repeated words are matched by their shape, and a sentence in which a
+template left a value unfilled is matched as a whole, unless it speaks about templates. What is matched is held against
+the length of the document: a line of residue in a long chapter does not exclude it.
 """
 
 from __future__ import annotations
@@ -13,17 +13,21 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.llm import residue_words as W
 
-#: Least share of a sentence's content that its phrases must cover, and of a passage that notices must make up.
-SENTENCE_COVER, COMBINED_COVER, PASSAGE_COVER = 0.6, 0.7, 0.5
+#: Least share of a sentence's content that its phrases must cover, of a passage that notices must make up, and of a
+#: document that must be matched.
+SENTENCE_COVER, COMBINED_COVER, PASSAGE_COVER, DOCUMENT_COVER = 0.6, 0.7, 0.5, 0.01
+#: Doubtful marks of unfilled values, which ordinary writing has too, that a document must have to be believed.
+DOUBTFUL = 2
 
 _CODE = re.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)|`[^`\n]*`", re.S)
 _HIDDEN = re.compile("[​-‏ -‮⁠-⁤﻿­]")
@@ -41,14 +45,21 @@ _WORD = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
 _STATUS = re.compile(r"(?<!\d)[45]\d\d(?!\d)")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿豈-﫿々ー]")
 
+#: What opens any mark of an unfilled value: a quick look saves the search for most texts.
+_OPENS = re.compile(r"\{[\w{%]|\[[\w\[%]|<[\w<%]|«[a-zA-Z]|\$[{A-Z]|#\{|%[\w(=]|@@\w|--[A-Z]|__[_A-Z]|xxx|XXX|undefined|\(T|\(F")
+#: Marks that nothing but a template leaves behind.
 _SLOT = re.compile(
     r"""\{\{\{?\s*[\w.$\ -]{1,60}\s*\}?\}\} | [$\#]\{[^{}\s]{1,60}\} | (?<![\w{$\#%])\{[^\W\d][\w\ .-]{0,40}\}(?!\}) | %[A-Z][A-Z0-9_]+% | (?<!\S)%[a-z][a-z0-9_]+%(?!\w) | @@\w[\w\ ]{0,40}@@
     | \[\[\w[\w\ ]{0,40}\]\] | <<\w[\w\ ]{0,40}>> | --[A-Z][A-Z0-9_]+-- | (?<!\w)__[A-Z][A-Z0-9_]+__(?!\w) | \$[A-Z][A-Z0-9_]{2,}\$ | «[a-z][a-z_\ ]{1,40}(?<!\ )» | «[A-Z][A-Z_\ ]{1,40}(?<!\ )»
-    | \[%=?\s*[\w.\ ]{1,60}\s*%\] | \{%=?\s*\w+\s*%\} | <%=?\s*[\w.\ ]{1,60}\s*%> | <[A-Z][A-Z0-9_]*(?:\ [A-Z0-9_]+)*> | \[object\ Object\] | \[(?:[A-Z][a-zA-Z]*)(?:\ [A-Z][a-zA-Z]*){0,4}\](?!\() | \[(?:insert|enter|add|your|name\ of|einfügen|insérer|insertar|inserir|вставить|вставьте|挿入|插入)\b[^\]\n]{0,60}\]
-    | [((](?:TODO|TBD|FIXME|FILL\ IN)\b[^))\n]{0,60}[))] | (?<!\S)%[sdifSD](?!\w) | (?<![\w])[xX]{3,}(?![\w]) | (?<!\w)undefined(?!\w) | (?<=\w\ )_{4,}(?!\w) | _{4,}(?=\ \w)""",
+    | \[%=?\s*[\w.\ ]{1,60}\s*%\] | \{%=?\s*\w+\s*%\} | <%=?\s*[\w.\ ]{1,60}\s*%> | <[A-Z][A-Z0-9_]*(?:\ [A-Z0-9_]+)*> | %\([a-z_]+\)[sdif] | \[object\ Object\]
+    | \[(?:insert|enter|add|your|name\ of|einfügen|insérer|insertar|inserir|вставить|вставьте|挿入|插入)\b[^\]\n]{0,60}\]
+    | \((?:TODO|TBD|FIXME|FILL\ IN)\b[^)\n]{0,60}\) | (?<=\w\ )_{4,}(?!\w) | _{4,}(?=\ \w)""",
     re.X,
 )
-_TALK_GAP = re.compile(r"(?<=[.!?;。！？;])\s+|(?<=[。！？])|\n+")
+#: Marks that ordinary writing has too.
+_DOUBTFUL = re.compile(r"(?<!\S)%[sdifSD](?!\w)|(?<!\w)[xX]{3,}(?!\w)|(?<!\w)undefined(?!\w)|\[(?:[A-Z][a-zA-Z]*)(?:\ [A-Z][a-zA-Z]*){0,4}\](?!\()")
+_GAP = re.compile(r"\n[ \t]*\n")
+_TALK_GAP = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])|\n+")
 
 
 def _listed(text: str) -> list[str]:
@@ -61,6 +72,8 @@ def _automaton() -> ahocorasick.Automaton:
     for kind, text in W.PHRASES.items():
         for phrase in _listed(text):
             kinds.setdefault(phrase, set()).add(kind)
+    for run in W.KEY_RUNS.split():
+        kinds.setdefault(run, set()).add("keys")
     auto = ahocorasick.Automaton()
     for phrase, found in kinds.items():
         auto.add_word(phrase, (len(phrase), frozenset(found)))
@@ -68,23 +81,22 @@ def _automaton() -> ahocorasick.Automaton:
     return auto
 
 
-@cache
-def _deciding() -> ahocorasick.Automaton:
-    """The phrases without which nothing is a notice: a quick look at a passage saves most of the work."""
-    auto = ahocorasick.Automaton()
-    for kind in ("error", "failure", "unable", "script", "scripts", "filler", "write"):
-        for phrase in _listed(W.PHRASES[kind]):
-            auto.add_word(phrase, True)
-    auto.make_automaton()
-    return auto
-
-
 @cache
 def _talk() -> re.Pattern:
     words = sorted(_listed(W.TALKS_OF_TEMPLATES), key=len, reverse=True)
     return re.compile("|".join(re.escape(w) if _CJK.search(w) else rf"(?<!\w){re.escape(w)}(?!\w)" for w in words))
 
 
+#: Kinds of which one is enough to look at a passage closely; the others need their partner.
+_ALONE = frozenset({"error", "script", "filler", "keys"})
+_TOGETHER = (("unable", "access"), ("scripts", "switch"), ("write", "here"))
+
+
+def _worth(kinds: set[str], passage: str) -> bool:
+    """Whether phrases of these kinds may make a notice."""
+    return bool(kinds & _ALONE) or any(a in kinds and b in kinds for a, b in _TOGETHER) or ("failure" in kinds and bool(_STATUS.search(passage)))
+
+
 #: Sorts of notices: the kind that speaks for itself and the pair of kinds that does together.
 _SORTS = {"error": ("error", "unable", "access"), "script": ("script", "scripts", "switch"), "filler": ("filler", "write", "here")}
 _OF = {
@@ -93,6 +105,7 @@ _OF = {
     "filler": frozenset({"filler", "write", "here", "around_filler", "around"}),
 }
 _FUNCTION = frozenset(W.FUNCTION_WORDS.split())
+_NO_SLOTS = frozenset(_listed(W.BRACKETED))
 _KEYS = re.compile("(?:" + "|".join(re.escape(k) for k in sorted(W.KEY_RUNS.split(), key=len, reverse=True)) + ")+;?")
 _KEY_STARTS = frozenset(k[:3] for k in W.KEY_RUNS.split())
 _LATIN = tuple(sorted(W.LATIN_ENDINGS.split(), key=len, reverse=True))
@@ -101,40 +114,52 @@ _LATIN = tuple(sorted(W.LATIN_ENDINGS.split(), key=len, reverse=True))
 def plain(text: str) -> str:
     """The text without code, hidden characters, markup and odd line ends; compatibility forms are unified."""
     text = _LINE_END.sub("\n", text).replace("\u2029", "\n\n")
-    text = _HIDDEN.sub("", _CODE.sub(" ", text))
-    return unicodedata.normalize("NFKC", _TAG.sub("\n", text).replace("’", "'"))
-
-
-def unfilled(text: str) -> bool:
-    """Whether a value of a template was left unfilled in running text."""
-    if not _SLOT.search(text):
-        return False
+    if "`" in text or "~~~" in text:
+        text = _CODE.sub(" ", text)
+    if not text.isascii():
+        text = _HIDDEN.sub("", text)
+    if "<" in text:
+        text = _TAG.sub("\n", text)
+    return text if text.isascii() else unicodedata.normalize("NFKC", text.replace("’", "'"))
+
+
+def _lower(text: str) -> str:
+    """Lower case, letter by letter where the length would change."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
+def unfilled(text: str) -> list[tuple[int, int]]:
+    """Spans of the sentences of running text in which a value of a template was left unfilled."""
+    if not _OPENS.search(text) and "____" not in text:
+        return []
+    sure, doubtful, marks, at = [], [], 0, 0
     for sentence in _TALK_GAP.split(text):
-        if _SLOT.search(_QUOTED.sub(" ", sentence)) and not _talk().search(sentence.lower()):
-            rest = _SLOT.sub(" ", sentence)
-            if _WORD.search(rest) and not _LOG.match(sentence):
-                return True
-    return False
-
-
-def _content(sentence: str) -> list[tuple[int, int]]:
-    """Spans of the content words: no function words, numbers or codes."""
-    spans = []
-    for m in _WORD.finditer(sentence):
-        word = m.group()
-        if _CJK.search(word):
-            spans += [(m.start() + i, m.start() + i + 1) for i, c in enumerate(word) if not c.isdigit()]
-        elif word not in _FUNCTION and not any(c.isdigit() for c in word):
-            spans.append(m.span())
-    return spans
-
-
-def _notice(sentence: str) -> tuple[int, float, bool]:
-    """Content characters of a sentence, the share that phrases cover, and whether they make it a notice."""
-    spans = _content(sentence)
-    total = sum(b - a for a, b in spans)
+        at = text.index(sentence, at)
+        bare = _QUOTED.sub(" ", sentence)
+        strong, weak = _SLOT.search(bare), [m for m in _DOUBTFUL.finditer(bare) if _lower(m.group().strip("[]")) not in _NO_SLOTS]
+        if (strong or weak) and not _LOG.match(sentence) and not _talk().search(_lower(sentence)):
+            if _WORD.search(_DOUBTFUL.sub(" ", _SLOT.sub(" ", sentence))):
+                (sure if strong else doubtful).append((at, at + len(sentence)))
+                marks += 0 if strong else len(weak)
+        at += len(sentence)
+    return sorted(sure + doubtful) if sure or marks >= DOUBTFUL else []
+
+
+@lru_cache(200_000)
+def _weight(word: str) -> int:
+    """Content characters of a word: none for function words, numbers and codes."""
+    if _CJK.search(word):
+        return sum(not c.isdigit() for c in word)
+    return 0 if word in _FUNCTION or any(map(str.isdigit, word)) else len(word)
+
+
+def _notice(sentence: str) -> tuple[int, float, str]:
+    """Content characters of a sentence, the share that phrases cover, and the sort of notice that they make it, if any."""
+    words = [m for m in _WORD.finditer(sentence) if _weight(m.group())]
+    total = sum(_weight(m.group()) for m in words)
     if not total:
-        return 0, 0.0, False
+        return 0, 0.0, ""
     marked: list[tuple[int, int, frozenset]] = []
     kinds: set[str] = set()
     for end, (n, found) in _automaton().iter(sentence):
@@ -149,16 +174,17 @@ def _notice(sentence: str) -> tuple[int, float, bool]:
                 continue
         marked.append((start, end + 1, found))
         kinds |= found
-    best, notice = 0.0, False
+    best, notice = 0.0, ""
     for sort, (alone, one, other) in _SORTS.items():
         covered = bytearray(len(sentence))
         for a, b, found in marked:
             if found & _OF[sort]:
                 covered[a:b] = b"\1" * (b - a)
-        share = sum(sum(covered[a:b]) for a, b in spans) / total
+        share = sum(min(_weight(m.group()), sum(covered[m.start() : m.end()])) for m in words) / total if any(covered) else 0.0
         best = max(best, share)
         together = one in kinds and other in kinds or (sort == "error" and "failure" in kinds and _STATUS.search(sentence))
-        notice |= bool(alone in kinds and share >= SENTENCE_COVER or together and share >= COMBINED_COVER)
+        if not notice and (alone in kinds and share >= SENTENCE_COVER or together and share >= COMBINED_COVER):
+            notice = sort
     return total, best, notice
 
 
@@ -178,50 +204,98 @@ def _shaped(words: list[str]) -> bool:
     return False
 
 
-def residue_passage(passage: str) -> bool:
-    """Whether a passage stands in place of content."""
-    lines = [x for x in passage.split("\n") if not x.lstrip().startswith((">", "|")) and not _LOG.match(x) and not _CHAT.match(x) and not _TRACE.match(x)]
+def _odd_shape(words: list[str]) -> bool:
+    """A quick look: whether words are repeated at once or function words are so few that a passage may be made up."""
+    n = len(words)
+    if n < 3:
+        return False
+    return any(a == b for a, b in zip(words, words[1:])) or len(set(words)) <= max(3, n // 4) or sum(w in _FUNCTION for w in words) <= 0.12 * n
+
+
+def _matched(passage: str, low: str) -> list[tuple[str, int]]:
+    """``(sort, characters)`` of what stands in place of content in a passage, given in lower case too; empty if that is less than half of it."""
+    pairs = zip(passage.split("\n"), low.split("\n"))
+    lines = [y for x, y in pairs if not x.lstrip().startswith((">", "|")) and not _LOG.match(x) and not _CHAT.match(x) and not _TRACE.match(x)]
     text = "\n".join(_BULLET.sub("", x) for x in lines)
     if _JSON.match(text):
         text = re.sub(r"[{}\[\]\":,]+", " ", text)  # the body of an answer: its strings are no quotations
-    text = _URL.sub(" ", text).lower()
-    if _shaped(re.findall(r"[^\W_]+;?", _QUOTED.sub(" ", text))):
-        return True
-    total = notices = extra = 0
+    text = _URL.sub(" ", text)
+    words = re.findall(r"[^\W_]+;?", _QUOTED.sub(" ", text))
+    if _odd_shape(words) and _shaped(words):
+        return [("filler", len(text))]
+    total = extra = 0
+    found: list[tuple[str, int]] = []
     text = _QUOTED.sub(lambda m: " ␟" + "q" * len(m.group()) + " ", text)
-    if next(_deciding().iter(text), None) is None:
-        # only the shape of sentences is left to make it residue
-        sentences = _SPLIT.split(text)
-        found = [_shaped(re.findall(r"[^\W_]+;?", x)) for x in sentences]
-        if not any(found):
-            return False
-        sizes = [sum(b - a for a, b in _content(x)) for x in sentences]
-        return sum(n for n, f in zip(sizes, found) if f) >= PASSAGE_COVER * sum(sizes)
     for sentence in _SPLIT.split(text):
-        n, share, is_notice = _notice(sentence)
+        if next(_automaton().iter(sentence), None) is None:
+            n, share, sort = sum(map(_weight, _WORD.findall(sentence))), 0.0, ""
+        else:
+            n, share, sort = _notice(sentence)
         total += n
-        if is_notice or (n and _shaped(re.findall(r"[^\W_]+;?", sentence))):
-            notices += n
+        if sort or (n and _odd_shape(words := re.findall(r"[^\W_]+;?", sentence)) and _shaped(words)):
+            found.append((sort or "filler", n))
         elif share >= COMBINED_COVER:
             extra += n  # goes along with a notice
-    return bool(notices) and notices + extra >= PASSAGE_COVER * total
+    notices = sum(n for _, n in found)
+    return found if found and notices + extra >= PASSAGE_COVER * total else []
 
 
-def is_residue(text: str | None) -> bool:
-    """Whether a text, or a passage of it, is residue. Null, empty and blank texts are not."""
+def examine(text: str | None) -> tuple[bool, float, list[tuple[str, int, int]]]:
+    """Whether a text is residue, the share of it that is matched, and ``(sort, start, end)`` of the matched stretches.
+
+    The places are those of ``plain(text)``. Sorts are error, script, filler and unfilled. Null, empty and blank texts are
+    not residue.
+    """
     if not text or not text.strip():
-        return False
+        return False, 0.0, []
     text = plain(text)
-    return unfilled(text) or any(residue_passage(p) for p in re.split(r"\n[ \t]*\n", text) if p.strip())
+    total = len("".join(text.split()))
+    if not total:
+        return False, 0.0, []
+    spans = [("unfilled", a, b) for a, b in unfilled(text)]
+    low = _lower(text)
+    hits = [(end, found) for end, (_, found) in _automaton().iter(low)]
+    at = seen = 0
+    for gap in [*_GAP.finditer(low), None]:
+        start, stop = at, gap.start() if gap else len(low)
+        at = gap.end() if gap else stop
+        passage = low[start:stop]
+        kinds: set[str] = set()
+        while seen < len(hits) and hits[seen][0] < stop:
+            kinds |= hits[seen][1]
+            seen += 1
+        if _worth(kinds, passage) or _odd_shape(passage.split()):
+            sorts = _matched(text[start:stop], passage)
+            if sorts:
+                spans.append((max(sorts, key=lambda x: x[1])[0], start, stop))
+    spans.sort(key=lambda x: (x[1], x[2]))
+    covered, reach = 0, 0
+    for _, a, b in spans:  # what is matched twice counts once
+        covered += len("".join(text[max(a, reach) : b].split())) if b > reach else 0
+        reach = max(reach, b)
+    return covered > 0 and covered >= DOCUMENT_COVER * total, covered / total, spans
+
+
+def is_residue(text: str | None) -> bool:
+    """Whether a text, or a passage of it that makes up enough of it, is residue. Null, empty and blank texts are not."""
+    return examine(text)[0]
+
+
+FLAGS = "is_residue boolean, coverage double, spans array<struct<sort:string,start:int,stop:int>>"
+_SPANS = pa.list_(pa.struct([("sort", pa.string()), ("start", pa.int32()), ("stop", pa.int32())]))
 
 
 def flag_residue(documents: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    """``documents`` reduced to ``keep`` and ``is_residue``, row by row in Arrow batches; whole texts, no shuffle."""
+    """``documents`` reduced to ``keep`` and the FLAGS of :func:`examine`, row by row in Arrow batches; whole texts, no shuffle."""
 
     def flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = pa.array([is_residue(t) for t in b.column(b.num_columns - 1).to_pylist()], type=pa.bool_())
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], found], names=[*keep, "is_residue"])
-
-    rows = documents.select(*keep, F.col(text).alias("_text"))
-    return rows.mapInArrow(flag, rows.select(*keep, F.lit(True).alias("is_residue")).schema)
+            found = [examine(t) for t in b.column(b.num_columns - 1).to_pylist()]
+            spans = [[{"sort": s, "start": i, "stop": j} for s, i, j in f[2]] for f in found]
+            cols = [pa.array([f[0] for f in found], pa.bool_()), pa.array([f[1] for f in found], pa.float64()), pa.array(spans, _SPANS)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *cols], names=[*[f"k{i}" for i in range(len(keep))], "is_residue", "coverage", "spans"])
+
+    rows = documents.select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keep)], F.col(text).alias("_text"))
+    schema = T.StructType([*rows.schema.fields[:-1], *T.StructType.fromDDL(FLAGS).fields])
+    out = rows.mapInArrow(flag, schema)
+    return out.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keep)], "is_residue", "coverage", "spans")

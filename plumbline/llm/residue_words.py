@@ -8,6 +8,17 @@ three sorts) but decide nothing.
 
 PHRASES = {
     "error": """
+whoops | page has vanished | page has moved | this page isn't working | page isn't working | no such page | page does not exist | page cannot be displayed | page can't be displayed | we can't find | we could not find | we couldn't find | nothing was found | nothing found | nothing here | broken link | dead link
+under construction | out of service | out of order | not responding | took too long to respond | didn't send any data | server is down | site is down | temporarily offline | is offline | currently offline | overloaded | over capacity | service outage | service interruption | experiencing technical difficulties | technical difficulties
+error establishing a database connection | database error | unhandled exception | method not allowed | not acceptable | payload too large | request entity too large | not implemented | precondition failed | service error | request failed | request rejected | request blocked | request could not be satisfied
+you have been blocked | has been blocked | your ip | unusual traffic | verify you are human | verify that you are human | are you a robot | not a robot | checking your browser | security check | attention required | captcha | account suspended | domain is for sale | insufficient permissions | authentication required | login required | please log in | please sign in | sign in to continue | log in to continue | subscribe to continue | restricted access | content is unavailable | has been removed | was removed | has been disabled | invalid request | invalid url | invalid token | page expired | token expired
+im aufbau | wird gewartet | außer betrieb | technische störung | nicht verfügbar | leider nicht gefunden | wurde nicht gefunden | bitte anmelden | anmeldung erforderlich | zugang gesperrt | gesperrt | überlastet | sicherheitsprüfung | kein roboter | ungültige anfrage | wurde entfernt
+en construction | hors service | service interrompu | page expirée | accès réservé | connexion requise | non trouvée | non trouvé | requête invalide | pas un robot | vérification de sécurité | surchargé | a été supprimée | a été supprimé | problème technique
+en construcción | fuera de servicio | página caducada | inicio de sesión requerido | solicitud no válida | no soy un robot | comprobación de seguridad | sobrecargado | ha sido eliminada | ha sido eliminado | problema técnico | no encontrado | prohibido | ha ocurrido un error | ocurrió un error
+em construção | fora do ar | fora de serviço | página expirada | requisição inválida | não sou um robô | verificação de segurança | sobrecarregado | foi removida | foi removido | problema técnico | não encontrada | não encontrado | proibido | não está disponível | não disponível
+на реконструкции | в разработке | доступ ограничен | доступ закрыт | требуется вход | требуется авторизация | неверный запрос | не робот | проверка безопасности | перегружен | была удалена | был удалён | технические неполадки | недоступен | запрещено | возникла ошибка
+工事中 | 準備ができていません | ご指定のページ | 削除されました | ログインが必要です | アクセスが集中 | ただいま混み合って | 無効なリクエスト | ロボットではありません | 接続できません | 応答がありません | 失敗しました | 禁止されています
+建设中 | 施工中 | 无法连接 | 禁止访问 | 需要登录 | 请先登录 | 安全验证 | 服务器繁忙 | 系统繁忙 | 请求无效 | 已被删除 | 已删除或不存在 | 页面走丢了 | 链接已失效 | 不可用 | 超时
 access denied | access forbidden | permission denied | not authorized | unauthorized | forbidden | you do not have permission | you don't have permission
 page not found | file not found | not found | no longer exists | no longer available | is unavailable | has been moved or deleted | gone | does not exist
 service unavailable | service temporarily unavailable | temporarily unavailable | currently unavailable | is not available
@@ -46,6 +57,14 @@ encontrar | cargar | abrir | mostrar | acceder | página | archivo | documento |
 найти | загрузить | открыть | показать | отобразить | получить | страницу | страница | файл | документ | запрос | ページ | ファイル | 文書 | 表示 | 読み込み | 読み込む | 開く | 見つける | 页面 | 网页 | 文件 | 文档 | 加载 | 打开 | 显示 | 找到
 """,
     "script": """
+enable cookies | cookies are disabled | cookies must be enabled | cookies required | accept cookies to continue | javascript support is required | browser does not support javascript | javascript seems to be disabled | javascript appears to be disabled | javascript is not enabled | javascript is turned off | javascript is off | please turn on javascript | please allow javascript | need to enable javascript | noscript
+javascript einschalten | ohne javascript | javascript wird benötigt | javascript muss aktiviert | aktivieren sie cookies | javascript ausgeschaltet | unterstützt kein javascript
+sans javascript | javascript est nécessaire | activer les cookies | activez les cookies | ne prend pas en charge javascript | javascript désactivé
+sin javascript | javascript es necesario | javascript deshabilitado | habilite las cookies | active las cookies | no es compatible con javascript | necesita javascript
+sem javascript | javascript é necessário | javascript desabilitado | ative os cookies | habilite os cookies | não suporta javascript | precisa de javascript
+без javascript | необходим javascript | javascript выключен | включите cookies | не поддерживает javascript | включите скрипты | включите поддержку
+javascriptが必要 | javascript が必要 | javascriptをオン | cookieを有効 | javascriptに対応していません
+不支持 javascript | 不支持javascript | javascript 已禁用 | javascript已禁用 | 需要javascript | 需要 javascript | 启用 cookie | 启用cookie
 javascript is disabled | javascript is required | javascript required | requires javascript | javascript must be enabled | scripts are blocked | scripts are disabled | scripts must be | only with javascript | without javascript
 javascript aktivieren | aktivieren sie javascript | skripte aktivieren | benötigt skripte | benötigt javascript | javascript ist deaktiviert | skripte sind | skripte erlauben | erlauben sie skripte | erfordert javascript
 activer javascript | activez javascript | javascript est désactivé | javascript est requis | nécessite javascript | autoriser les scripts | autorisez les scripts | scripts sont bloqués | scripts sont désactivés | besoin de scripts | javascript doit être activé
@@ -67,8 +86,16 @@ ative | ativar | ativado | habilitado | desativado | requer | precisa | вклю
 有効 | 有効に | オン | 許可 | 必要 | 無効 | 启用 | 开启 | 打开 | 允许 | 需要 | 禁用
 """,
     "filler": """
+insert content here | insert your text | add your text | add text here | your content here | your title here | your name here | enter text here | type here | write something | this is a placeholder | placeholder content | content placeholder | sample content | dummy content | example text | test page | this is a test | will be replaced | replace this text | replace me | to be determined | to be announced | to be completed | to be added | to be filled in | tbd | tba | more to come | details to follow | stay tuned | fills the page | fill the page | fills the space | fill the space | some text | some words | more words | more text | until somebody writes | until someone writes | replace before | quick brown fox | foo bar | bla bla | under preparation
+platzhalter | beispielinhalt | text einfügen | hier text | folgt in kürze | demnächst | in vorbereitung | noch kein inhalt | wird noch ergänzt | mustertext
+texte ici | insérer le texte | bientôt disponible | en préparation | à compléter | texte factice
+texto aquí | inserte el texto | por completar | en preparación | texto ficticio | contenido de ejemplo
+texto aqui | inserir texto | a completar | em preparação | conteúdo de exemplo | texto fictício
+текст здесь | вставить текст | скоро будет | в подготовке | пример текста | тестовый текст
+ここにテキスト | テキストが入ります | 見本です | 追って掲載 | 近日掲載 | 仮テキスト
+这里输入 | 请输入内容 | 内容准备中 | 测试文本 | 测试页面 | 即将推出 | 稍后补充
 lorem ipsum | lorem | ipsum | dolor sit amet | your text here | your text goes here | text goes here | heading goes here | title goes here | content goes here | content coming soon | coming soon | content to follow
-dummy copy | dummy text | placeholder text | sample text | filler text | to be written | until somebody writes it | only fills the page | replace before release | some words | some more words | again some words | blah | test test | word word | text to come | insert text
+dummy copy | dummy text | placeholder text | sample text | filler text | to be written | blah | test test | word word | text to come | insert text
 blindtext | platzhaltertext | beispieltext | fülltext | inhalt folgt | text folgt | hier steht später | ihr text hier | hier könnte ihr text stehen | wird noch ergänzt
 faux texte | texte de remplissage | contenu à venir | texte à venir | votre texte ici | texte provisoire | texte d'exemple
 texto de relleno | contenido próximamente | próximamente | su texto aquí | tu texto aquí | escriba aquí | escribe aquí | texto de ejemplo | texto provisional | contenido en preparación
@@ -90,6 +117,7 @@ hier | an dieser stelle | in diesem feld | ici | dans ce champ | à cet endroit
 sorry | oops | please | what | looking for | looking | moved | removed | deleted | typed | mistyped | database | message | status | connect | connection | host | gateway | proxy | wrong | happened | reason | details | id | page | pages | requested | asked for | you asked for | document | file | scene | report | reports | workspace | server | portal | site | website | service | app | application | viewer | panel | right now | did not answer | in time | at this time | at the moment | followed | old link | link | links | check | address | url | reload | refresh | try again | later | go back | back | overview | home | homepage | ask | owner | access | permission | permissions | view | contact | administrator | support | help desk | code | reference | request | id | ref | keeps happening | happening | tell | ticket | opened | rendering | slow down | seconds | minutes | sign in | log in | again | go on | continue | expired | moved | on our side | side | failed | timeout | time out | edge | apache | nginx | available | answer | error | problem | may | show | shown | see | load | open | find | reach | fetch | run | display | lookup | address failed | down | maintenance
 """,
     "around_script": """
+cookies | security | human | moment | redirect | redirected | just a moment
 browser | browsers | nothing happens | if nothing | loading | loads | load | content | properly | correctly | website | work | works | function | functionality | page | report | reports | scene | viewer | panel | app | application | site | reload | refresh | refresh this tab | tab | see | view | show | shown | open | run | continue | go on | again | later | please | settings | experience | best | cookies | newer | use | another | different | blocker | ad blocker | detected | we've detected | switch off | almost there | before | checking | features | support | needed | opens | without it | active | modern | extension | preferences | tool | probe | the rest | interactive
 """,
     "around_filler": """
@@ -118,7 +146,7 @@ o os as um uma uns umas do da dos das no na nos nas e ou em com por para é são
 
 #: Words by which a sentence shows that it speaks about templates instead of being one.
 TALKS_OF_TEMPLATES = """
-template | templates | placeholder | placeholders | variable | variables | shell | parser | renderer | collector | translators | format string | format strings | syntax | alert text | by design | paper form | signature | signatures | environment | regex | escaped | literal | macro
+template | templates | placeholder | placeholders | fills it | fills them | fills them in | filled by | filled in by | is filled | are filled | is replaced | are replaced | expands to | substitutes | substituted | variable | variables | shell | parser | renderer | format string | format strings | syntax | printf | environment | regex | regular expression | escaped | literal | macro | markup | documentation | roman numeral | roman numerals
 vorlage | platzhalter | variablen | formular
 modèle | gabarit | variables d'environnement | formulaire
 plantilla | marcador | formulario
@@ -133,3 +161,8 @@ KEY_RUNS = "asdf sdfg dfgh fghj ghjk hjkl jkl; jkl qwer wert erty rtyu tyui yuio
 
 #: Endings of the made-up Latin that fills layouts.
 LATIN_ENDINGS = "us um it at et ae unt is ur am em or ibus que isi io quam oris ectus umque eo en ut"
+
+#: Words in square brackets that are no slots: keys, notes of editors and captions.
+BRACKETED = """
+home | end | enter | return | esc | escape | tab | shift | ctrl | control | alt | delete | insert | backspace | space | up | down | left | right | page up | page down | note | notes | sic | figure | table | citation needed | edit | source | sources | applause | laughter | music | ok | cancel | yes | no | menu | back | next | close | open | save | print | search | help
+"""

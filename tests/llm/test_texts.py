@@ -119,6 +119,9 @@ RESIDUE = [
     "asdf qwer zxcv asdfasdf jkl;", "test test test test", "Inhalt folgt.", "ここに本文が入ります。", "Your text goes here.", "Dear {{first_name}}, your order was sent.", "The total is ${amount} as of %DATE%.",
     "The count rose to ____________ in May.", "Notes on the run\n\nPlease enable JavaScript to view this page.\n\nMore notes that say something about the run.", "<html><body><h1>502 Bad Gateway</h1></body></html>", "P​age not fou​nd",
     "Add a short summary here.", "ACCESS DENIED. LOG IN AGAIN.",
+    "Please enable cookies to continue.", "Verify you are human to go on.", "Under construction", "Whoops! That page has vanished.", "Checking your browser before you can continue.", "Diese Seite ist im Aufbau.",
+    "Cette page est en construction.", "Esta página está en construcción.", "Página em construção.", "Доступ ограничен.", "このページは工事中です。", "页面走丢了。", "Sans JavaScript, cette page ne peut pas s'afficher.", "Content to be announced.",
+    "The run of %(date)s ended with %(verdict)s.", "It took xxxx minutes and read xxxx rows.", "From undefined to undefined the share rose.",
 ]
 CONTENT = [
     None, "", "  \n\t ", "We saw 404 Not Found twice last night, then the nightly load worked again.", "```\nname = '{{ user }}'\n```", "The template holds {{name}} and the renderer puts the value in.",
@@ -126,6 +129,10 @@ CONTENT = [
     "Please enable JavaScript in the test browser before you measure the frame time, otherwise the timer stays at zero.", 'The page with the message "Something went wrong" came from the old panel; the cause is printed now.',
     "In the fixture corpus every tenth document was lorem ipsum, so its vectors formed a knot of their own.", "Use `${HOME}` to find the folder of the runs.", "An ordinary sentence about clustering vectors in large tables.", "________________",
     "Add a short summary here and there is no need to open the full report: the field came with the last version.", "Die Meldung »Zugriff verweigert« ist kein Befund, sie wird als fehlend gezählt.",
+    "The value was undefined in the specification, so every engine chose its own. Later versions settled it. The tests now check the order of ties. Nobody has reported a difference since. The note stays for the record.",
+    "Section XXX covers the Roman numerals and their use in old catalogues.", "The scanner reads %s of the file before it decides.", "Use [Home] to go back and [End] to see the last chunk of the scene.",
+    "The alert uses {{ $labels.index }} and the collector fills it in.", "Chapter one tells of the night the index was lost.\n\nPage not found.\n\n" + "The team looked through every log they had and wrote down what they saw, hour by hour. " * 60,
+    "Long report. " * 400 + "The recall of {{name}} fell.",
 ]
 
 
@@ -141,7 +148,8 @@ def test_content_is_kept(text):
 
 def test_residue_of_a_table(spark):
     df = spark.createDataFrame([(1, "Access denied.", True), (2, None, True), (None, "Fine words about tables of vectors.", None), (1, "Access denied.", False), (3, "Good words about the vectors. " * 20_000, None)], "doc_id bigint, text string, is_residue boolean")
-    got = sorted((tuple(r) for r in R.flag_residue(df, ["doc_id"]).collect()), key=str)
+    got = sorted((tuple(r) for r in R.flag_residue(df, ["doc_id"]).select("doc_id", "is_residue").collect()), key=str)
+    assert R.flag_residue(df, ["is_residue", "text"]).columns == ["is_residue", "text", "is_residue", "coverage", "spans"]
     assert got == [(1, True), (1, True), (2, False), (3, False), (None, False)]
     assert R.flag_residue(df.limit(0), ["doc_id"]).count() == 0
 
@@ -167,3 +175,18 @@ def test_notices_combine_in_other_languages(text):
 @pytest.mark.parametrize("text", ["Wir konnten die Seite des Buches, die unser Großvater markiert hatte, erst nach langem Suchen finden.", "Le document explique pourquoi les agriculteurs n'ont pas pu vendre leur récolte cette année.", "Мы не смогли поехать к морю, потому что дорога была закрыта из-за снега."])
 def test_words_of_notices_in_other_languages_are_kept(text):
     assert not R.is_residue(text)
+
+
+def test_spans_and_coverage():
+    text = "Page not found.\n\nThe total is ${x} now."
+    found, coverage, spans = R.examine(text)
+    assert found and coverage == 1.0 and [(k, R.plain(text)[a:b]) for k, a, b in spans] == [("error", "Page not found."), ("unfilled", "The total is ${x} now.")]
+    assert R.examine(None) == R.examine(" ") == (False, 0.0, [])
+    both = R.examine("Lorem ipsum {{x}} dolor sit amet.")
+    assert both[1] == 1.0 and {k for k, *_ in both[2]} == {"filler", "unfilled"}  # matched twice, counted once
+
+
+def test_letters_whose_lower_case_is_longer_keep_their_places():
+    text = "İ" * 30 + "\n\nAccess denied."
+    _, _, spans = R.examine(text)
+    assert [(k, R.plain(text)[a:b]) for k, a, b in spans] == [("error", "Access denied.")]
