@@ -8,6 +8,15 @@ three sorts) but decide nothing.
 
 PHRASES = {
     "error": """
+leads nowhere | lead nowhere | you need permission | request access | zugang zu dieser seite ist gesperrt | ist gesperrt | accès à cette page interdit | interdit | no tiene autorización | sin autorización | sem autorização | not permitted | access is denied | access is restricted | link is broken | came up empty | hit a snag
+you are not allowed | you do not have access | you don't have access | is no longer online | did not respond | does not respond | fetch failed | failed to load | could not be loaded | could not be found | could not be opened | cannot be found | can't be found | cannot be reached | can't be reached | has been discontinued | is closed | ran into a problem | encountered an error | encountered a problem
+existiert nicht | existiert leider nicht | gibt es nicht | gibt es nicht mehr | antwortet nicht | keine rechte | nicht berechtigt | zugriff nicht erlaubt | kann nicht angezeigt werden | konnte nicht geladen werden | nicht geladen werden | nicht gefunden werden | ist gescheitert | fehlgeschlagen
+ne répond pas | ne répond plus | pas autorisé | n'avez pas la permission | n'avez pas accès | n'a pas été trouvée | n'a pas été trouvé | ne peut pas être affichée | n'est plus disponible | n'est pas disponible | a échoué | plus en ligne
+no responde | no tiene permiso | no tiene acceso | no está autorizado | ya no existe | ya no está disponible | no se pudo cargar | no puede mostrarse | ha fallado | no fue encontrada
+não responde | não tem permissão | não tem acesso | não está autorizado | não existe mais | já não existe | não está mais disponível | não pôde ser carregada | não pode ser exibida | falhou
+не отвечает | нет прав | нет разрешения | больше не существует | больше не доступна | больше недоступна | не удалось загрузить | не может быть показана | не может быть отображена | завершился ошибкой | сбой
+応答しません | アクセス権がありません | 見つかりませんでした | 見つかりません | 表示できません | 読み込めませんでした | 公開されていません | 終了しました
+没有响应 | 无权限 | 您没有权限 | 已不存在 | 找不到 | 无法打开 | 无法加载 | 请求失败 | 出现问题 | 已关闭
 whoops | page has vanished | page has moved | this page isn't working | page isn't working | no such page | page does not exist | page cannot be displayed | page can't be displayed | we can't find | we could not find | we couldn't find | nothing was found | nothing found | nothing here | broken link | dead link
 under construction | out of service | out of order | not responding | took too long to respond | didn't send any data | server is down | site is down | temporarily offline | is offline | currently offline | overloaded | over capacity | service outage | service interruption | experiencing technical difficulties | technical difficulties
 error establishing a database connection | database error | unhandled exception | method not allowed | not acceptable | payload too large | request entity too large | not implemented | precondition failed | service error | request failed | request rejected | request blocked | request could not be satisfied
@@ -57,6 +66,7 @@ encontrar | cargar | abrir | mostrar | acceder | página | archivo | documento |
 найти | загрузить | открыть | показать | отобразить | получить | страницу | страница | файл | документ | запрос | ページ | ファイル | 文書 | 表示 | 読み込み | 読み込む | 開く | 見つける | 页面 | 网页 | 文件 | 文档 | 加载 | 打开 | 显示 | 找到
 """,
     "script": """
+führt kein javascript aus | kein javascript | activation de javascript | nécessite l'activation de javascript | l'activation de javascript | necesita javascript | javascript para funcionar | requires scripts | needs scripts | needs javascript | works only with javascript | braucht javascript | braucht skripte | a besoin de javascript | necesita tener javascript | depende de javascript | relies on javascript | depends on javascript
 enable cookies | cookies are disabled | cookies must be enabled | cookies required | accept cookies to continue | javascript support is required | browser does not support javascript | javascript seems to be disabled | javascript appears to be disabled | javascript is not enabled | javascript is turned off | javascript is off | please turn on javascript | please allow javascript | need to enable javascript | noscript
 javascript einschalten | ohne javascript | javascript wird benötigt | javascript muss aktiviert | aktivieren sie cookies | javascript ausgeschaltet | unterstützt kein javascript
 sans javascript | javascript est nécessaire | activer les cookies | activez les cookies | ne prend pas en charge javascript | javascript désactivé
@@ -86,6 +96,15 @@ ative | ativar | ativado | habilitado | desativado | requer | precisa | вклю
 有効 | 有効に | オン | 許可 | 必要 | 無効 | 启用 | 开启 | 打开 | 允许 | 需要 | 禁用
 """,
     "filler": """
+your own text | with your own text | texte viendra ici | viendra ici | aquí va | aquí irá | aqui vai | aqui vai o texto | здесь будет | будет здесь | hier kommt | kommt hier | wird ergänzt | in kürze ergänzt | タイトルを入力 | ここに入力 | 填写内容 | 填写标题
+to be supplied | to be provided | to be inserted | to be written | goes in here | text follows | copy to come | awaiting text | no content yet | nothing here yet | no text yet
+entsteht | folgt noch | wird nachgereicht | text kommt noch | noch kein text
+texte à insérer | sera ajouté | pas encore de contenu
+texto por añadir | aún no hay contenido | se añadirá
+texto a inserir | ainda não há conteúdo | será adicionado
+скоро появится | будет добавлен | будет добавлено | пока нет текста
+まもなく掲載 | まだありません | 後日追加
+即将上线 | 暂无内容 | 待添加
 insert content here | insert your text | add your text | add text here | your content here | your title here | your name here | enter text here | type here | write something | this is a placeholder | placeholder content | content placeholder | sample content | dummy content | example text | test page | this is a test | will be replaced | replace this text | replace me | to be determined | to be announced | to be completed | to be added | to be filled in | tbd | tba | more to come | details to follow | stay tuned | fills the page | fill the page | fills the space | fill the space | some text | some words | more words | more text | until somebody writes | until someone writes | replace before | quick brown fox | foo bar | bla bla | under preparation
 platzhalter | beispielinhalt | text einfügen | hier text | folgt in kürze | demnächst | in vorbereitung | noch kein inhalt | wird noch ergänzt | mustertext
 texte ici | insérer le texte | bientôt disponible | en préparation | à compléter | texte factice
@@ -117,13 +136,24 @@ hier | an dieser stelle | in diesem feld | ici | dans ce champ | à cet endroit
 sorry | oops | please | what | looking for | looking | moved | removed | deleted | typed | mistyped | database | message | status | connect | connection | host | gateway | proxy | wrong | happened | reason | details | id | page | pages | requested | asked for | you asked for | document | file | scene | report | reports | workspace | server | portal | site | website | service | app | application | viewer | panel | right now | did not answer | in time | at this time | at the moment | followed | old link | link | links | check | address | url | reload | refresh | try again | later | go back | back | overview | home | homepage | ask | owner | access | permission | permissions | view | contact | administrator | support | help desk | code | reference | request | id | ref | keeps happening | happening | tell | ticket | opened | rendering | slow down | seconds | minutes | sign in | log in | again | go on | continue | expired | moved | on our side | side | failed | timeout | time out | edge | apache | nginx | available | answer | error | problem | may | show | shown | see | load | open | find | reach | fetch | run | display | lookup | address failed | down | maintenance
 """,
     "around_script": """
+ce site | este sitio | este site | diese seite | funktioniert | fonctionner | funcionar | работать | сайт | site web | sitio web | seite | nécessite | benötigt | necesita | precisa | ihr browser | votre navigateur | su navegador | seu navegador
 cookies | security | human | moment | redirect | redirected | just a moment
 browser | browsers | nothing happens | if nothing | loading | loads | load | content | properly | correctly | website | work | works | function | functionality | page | report | reports | scene | viewer | panel | app | application | site | reload | refresh | refresh this tab | tab | see | view | show | shown | open | run | continue | go on | again | later | please | settings | experience | best | cookies | newer | use | another | different | blocker | ad blocker | detected | we've detected | switch off | almost there | before | checking | features | support | needed | opens | without it | active | modern | extension | preferences | tool | probe | the rest | interactive
 """,
     "around_filler": """
+replace | own | your | paragraph | text here | write here | ersetzen | remplacez | reemplace | substitua | замените
 short | summary | intro | introduction | main text | text | paragraph | outcome | finding | findings | cause | two | three | lines | sentences | sentence | words | publish | keep it short | keep | heading | title | goes | content | section | box | copy | release | body | caption | description
 """,
     "around": """
+document | dokument | ver este | ver esta | diesem dokument | ce document | titel | titre | título | заголовок | タイトル | 标题 | absatz | paragraphe | párrafo | parágrafo | абзац
+unfortunately | apologies | we apologise | we apologize | regret | kindly | inconvenience | soon | shortly | few minutes | moments | meanwhile | requested page
+leider | entschuldigung | entschuldigen | tut uns leid | gewünschte | gesuchte | gewünschten | zurzeit | momentan | bald | kürze | anzusehen | ansehen | besuchen | startseite | administrator
+désolé | désolés | malheureusement | excusez | recherchez | cherchez | cherchée | actuellement | bientôt | instant | plus tard | accueil | administrateur | consulter | voir
+lo sentimos | disculpe | desafortunadamente | lamentablemente | que busca | busca | buscada | actualmente | pronto | momento | minutos | inicio | administrador | consultar | texto
+desculpe | desculpa | lamentamos | infelizmente | que você procura | procura | procurada | atualmente | breve | momento | minutos | início | administrador | acessar | você | visualizar
+извините | к сожалению | приносим извинения | просим прощения | запрашиваемая | запрашиваемой | запрошенная | пожалуйста | сейчас | минут | главная | администратор | администратору | просмотра | страницы | здесь | текст
+申し訳ございませんが | 申し訳ありません | 恐れ入りますが | お探しの | ご覧になる | ご利用 | しばらく | 後ほど | 少々 | お待ちください | トップページ | 管理者
+抱歉 | 对不起 | 很遗憾 | 您要找的 | 您查找的 | 您所 | 目前 | 当前 | 稍等 | 请稍候 | 管理员 | 联系 | 重试 | 再试
 bitte | melden | nochmals | noch einmal | anmelden | neu an | seite | angeforderte | dokument | datei | wurde | später | erneut | versuchen | laden | zurück | adresse | prüfen | kennung | dienst | server | browser | anzuzeigen | anzeigen | anwendung | ihr | blockiert | einstellungen | cookies | befund | steht | hier | text | kurze | zusammenfassung | fehler | skripte | javascript | sie | diese | wir | wieder | gegen | verweigert
 veuillez | reconnecter | connecter | à nouveau | encore | page | demandée | demandé | document | fichier | plus tard | réessayez | réessayer | recharger | rechargez | retour | adresse | vérifiez | réf | référence | service | serveur | navigateur | afficher | cette page | application | bloque | paramètres | remplacer | résumé | texte | votre | ici | contenu | erreur | scripts | javascript | connexion
 inicie | inicia | sesión | de nuevo | otra vez | nuevo | página | solicitada | solicitado | documento | archivo | más tarde | inténtelo | intente | vuelva | recargue | dirección | compruebe | referencia | servicio | servidor | navegador | aplicación | ver | esta página | configuración | bloqueados | texto | aquí | resumen | escriba | contenido | error | scripts | javascript
@@ -157,7 +187,7 @@ modelo | marcador de posição | formulário
 """
 
 #: Rows of a keyboard as fingers run over them.
-KEY_RUNS = "asdf sdfg dfgh fghj ghjk hjkl jkl; jkl qwer wert erty rtyu tyui yuio uiop zxcv xcvb cvbn vbnm qwertz asd qwe zxc jklö"
+KEY_RUNS = "qwerty asdf sdfg dfgh fghj ghjk hjkl jkl; jkl qwer wert erty rtyu tyui yuio uiop zxcv xcvb cvbn vbnm qwertz asd qwe zxc jklö"
 
 #: Endings of the made-up Latin that fills layouts.
 LATIN_ENDINGS = "us um it at et ae unt is ur am em or ibus que isi io quam oris ectus umque eo en ut"
