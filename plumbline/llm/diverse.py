@@ -3,18 +3,20 @@
 Two points resemble each other as a Gaussian kernel of their distance says, and less if their classes differ. A subset is
 as varied as the determinant of its kernel matrix is large; the greedy choice takes the point with the largest gain, kept
 up to date by one row of the Cholesky factor per step. The kernel is cut off at the borders of an octree level, so the
-matrix falls into blocks, the determinant into factors, and the greedy order over all is the blocks' orders merged by
-gain. The level of a run and budget is the coarsest whose cells can give enough points; it has fewer occupied cells than
+matrix falls into blocks of eight cells, the determinant into factors, and the greedy order over all is the blocks' orders
+merged by gain. The level of a run and budget is the coarsest whose cells can give enough points; it has fewer occupied cells than
 the budget has points, so every occupied cell is in the subset. Levels go down to where points coincide; what crowded
 cells still lack is taken from the unused cells of the levels below, one point each.
 
-Points move once, to the task of their (run, coarse cell); crowded cells are split over several tasks. Each task reduces
-its points to core-sets, the core-sets of one cell are united and chosen from once more, and the gains are ranked.
+Points move once, to the task of their (run, coarse cell); crowded cells are split over several tasks and pieces. Each
+piece is reduced to core-sets. The core-sets of eight neighbouring cells are united, and a last greedy pass maximises the
+determinant of the kernel over all of them, so that likeness across the cells' borders counts; what it gains ranks the
+points of a run.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +24,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.operators.heavy_keys import fragment, plan_counted, sized_join
-from plumbline.session import materialise
+from plumbline.operators.sampling import first_by_group
+from plumbline.session import broadcast_if_small, materialise
 
 #: Levels of the octree (points that share a cell of the last one coincide), and the level by which points are spread over tasks.
 DEPTH, BLOCK_LEVEL = 20, 3
@@ -34,6 +37,8 @@ SPREAD = ((32, 0x1F00000000FFFF), (16, 0x1F0000FF0000FF), (8, 0x100F00F00F00F00F
 FAR = 10
 #: Points a cell must be able to give (an octree cell has eight children), and points it is asked for.
 ENOUGH, PICKS = 8, 10
+#: Points that eight neighbouring cells are asked for when their core-sets are united.
+PARENT_PICKS = 64
 #: Width of the kernel in cells, and the kernel between different classes.
 WIDTH, OTHER_CLASS = 0.35, 0.5
 #: Rows that a task takes in before it works on the whole blocks it has.
@@ -100,15 +105,52 @@ def _runs(*keys: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(change)]) if len(keys[0]) else np.empty(0, int)
 
 
-_FOUND = "run_id bigint, level int, cell bigint, id bigint, u bigint, cls int, x float, y float, z float, gain float, shared boolean"
+_FOUND = "run_id bigint, level int, parent bigint, cell bigint, id bigint, u bigint, cls int, x float, y float, z float"
+_SCORED = "run_id bigint, level int, id bigint, u bigint, cls int, gain float, lead boolean"
 
 
-def _core_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Core-sets of whole blocks; the rows of a task come ordered by run, block, shard, hash and id."""
+def _whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], work: Callable[[pa.Table], Iterator[pa.RecordBatch]], split_on: str | None = None) -> Iterator[pa.RecordBatch]:
+    """Feed ``work`` with about UNIT rows at a time, cut between groups of equal ``keys``; the rows come grouped.
+
+    A group of more than UNIT rows is held as a whole, or, with ``split_on``, is cut between different values of that
+    column; every row is copied a bounded number of times.
+    """
     held: list[pa.RecordBatch] = []
+    n, least = 0, UNIT
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n < least:
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        cut = _last_change([table.column(k).to_numpy() for k in keys])
+        if not cut and split_on:
+            cut = _last_change([table.column(split_on).to_numpy()])
+        if cut:
+            yield from work(table.slice(0, cut))
+        held = table.slice(cut).to_batches()
+        n = table.num_rows - cut
+        least = UNIT if cut else 2 * n  # looked at again when it has doubled
+    if n:
+        yield from work(pa.Table.from_batches(held).combine_chunks())
+
+
+def _last_change(keys: list[np.ndarray]) -> int:
+    """Where the last run of equal keys begins; 0 if all are equal."""
+    same = np.ones(len(keys[0]), bool)
+    for k in keys:
+        same &= k == k[-1]
+    return 0 if same.all() else len(same) - int(same[::-1].argmin())
+
+
+def _core_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Core-sets of each cell of each level that is wanted, block by block; the rows of a task come ordered by run, block, shard, hash and id.
+
+    A block of more than UNIT rows is taken in pieces: a core-set of core-sets is one of the whole.
+    """
 
     def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        c = {n: table.column(n).combine_chunks().to_numpy(zero_copy_only=False) for n in ("run_id", "cell", "block", "_shard", "_shards", "id", "u", "cls", "levels")}
+        c = {n: table.column(n).to_numpy() for n in ("run_id", "cell", "block", "_shard", "id", "u", "cls", "levels")}
         p = np.stack([table.column(n).to_numpy() for n in "xyz"], 1)
         part = _runs(c["run_id"], c["block"], c["_shard"])
         once = np.concatenate([[True], (c["id"][1:] != c["id"][:-1]) | (part[1:] != part[:-1])])  # rows sent again are neighbours
@@ -119,54 +161,45 @@ def _core_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not len(at):
                 continue
             run, ids, u, cls, cell = (c[n][at] for n in ("run_id", "id", "u", "cls", "cell"))
-            gain = np.zeros(len(at), np.float32)
-            if level == 0:
-                take = np.arange(len(at))
-            else:
+            if level:
                 fine = np.where(cell < 0, NO_CELL, cell >> (3 * (DEPTH - max(level, BLOCK_LEVEL))))
                 order = np.lexsort((fine, part[at]))  # keeps the hash order of the rows within a cell
-                chosen, gains = greedy(_runs(part[at][order], fine[order]), p[at][order] * np.float32(2**level), cls[order])
-                chosen = order[chosen]
-                gain[chosen] = gains
-                take = np.unique(np.concatenate([chosen, _firsts(run_no[at] * 1024 + cls, u)]))
-            coarse = np.where(cell < 0, NO_CELL, cell >> (3 * (DEPTH - level)))
-            shared = (c["_shards"][at] > 1) | ((level < BLOCK_LEVEL) & (cell >= 0)) if level else np.zeros(len(at), bool)
-            cols = [run, np.full(len(at), level, np.int32), coarse.astype(np.int64), ids, u, cls.astype(np.int32), *p[at].T, gain, shared]
-            if not level:  # taken anyway: nothing but the ids is needed, and zeros take no room
-                cols = [c if n in (0, 1, 3) else np.zeros_like(c) for n, c in enumerate(cols)]
-            yield pa.RecordBatch.from_arrays([pa.array(x[take]) for x in cols], names=[f.split()[0] for f in _FOUND.split(", ")])
+                chosen, _ = greedy(_runs(part[at][order], fine[order]), p[at][order] * np.float32(2**level), cls[order])
+                take = np.unique(np.concatenate([order[chosen], _firsts(run_no[at] * 1024 + cls, u)]))
+                coarse = np.where(cell < 0, NO_CELL, cell >> (3 * (DEPTH - level))).astype(np.int64)
+                cols = [run, np.full(len(at), level, np.int32), np.where(coarse < 0, NO_CELL, coarse >> 3), coarse, ids, u, cls.astype(np.int32), *p[at].T]
+                cols = [x[take] for x in cols]
+            else:  # taken anyway: nothing but the ids is needed, and zeros take no room
+                none = np.zeros(len(at), np.int64)
+                cols = [run, none.astype(np.int32), none, none, ids, none, none.astype(np.int32), *np.zeros((3, len(at)), np.float32)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=[f.split()[0] for f in _FOUND.split(", ")])
 
-    for batch in batches:
-        held.append(batch)
-        if sum(b.num_rows for b in held) >= UNIT:
-            table = pa.Table.from_batches(held).combine_chunks()
-            keys = [table.column(n).to_numpy() for n in ("run_id", "block", "_shard")]
-            same = np.ones(table.num_rows, bool)
-            for k in keys:
-                same &= k == k[-1]
-            cut = table.num_rows - int(same[::-1].argmin()) if not same.all() else 0  # the last block may go on
-            if cut:
-                yield from work(table.slice(0, cut))
-            held = table.slice(cut).to_batches()
-    if held:
-        yield from work(pa.Table.from_batches(held))
+    yield from _whole_groups(batches, ["run_id", "block", "_shard"], work, "id")
 
 
 def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Choose again from the united core-sets of each cell; the rows of a task come ordered by run, level, cell and hash."""
-    parts = list(batches)  # core-sets only: a few points per cell and task
-    if not parts:
-        return
-    t = pa.Table.from_batches(parts)
-    run, level, cell, cls = (t.column(n).to_numpy() for n in ("run_id", "level", "cell", "cls"))
-    p = np.stack([t.column(n).to_numpy() for n in "xyz"], 1)
-    chosen, gains = greedy(_runs(run, level, cell), p * np.float32(2.0) ** level[:, None].astype(np.float32), cls)
-    gain = np.zeros(t.num_rows, np.float32)
-    gain[chosen] = gains
-    # the first of each class by hash stays a candidate even if it was not chosen
-    take = np.unique(np.concatenate([chosen, _firsts(_runs(run, level).astype(np.int64) * 1024 + cls, t.column("u").to_numpy())]))
-    t = t.set_column(t.schema.get_field_index("gain"), "gain", pa.array(gain)).take(pa.array(take))
-    yield from t.to_batches()
+    """Choose again from the united core-sets of eight neighbouring cells, by one kernel over all of them.
+
+    The rows of a task come ordered by run, level, parent, cell and hash. ``lead`` marks the first choice of each cell;
+    what the choice leaves has gain 0.
+    """
+
+    def work(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        run, level, parent, cell, cls, u = (t.column(n).to_numpy() for n in ("run_id", "level", "parent", "cell", "cls", "u"))
+        p = np.stack([t.column(n).to_numpy() for n in "xyz"], 1)
+        chosen, gains = greedy(_runs(run, level, parent), p * np.float32(2.0) ** level[:, None].astype(np.float32), cls, PARENT_PICKS)
+        gain = np.zeros(t.num_rows, np.float32)
+        gain[chosen] = gains
+        turn = np.full(t.num_rows, t.num_rows, np.int64)
+        turn[chosen] = np.arange(len(chosen))  # steps come in order, so a smaller turn within a cell is an earlier choice
+        place = _runs(run, level, parent, cell)
+        order = np.lexsort((u, turn, place))
+        lead = np.zeros(t.num_rows, bool)
+        lead[order[np.concatenate([[True], place[order][1:] != place[order][:-1]])]] = True
+        cols = [t.column(n).combine_chunks() for n in ("run_id", "level", "id", "u", "cls")]
+        yield pa.RecordBatch.from_arrays([*cols, pa.array(gain), pa.array(lead)], names=[f.split()[0] for f in _SCORED.split(", ")])
+
+    yield from _whole_groups(batches, ["run_id", "level", "parent"], work)
 
 
 def located(points: DataFrame) -> DataFrame:
@@ -219,7 +252,7 @@ def choose_levels(counts: DataFrame, base: DataFrame, requests: DataFrame) -> Da
     """
     wanted = requests.filter(F.col("requested_budget") > 0).select("request_id", F.col("requested_budget").alias("budget"))
     total = counts.groupBy("run_id").agg(F.sum("n").alias("total"))
-    left = total.join(F.broadcast(wanted))  # the short list of requests against one row per run
+    left = total.join(broadcast_if_small(wanted))  # every request is a request of every run: the result itself has as many rows
     plan = left.filter(F.col("total") <= F.col("budget")).select("run_id", "request_id", "budget", F.lit(0).alias("level"))
     left = left.filter(F.col("total") > F.col("budget")).select("run_id", "request_id", "budget")
     placed = None
@@ -259,21 +292,34 @@ def varied_subsets(points: DataFrame, requests: DataFrame) -> DataFrame:
     moved = fragment(sized_join(base, bits, ["run_id"], "id"), load, "id")
     found = materialise(moved.sortWithinPartitions("run_id", "block", "_shard", "u", "id").mapInArrow(_core_sets, _FOUND), "core-sets")
 
-    shared = found.filter("shared").repartition("run_id", "level", "cell").sortWithinPartitions("run_id", "level", "cell", "u", "id").mapInArrow(_united, _FOUND)
-    scored = found.filter("NOT shared AND level > 0").unionByName(shared).select("run_id", "level", "id", "u", "cls", "gain")
+    united = found.filter("level > 0").repartition("run_id", "level", "parent").sortWithinPartitions("run_id", "level", "parent", "cell", "u", "id")
     some = plan.filter("level > 0")
-    ranked = sized_join(scored, some, ["run_id", "level"], "id").repartition("run_id", "request_id")
-    # a group has at most PICKS points per cell and fewer cells than its budget: bounded by the request, not by the run
-    of_class = Window.partitionBy("run_id", "request_id", "cls").orderBy(F.desc("gain"), "u", "id")
-    best = Window.partitionBy("run_id", "request_id").orderBy("_first", F.desc("gain"), "u", "id")
-    ranked = ranked.withColumn("_first", (F.row_number().over(of_class) > 1).cast("int")).withColumn("_r", F.row_number().over(best))
-    chosen = materialise(ranked.filter(F.col("_r") <= F.col("budget")).select("run_id", "request_id", "budget", "id"), "chosen")
+    scored = materialise(sized_join(united.mapInArrow(_united, _SCORED), some, ["run_id", "level"], "id"), "scored")
+    chosen = materialise(_best(scored, some), "chosen")
 
     everything = sized_join(found.filter("level = 0").select("run_id", "level", "id"), plan.filter("level = 0"), ["run_id", "level"], "id")
     out = everything.select("run_id", "request_id", "budget", "id").unionByName(chosen).unionByName(_fill(base, some, chosen))
     return out.select("run_id", "request_id", F.col("budget").alias("requested_budget"), "id")
 
 
+def _best(scored: DataFrame, plan: DataFrame) -> DataFrame:
+    """``(run_id, request_id, budget, id)``: the first of each class, the leads of the cells, then the others by gain, to the budget.
+
+    All are ordered by one number in [0, 1), of which a histogram finds the budget, so no task ranks a whole run. Gains
+    are compared to a millionth; the hash of the id decides between equal ones, as among the leads.
+    """
+    key = ["run_id", "request_id"]
+    of_class = scored.groupBy(*key, "cls").agg(F.min(F.struct(-F.col("gain"), "u", "id")).alias("_f")).select(*key, F.col("_f.id").alias("id"), F.lit(True).alias("_class"))
+    marked = scored.join(broadcast_if_small(of_class), [*key, "id"], "left")
+    u = F.col("u") / F.lit(2.0**64) + 0.5
+    step = F.lit(2.0**20)
+    lost = (F.floor((F.lit(1.0) - F.least(F.greatest(F.col("gain").cast("double"), F.lit(0.0)), F.lit(1.0))) * step) + u) / (step + 1)
+    order = F.when(F.col("_class"), u / 8).when(F.col("lead"), F.lit(0.125) + u * 0.375).otherwise(F.lit(0.5) + lost / 2)
+    marked = materialise(marked.select(F.concat_ws(":", *key).alias("_g"), *key, "budget", "id", F.least(order, F.lit(1 - 2.0**-40)).alias("_v")), "ordered")
+    quotas = plan.select(F.concat_ws(":", *key).alias("_g"), F.col("budget").alias("quota"))
+    return first_by_group(marked, quotas, F.col("_v"), "_g").select(*key, "budget", "id")
+
+
 def _fill(base: DataFrame, plan: DataFrame, chosen: DataFrame) -> DataFrame:
     """What is still missing where points crowd within the cells of their level, or coincide.
 

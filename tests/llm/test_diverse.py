@@ -68,20 +68,68 @@ def test_coinciding_points_still_give_the_full_number(spark):
     assert D.varied_subsets(pts.limit(0), req).count() == 0
 
 
-@pytest.mark.parametrize("unit", [1, 64, 10**6])
-def test_the_size_of_a_task_unit_does_not_matter(spark, unit, monkeypatch):
+def block_table(rng, n, blocks):
     import pyarrow as pa
 
+    block = np.sort(rng.integers(0, blocks, n))
+    ints = {"block": block.astype(np.int32), "_shard": np.zeros(n, np.int32), "cls": np.zeros(n, np.int32), "levels": np.full(n, 1 << 4, np.int32)}
+    return pa.table({"run_id": np.ones(n, np.int64), "cell": (block * 512 + rng.integers(0, 512, n)) << (3 * (D.DEPTH - D.BLOCK_LEVEL - 3)), "id": np.arange(n), "u": rng.permutation(n), **ints, **{a: rng.random(n).astype(np.float32) for a in "xyz"}})
+
+
+@pytest.mark.parametrize("unit", [64, 10**6])
+def test_the_size_of_a_task_unit_does_not_matter(unit, monkeypatch):
+    import pyarrow as pa
+
+    t = block_table(np.random.default_rng(3), 400, 12)
     monkeypatch.setattr(D, "UNIT", unit)
-    rng = np.random.default_rng(3)
-    n = 400
-    block = np.sort(rng.integers(0, 12, n))
-    t = pa.table({"run_id": np.ones(n, np.int64), "cell": (block * 512 + rng.integers(0, 512, n)).astype(np.int32), "block": block.astype(np.int32), "_shard": np.zeros(n, np.int32), "_shards": np.ones(n, np.int32), "id": np.arange(n), "u": rng.permutation(n), "cls": np.zeros(n, np.int32), "levels": np.full(n, 1 << 4, np.int32), **{a: rng.random(n).astype(np.float32) for a in "xyz"}})
     out = pa.Table.from_batches(list(D._core_sets(iter(t.to_batches(max_chunksize=37)))))
-    chosen = {i for i, g in zip(out.column("id").to_pylist(), out.column("gain").to_pylist()) if g > 0}
     monkeypatch.setattr(D, "UNIT", 10**9)
     whole = pa.Table.from_batches(list(D._core_sets(iter(t.to_batches()))))
-    assert chosen == {i for i, g in zip(whole.column("id").to_pylist(), whole.column("gain").to_pylist()) if g > 0}
+    assert sorted(out.column("id").to_pylist()) == sorted(whole.column("id").to_pylist())
+
+
+def test_a_block_in_pieces_covers_every_cell_and_is_copied_a_bounded_number_of_times(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(D, "UNIT", 500)
+    copied = [0]
+    t = block_table(np.random.default_rng(4), 20_000, 1)
+    pieces = list(D._core_sets(iter(t.to_batches(max_chunksize=100))))
+    assert len(pieces) >= 30 and max(p.num_rows for p in pieces) <= 700
+    out = pa.Table.from_batches(pieces)
+    assert len(set(out.column("id").to_pylist())) == out.num_rows
+    assert set(out.column("cell").to_pylist()) == {c >> (3 * (D.DEPTH - 4)) for c in t.column("cell").to_pylist()}
+    one = pa.Table.from_batches(list(D._whole_groups(iter(pa.table({"k": np.zeros(5000, np.int64), "id": np.zeros(5000, np.int64)}).to_batches(max_chunksize=10)), ["k"], lambda x: copied.append(x.num_rows) or iter(x.to_batches()), "id")))
+    assert one.num_rows == 5000 and copied == [0, 5000]  # one id alone is never cut
+
+
+def log_determinant(p, cls, level):
+    q = p * 2.0**level
+    k = np.exp(-((q[:, None] - q[None]) ** 2).sum(2) / (2 * D.WIDTH**2)) * np.where(cls[:, None] == cls[None], 1, D.OTHER_CLASS)
+    return np.linalg.slogdet(k + 1e-6 * np.eye(len(k)))[1]
+
+
+def test_the_united_pass_has_a_larger_determinant_than_cells_alone(monkeypatch):
+    """Eight cells of uniform points: the last pass against the cells' own choices of equal number, and against chance."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    n, level = 4000, 4
+    p = (rng.random((n, 3)) / 8).astype(np.float32)  # one parent of level 3
+    cell = sum(((p[:, i] * 16).astype(np.int64) << i) for i in range(3))
+    order = np.lexsort((np.arange(n), cell))
+    p, cell = p[order], cell[order]
+    zero = np.zeros(n, np.int64)
+    core, gains = D.greedy(D._runs(cell), p * np.float32(2**level), zero)
+    alone = core[np.lexsort((core, -gains))][:40]
+    t = pa.table({"run_id": zero[core], "level": np.full(len(core), level, np.int32), "parent": zero[core], "cell": cell[core], "id": core, "u": core, "cls": zero[core].astype(np.int32), **{a: p[core, i] for i, a in enumerate("xyz")}})
+    t = t.sort_by([("cell", "ascending"), ("u", "ascending")]).combine_chunks()
+    out = pa.Table.from_batches(list(D._united(iter(t.to_batches()))))
+    got = out.to_pandas().sort_values(["gain", "id"], ascending=[False, True])
+    united = got["id"].to_numpy()[:40]
+    assert got[got["lead"]].shape[0] == 8
+    d = [log_determinant(p[np.sort(x)].astype(float), zero[x], level) for x in (united, alone, rng.choice(n, 40, replace=False))]
+    assert d[0] > -5 > max(d[1:])  # choices of single cells meet at the borders and are worse than chance
 
 
 @pytest.mark.parametrize("far", [1.0, 1000.0, -1e30])
