@@ -7,10 +7,12 @@ import hashlib
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.session import hash_unit
+from plumbline.session import broadcast_if_small, hash_unit, materialise
 
 #: Buckets of the histogram that finds the n-th smallest hash.
 BUCKETS = 1 << 16
+#: The same for each group where there are many.
+GROUP_BUCKETS = 1 << 12
 
 
 class ResourceError(RuntimeError):
@@ -47,18 +49,21 @@ def first_by(df: DataFrame, n: int, u: Column, id_col: str = "id") -> DataFrame:
 def first_by_group(df: DataFrame, quotas: DataFrame, u: Column, group: str, id_col: str = "id") -> DataFrame:
     """The rows of smallest ``u`` of each group, as many as ``quotas(group, quota)`` says, without sorting a group.
 
-    A histogram of ``u`` per group (at most BUCKETS rows each) finds the bucket in which a quota ends; only the rows of
-    that bucket are ranked. Groups without a quota give nothing.
+    A histogram of ``u`` per group (GROUP_BUCKETS rows each at most) finds the bucket in which a quota ends; only the rows
+    of that bucket are ranked. Groups without a quota, or with one of 0 or less, give nothing; a quota above the size of
+    its group gives all of it.
     """
-    bucket = F.floor(F.col("_u") * BUCKETS).cast("int")
+    bucket = F.floor(F.col("_u") * GROUP_BUCKETS).cast("int")
     with_u = df.withColumn("_u", u).filter(F.col("_u").isNotNull()).withColumn("_b", bucket)
+    wanted = quotas.filter(F.col("quota") > 0)
     hist = with_u.groupBy(group, "_b").agg(F.count(F.lit(1)).alias("_c"))
     upto = F.sum("_c").over(Window.partitionBy(group).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0))
-    need = hist.withColumn("_end", upto).join(quotas, group).filter(F.col("_end") - F.col("_c") < F.col("quota"))
-    need = need.select(group, "_b", (F.col("quota") - F.col("_end") + F.col("_c")).alias("_need"), (F.col("_end") > F.col("quota")).alias("_edge"))
-    rows = with_u.join(need, [group, "_b"])
-    whole = rows.filter(~F.col("_edge"))
-    part = rows.filter("_edge").withColumn("_r", F.row_number().over(Window.partitionBy(group, "_b").orderBy("_u", id_col))).filter(F.col("_r") <= F.col("_need"))
+    ends = hist.withColumn("_end", upto).join(broadcast_if_small(wanted), group).filter((F.col("_end") - F.col("_c") < F.col("quota")) & (F.col("_end") >= F.col("quota")))
+    edges = ends.select(group, F.col("_b").alias("_edge"), (F.col("quota") - F.col("_end") + F.col("_c")).alias("_need"))
+    edges = materialise(wanted.select(group).join(edges, group, "left"), "edges")  # one row a group
+    rows = with_u.join(broadcast_if_small(edges), group)
+    whole = rows.filter(F.col("_edge").isNull() | (F.col("_b") < F.col("_edge")))
+    part = rows.filter(F.col("_b") == F.col("_edge")).withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy("_u", id_col))).filter(F.col("_r") <= F.col("_need"))
     return whole.select(*df.columns).unionByName(part.select(*df.columns))
 
 
