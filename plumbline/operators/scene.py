@@ -34,11 +34,11 @@ def resolve_budget(requested: int | None, device_max: int | None = None) -> int:
     return min(want, HARD_BUDGET, device_max or HARD_BUDGET)
 
 
-def plan_chunks(total: int, budget: int, coarse: int = COARSE, refine: int = REFINE) -> list[int]:
+def plan_chunks(total: int, budget: int, coarse: int | None = None, refine: int | None = None) -> list[int]:
     """Sizes of the chunks that a scene is sent in: a coarse one, then refinements."""
     left, sizes = min(total, budget), []
     while left > 0:
-        size = min(left, refine if sizes else coarse)
+        size = min(left, (refine or REFINE) if sizes else (coarse or COARSE))
         sizes.append(size)
         left -= size
     return sizes
@@ -71,7 +71,7 @@ def decimate(scene: DataFrame, budget: int, seed: int = 1337) -> DataFrame:
     return priority.unionByName(marked.filter("_stage = 1")).unionByName(first_by(marked.filter("_stage = 2"), left - n_reps, u))
 
 
-def chunk(scene: DataFrame, budget: int, index: int, seed: int = 1337, coarse: int = COARSE, refine: int = REFINE) -> DataFrame:
+def chunk(scene: DataFrame, budget: int, index: int, seed: int = 1337, coarse: int | None = None, refine: int | None = None) -> DataFrame:
     """One chunk of a scene that is sent in order of stage and hash; chunks are disjoint and make up the decimated scene.
 
     The ranking runs over the decimated scene, which the display budget bounds.
