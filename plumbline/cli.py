@@ -1,4 +1,4 @@
-"""Command line: audit, demo, export and baseline record."""
+"""Command line: audit, demo, export, serve and baseline record."""
 
 from __future__ import annotations
 
@@ -33,6 +33,14 @@ def parser() -> argparse.ArgumentParser:
         a.add_argument("--ef-budget", type=int)
         a.add_argument("--format", choices=list(RENDER), default="text")
         a.add_argument("--output")
+    v = sub.add_parser("serve")
+    v.add_argument("target")
+    v.add_argument("--host", default="127.0.0.1")
+    v.add_argument("--port", type=int, default=8000)
+    v.add_argument("--config")
+    v.add_argument("--budget", type=int)
+    v.add_argument("--nprobe", type=int)
+    v.add_argument("--no-audit", action="store_true", help="serve at once; an audit starts when it is asked for")
     e = sub.add_parser("export")
     e.add_argument("report")
     e.add_argument("--format", choices=list(RENDER), default="text")
@@ -40,6 +48,7 @@ def parser() -> argparse.ArgumentParser:
     d = sub.add_parser("demo")
     d.add_argument("scenario")
     d.add_argument("--rows", type=int)
+    d.add_argument("--size", default="small")
     d.add_argument("--format", choices=list(RENDER), default="text")
     d.add_argument("--output")
     return p
@@ -70,20 +79,29 @@ def run(argv: list[str] | None = None) -> int:
 
     spark = _spark()
     if args.command == "demo":
-        from plumbline.operators.generate import SCENARIOS, scenario
-        from plumbline.sources.tables import TableSource
-
-        if args.scenario not in SCENARIOS:
-            raise UsageError(f"unknown scenario; known: {', '.join(SCENARIOS)}")
-        rows = scenario(spark, args.scenario, args.rows)
-        search = SCENARIOS[args.scenario][7]
-        opts = {"id": "id", "column": "vec"} | ({"cell": "cell"} if search else {}) | ({"deleted": "deleted"} if args.scenario != "capability_limited" else {})
-        rep = run_audit(TableSource(rows, f"demo/{args.scenario}", opts), load_config(environ={}), search)
+        from plumbline.sources.base import open_target
+
+        source = open_target(spark, f"synthetic://{args.scenario}?size={args.size}" + (f"&rows={args.rows}" if args.rows else ""))
+        rep = run_audit(source, load_config(environ={}))
         _emit(RENDER[args.format](rep), args.output)
         return EXIT[rep.verdict]
-    from plumbline.sources import tables  # noqa: F401 - registers the scheme
     from plumbline.sources.base import open_target
 
+    if args.command == "serve":
+        from plumbline import service
+
+        state = service.state_of(open_target(spark, args.target), load_config(args.config), {"nprobe": args.nprobe} if args.nprobe else None, args.budget)
+        if not args.no_audit:
+            state.start_audit()
+        server = service.serve(state, args.host, args.port)
+        sys.stderr.write(f"serving on http://{args.host}:{server.server_address[1]}\n")
+        try:
+            server.serve_forever()
+        except KeyboardInterrupt:
+            pass
+        finally:
+            server.server_close()
+        return 0
     field, _, value = (args.filter or "").partition("=")
     if args.filter and not (field and value):
         raise UsageError("a filter is field=value")

@@ -79,3 +79,35 @@ def lerp(a: Column, b: Column, t: Column) -> Column:
 def min_max(value: Column, low: Column, high: Column) -> Column:
     """Scaled to [0, 1]; 0 where all values are equal."""
     return F.when(high > low, (value - low) / (high - low)).otherwise(F.when(value.isNotNull(), F.lit(0.0)))
+
+
+def from_half(raw: Column, dim: int) -> Column:
+    """Floats from ``dim`` little-endian half-precision numbers in a binary column; null for another length.
+
+    A half has a sign, 5 bits of exponent and 10 of fraction; zeros, subnormal numbers, infinities and NaN are all kept.
+    """
+    def number(i: Column) -> Column:
+        byte = lambda at: F.conv(F.hex(F.substring(raw, at, 1)), 16, 10).cast("int")
+        bits = byte(i * 2 + 1) + F.shiftleft(byte(i * 2 + 2), 8)
+        sign = F.when(bits >= 32768, -1.0).otherwise(1.0)
+        exponent, fraction = F.shiftright(bits, 10).bitwiseAND(31), bits.bitwiseAND(1023)
+        finite = F.when(exponent == 0, fraction * 2.0**-24).otherwise((fraction / 1024.0 + 1.0) * F.pow(F.lit(2.0), exponent - 15))
+        special = F.when(fraction == 0, F.lit(float("inf"))).otherwise(F.lit(float("nan")))
+        return (sign * F.when(exponent == 31, special).otherwise(finite)).cast("float")
+
+    return F.when(F.octet_length(raw) == 2 * dim, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), number))
+
+
+def colour_ramp(value: Column, stops: list[str]) -> Column:
+    """'#rrggbb' of a value in [0, 1] on a ramp of evenly spaced colours; values outside are clipped, null and NaN stay null."""
+    if len(stops) < 2:
+        raise ValueError("a ramp needs two colours or more")
+    t = F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0)) * (len(stops) - 1)
+    at = F.least(F.floor(t), F.lit(len(stops) - 2)).cast("int")
+
+    def channel(first: int) -> Column:
+        table = F.array(*[F.lit(float(int(s[first : first + 2], 16))) for s in stops])
+        low, high = F.get(table, at), F.get(table, at + 1)
+        return F.lpad(F.lower(F.hex(F.round(lerp(low, high, t - at)).cast("bigint"))), 2, "0")
+
+    return F.when(value.isNotNull() & ~F.isnan(value.cast("double")), F.concat(F.lit("#"), channel(1), channel(3), channel(5)))

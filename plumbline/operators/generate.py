@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.operators.sampling import derive_seed, first_by, first_by_group, keyed_hash
-from plumbline.session import hash_unit, materialise
+from plumbline.session import broadcast_if_small, hash_unit, materialise
 
 
 def cluster_sizes(n: int, clusters: int, skew: float) -> list[int]:
@@ -24,10 +25,23 @@ def cluster_sizes(n: int, clusters: int, skew: float) -> list[int]:
     return sizes
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A bijective scrambling of 64-bit numbers (the finaliser of a well-known splittable generator)."""
+    x = x + np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 def _normal(seed: int, purpose: str, ids: np.ndarray, dim: int) -> np.ndarray:
-    """Gaussian rows, each from a seed of its own."""
-    root = derive_seed(seed, purpose) % 2**32
-    return np.stack([np.random.default_rng([root, int(i)]).standard_normal(dim) for i in ids]) if len(ids) else np.empty((0, dim))
+    """Gaussian rows that follow from seed, purpose and id alone, all at once: hashed counters, turned by Box and Muller."""
+    root = np.uint64(derive_seed(seed, purpose) % 2**64)
+    with np.errstate(over="ignore"):
+        row = _mixed(np.asarray(ids, dtype=np.int64).astype(np.uint64) ^ root)[:, None]
+        half = -(-dim // 2)
+        u = [(_mixed(row + np.arange(at, at + half, dtype=np.uint64)[None, :] * np.uint64(0xD1342543DE82EF95)) >> np.uint64(11)).astype(np.float64) * 2.0**-53 for at in (0, half)]
+    radius, turn = np.sqrt(-2 * np.log1p(-u[0])), 2 * np.pi * u[1]
+    return np.concatenate([radius * np.cos(turn), radius * np.sin(turn)], axis=1)[:, :dim]
 
 
 def generate_corpus(spark: SparkSession, n: int, dim: int, clusters: int, std: float = 0.2, skew: float = 0.0, seed: int = 1337, metric: str = "L2", norm_mean: float = 1.0, norm_std: float = 0.0) -> DataFrame:
@@ -104,7 +118,7 @@ def inject_hubs(corpus: DataFrame, n_hubs: int, strength: float, seed: int, metr
     ball = _replace(hubs, seed, "hubs", scale / (100 * strength), stats["d"])
     if metric == "DOT":
         ball = ball.withColumn("vec", F.transform(normalise("vec"), lambda x: (x * (1 + strength)).cast("float")))
-    cloud = _replace(live.select("id").join(F.broadcast(hubs) if count <= 200_000 else hubs, "id", "left_anti"), seed, "cloud", scale, stats["d"])
+    cloud = _replace(live.select("id").join(broadcast_if_small(hubs), "id", "left_anti"), seed, "cloud", scale, stats["d"])
     new = ball.unionByName(cloud)
     if metric == "COSINE":
         new = new.withColumn("vec", normalise("vec"))
@@ -122,45 +136,93 @@ def inject_antihubs(corpus: DataFrame, n: int, factor: float, seed: int) -> Data
     return corpus.unionByName(far.withColumns({**extra, "deleted": F.lit(False)}).select(*corpus.columns))
 
 
-def skew_partitions(corpus: DataFrame, growth: float, seed: int) -> DataFrame:
+def growth_for_cv(sizes: list[int], target_cv: float) -> float:
+    """The growth of the larger half of the cells that brings the population cv of all sizes to ``target_cv``, by bisection.
+
+    Sizes that are as uneven already need none (1); a cv that no growth reaches raises.
+    """
+    x = np.sort(np.asarray(sizes, dtype=np.float64))[::-1]
+    large = np.arange(len(x)) < max(1, len(x) // 2)
+    cv = lambda g: float((y := np.where(large, x * g, x)).std() / y.mean()) if x.sum() else 0.0
+    if cv(1.0) >= target_cv:
+        return 1.0
+    low, high = 1.0, 1e6
+    if cv(high) < target_cv:
+        raise ValueError(f"no growth of half the cells gives a cv of {target_cv}")
+    for _ in range(60):
+        middle = (low + high) / 2
+        low, high = (middle, high) if cv(middle) < target_cv else (low, middle)
+    return high
+
+
+def skew_partitions(corpus: DataFrame, growth: float | None, seed: int, target_cv: float | None = None) -> DataFrame:
     """Grow the larger half of the cells: each of their live rows gets ``growth - 1`` jittered copies with new ids (a
-    fractional part of the rows one more). Cells stay as they were when the index was built."""
+    fractional part of the rows one more), or as many as give the sizes the cv ``target_cv``. Cells stay as they were when
+    the index was built."""
     live = corpus.filter(~F.col("deleted"))
-    sizes = live.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "cell").collect()
-    large = [r["cell"] for r in sizes[: max(1, len(sizes) // 2)]]
+    sizes = live.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "cell").collect()  # one row a cell
+    if (growth is None) == (target_cv is None):
+        raise ValueError("either the growth or the cv must be given")
+    growth = growth if growth is not None else growth_for_cv([r["n"] for r in sizes], target_cv)
+    large = corpus.sparkSession.createDataFrame([(r["cell"],) for r in sizes[: max(1, len(sizes) // 2)]], f"cell {corpus.schema['cell'].dataType.simpleString()}")
     top = corpus.agg(F.max("id").alias("id")).first()["id"] + 1
     whole, part = int(growth - 1), (growth - 1) % 1
     copies = F.lit(whole) + (hash_unit(F.lit(seed), F.lit("grow"), "id") < part).cast("int")
-    rows = live.filter(F.col("cell").isin(large)).withColumn("_c", F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies)).otherwise(F.array().cast("array<int>"))))
+    grown = live.join(broadcast_if_small(large), "cell", "left_semi")
+    rows = grown.withColumn("_c", F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies)).otherwise(F.array().cast("array<int>"))))
     jitter = F.transform("vec", lambda x, i: (x + (hash_unit(F.lit(seed), F.col("id"), F.col("_c"), i) - 0.5) * 1e-3).cast("float"))
     new = rows.withColumn("vec", jitter).withColumn("id", F.col("id") + F.lit(top) * F.col("_c")).drop("_c")
     return corpus.unionByName(new.select(*corpus.columns))
 
 
-#: Named scenarios as (rows, dims, clusters, std, skew, seed, steps, search, expected verdict) at size
-#: small; a search of None is exact.
+@dataclass(frozen=True)
+class Scenario:
+    """How a corpus is made, spoilt and searched (``search`` of None is exact), and what an audit must find."""
+
+    rows: int
+    dims: int
+    clusters: int
+    std: float
+    skew: float
+    seed: int
+    steps: tuple
+    search: dict | None
+    verdict: str
+    states: dict
+
+
+#: Sizes of a scenario against the small one.
+SIZES = {"tiny": 0.25, "small": 1.0, "large": 12.5}
+#: The named scenarios at size small.
 SCENARIOS = {
-    "healthy": (8_000, 16, 32, 0.15, 0.0, 101, (), {"nprobe": 8}, "OK"),
-    "drifted": (2_000, 16, 16, 0.2, 0.3, 202, (("skew", 10, 203),), {"nprobe": 2}, "OK"),
-    "tombstoned": (8_000, 16, 16, 0.2, 0.5, 303, (("churn", 0.35, 2.0, 304),), {"nprobe": 1, "ef_budget": 8}, "FAIL"),
-    "hubby": (8_000, 64, 24, 0.1, 0.0, 404, (("hubs", 8, 4.0, 405), ("antihubs", 20, 8.0, 406)), None, "WARN"),
-    "capability_limited": (2_000, 16, 8, 0.2, 0.0, 505, (("churn", 0.2, 0.0, 506),), None, "INCONCLUSIVE"),
-    "tiny": (50, 8, 5, 0.2, 0.0, 606, (), None, "INCONCLUSIVE"),
+    "healthy": Scenario(8_000, 16, 32, 0.15, 0.0, 101, (), {"nprobe": 8}, "OK", {"canary_recall": "OK", "dfi": "OK", "partition_size_cv": "OK"}),
+    "drifted": Scenario(2_000, 16, 16, 0.2, 0.3, 202, (("skew", 10, 203),), {"nprobe": 2}, "OK", {"dfi": "OK", "partition_size_cv": "OK"}),
+    "tombstoned": Scenario(8_000, 16, 16, 0.2, 0.5, 303, (("churn", 0.35, 2.0, 304),), {"nprobe": 1, "ef_budget": 8}, "FAIL", {"dfi": "FAIL"}),
+    "hubby": Scenario(8_000, 64, 24, 0.1, 0.0, 404, (("hubs", 8, 4.0, 405), ("antihubs", 20, 8.0, 406)), None, "WARN", {"canary_recall": "OK", "hub_share_top1pct": "FAIL", "antihub_fraction": "FAIL", "partition_size_cv": "UNAVAILABLE"}),
+    "capability_limited": Scenario(2_000, 16, 8, 0.2, 0.0, 505, (("churn", 0.2, 0.0, 506),), None, "INCONCLUSIVE", {"canary_recall": "OK", "dfi": "UNAVAILABLE", "partition_size_cv": "UNAVAILABLE"}),
+    "tiny": Scenario(50, 8, 5, 0.2, 0.0, 606, (), None, "INCONCLUSIVE", {"canary_recall": "OK", "hub_share_top1pct": "UNAVAILABLE", "antihub_fraction": "UNAVAILABLE", "partition_size_cv": "UNAVAILABLE"}),
 }
 
 
-def scenario(spark: SparkSession, name: str, rows: int | None = None) -> DataFrame:
-    """The corpus of a named scenario, optionally at another number of rows."""
-    n, dim, clusters, std, skew, seed, steps, _, _ = SCENARIOS[name]
-    c = generate_corpus(spark, rows or n, dim, clusters, std, skew, seed)
-    for kind, *args in steps:
+def scenario_parts(spark: SparkSession, name: str, rows: int | None = None, size: str = "small") -> tuple[DataFrame, DataFrame]:
+    """The corpus of a named scenario as it was when its index was built, and as it is now."""
+    s = SCENARIOS[name]
+    n = rows or max(50, round(s.rows * SIZES[size]))
+    built = materialise(generate_corpus(spark, n, s.dims, s.clusters, s.std, s.skew, s.seed), "built")
+    now = built
+    for kind, *args in s.steps:
         if kind == "churn":
-            c = apply_churn(c, *args)
+            now = apply_churn(now, *args)
         elif kind == "hubs":
-            c = inject_hubs(c, *args)
+            now = inject_hubs(now, *args)
         elif kind == "antihubs":
-            c = inject_antihubs(c, *args)
+            now = inject_antihubs(now, *args)
         else:
-            c = skew_partitions(c, *args)
-        c = materialise(c, "scenario")
-    return c
+            now = skew_partitions(now, *args)
+        now = materialise(now, "scenario")
+    return built, now
+
+
+def scenario(spark: SparkSession, name: str, rows: int | None = None, size: str = "small") -> DataFrame:
+    """The corpus of a named scenario, optionally at another number of rows or size."""
+    return scenario_parts(spark, name, rows, size)[1]

@@ -5,6 +5,8 @@ Nothing is computed per request but probes; the rest is what the last audit left
 
 from __future__ import annotations
 
+import base64
+import hashlib
 import json
 import threading
 import time
@@ -138,11 +140,97 @@ def respond(state: State, method: str, path: str, body: bytes = b"") -> tuple[in
     return missing
 
 
+#: Seconds between looks at the progress while it is followed.
+INTERVAL = 0.1
+
+
+def accept_key(key: str) -> str:
+    """The answer to a web-socket handshake."""
+    return base64.b64encode(hashlib.sha1((key + "258EAFA5-E914-47DA-95CA-C5AB0DC85B11").encode()).digest()).decode()
+
+
+def text_frame(text: str) -> bytes:
+    """A whole text message from the server, which is not masked."""
+    data = text.encode()
+    n = len(data)
+    size = bytes([n]) if n < 126 else bytes([126]) + n.to_bytes(2, "big") if n < 1 << 16 else bytes([127]) + n.to_bytes(8, "big")
+    return b"\x81" + size + data
+
+
+def state_of(source, config, params: dict | None = None, budget: int | None = None) -> State:
+    """What is served for a source: audits on demand, the scene of the last one, and probes of live ids."""
+    from plumbline.operators import ivf, knn, probe
+    from plumbline.plans.audit import run_audit
+    from plumbline.plans.scene_build import assemble
+
+    state = State()
+    spark = source.corpus().sparkSession
+
+    def audit(progress: Progress) -> R.Report:
+        order = {"canary_recall": "canary", "hub_share_top1pct": "hubness", "antihub_fraction": "hubness", "dfi": "dfi", "partition_size_cv": "partitions"}
+        progress.update("scan")
+        report = run_audit(source, config, params, on_metric=lambda m: progress.update(order[m.id], 0.5, f"{m.id} {m.state}"))
+        progress.update("report")
+        built = assemble(source, report, budget=budget, seed=config.seed)
+        state.scene = built.encoded()
+        state.charts = {name: [r.asDict() for r in rows.orderBy("bucket_start").collect()] for name, rows in built.charts.items()}  # 64 buckets or so
+        state.presets = {name: {**p.__dict__, "available": p.available} for name, p in built.presets.items()}
+        return report
+
+    def point(id_: int, k: int) -> dict:
+        from pyspark.sql import functions as F
+
+        rows = source.corpus()
+        live = rows.filter(~F.col("deleted"))
+        metric = source.descriptor().metric_space
+        live = ivf.normalised(live) if metric == "COSINE" else live
+        asked = live.filter(F.col("id") == id_).select(F.col("id").alias("qid"), "vec").limit(1)
+        if asked.isEmpty():
+            raise UsageError(f"{id_} is no live id")
+        truth = knn.exact_knn(live, asked, k, metric)
+        got = ivf.drop_self(source.search(asked, k + 1, params).withColumn("dist", F.col("rank").cast("double")), k)
+        roles = probe.probe_roles(truth, got, rows).collect()  # at most 2 k rows
+        return {"id": id_, "k": k, "roles": {role: sorted(r["id"] for r in roles if r["role"] == role) for role in ("hit", "missed", "dead", "unexpected")}}
+
+    spark.sparkContext.setLocalProperty("spark.job.description", "service")
+    state.audit, state.guard = audit, ProbeGuard(point)
+    return state
+
+
 def serve(state: State, host: str = "127.0.0.1", port: int = 8000) -> ThreadingHTTPServer:
     """A server bound to ``host``; call ``serve_forever`` on it."""
 
     class Handler(BaseHTTPRequestHandler):
+        protocol_version = "HTTP/1.1"
+
+        def _follow(self) -> None:
+            """Progress over a web socket: a text message whenever something changed, the last one when the audit has ended."""
+            self.send_response(101)
+            for name, value in (("Upgrade", "websocket"), ("Connection", "Upgrade"), ("Sec-WebSocket-Accept", accept_key(self.headers["Sec-WebSocket-Key"]))):
+                self.send_header(name, value)
+            self.end_headers()
+            self.close_connection = True
+            told = None
+            try:
+                while True:
+                    now = state.progress.frame()
+                    shown = {k: v for k, v in now.items() if k != "eta_seconds"}
+                    if shown != told:
+                        self.wfile.write(text_frame(json.dumps(now)))
+                        told = shown
+                    if now["state"] != "running":
+                        self.wfile.write(b"\x88\x00")  # the closing frame
+                        return
+                    time.sleep(INTERVAL)
+            except OSError:
+                return  # nobody listens any more
+
         def _do(self) -> None:
+            if self.command == "GET" and self.path.split("?")[0] == "/api/progress/ws":
+                if "websocket" in self.headers.get("Upgrade", "").lower() and self.headers.get("Sec-WebSocket-Key"):
+                    return self._follow()
+                self.send_error(426)
+                return None
             n = min(int(self.headers.get("Content-Length") or 0), 65_536)
             status, kind, data = respond(state, self.command, self.path.split("?")[0], self.rfile.read(n) if n else b"")
             self.send_response(status)
@@ -150,6 +238,7 @@ def serve(state: State, host: str = "127.0.0.1", port: int = 8000) -> ThreadingH
             self.send_header("Content-Length", str(len(data)))
             self.end_headers()
             self.wfile.write(data)
+            return None
 
         do_GET = do_POST = _do
 

@@ -12,10 +12,12 @@ from typing import Protocol, runtime_checkable
 from urllib.parse import parse_qsl, urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.operators.validate import UsageError
 from plumbline.plans.redact import redact
+from plumbline.session import broadcast_if_small
 
 
 @dataclass(frozen=True)
@@ -80,12 +82,17 @@ def schemes() -> list[str]:
 
 def open_target(spark: SparkSession, uri: str) -> Source:
     """Open a target by its scheme; a bare path is a Parquet directory. Errors do not repeat credentials."""
-    scheme = uri.split("://", 1)[0] if "://" in uri else "parquet"
+    from plumbline.sources import files, lake, postgres, rest, synthetic, tables  # noqa: F401 - each registers its schemes
+
+    bare = uri.partition("?")[0].rstrip("/")
+    scheme = uri.split("://", 1)[0] if "://" in uri else "lance" if bare.endswith(".lance") else "parquet"
     if scheme not in _OPENERS:
         raise UsageError(f"unknown scheme {scheme} in {redact(uri)}; known: {', '.join(schemes())}")
     try:
-        return _OPENERS[scheme](spark, uri)
-    except UsageError:
+        source = _OPENERS[scheme](spark, uri)
+        assert_read_only(source)
+        return source
+    except (UsageError, ConnectionError):
         raise
     except Exception as e:
         raise UsageError(f"cannot open {redact(uri)}: {redact(str(e))[:300]}") from None
@@ -109,9 +116,30 @@ def vector_column(schema: T.StructType, wanted: str | None = None) -> str:
     return found[0]
 
 
-def fetch_vectors(corpus: DataFrame, ids: DataFrame) -> DataFrame:
-    """``(id, vec)`` of the given ids; an id that the corpus lacks is a usage error."""
-    missing = ids.join(corpus.select("id"), "id", "left_anti").limit(20).collect()
+def fetch_vectors(corpus: DataFrame, ids: DataFrame | list[int]) -> DataFrame:
+    """``(place, id, vec)`` of the given ids in their order: that of a list, or of the column ``place`` of a table.
+
+    An id that is given twice comes twice; one that the corpus lacks is a usage error. The ids meet the corpus where it is
+    scanned, unless they are too many to broadcast.
+    """
+    if not isinstance(ids, DataFrame):
+        ids = corpus.sparkSession.createDataFrame(list(enumerate(ids)), "place bigint, id bigint")
+    if "place" not in ids.columns:
+        ids = ids.withColumn("place", F.col("id"))
+    wanted = broadcast_if_small(ids.select("place", "id"))
+    found = corpus.select("id", "vec").join(broadcast_if_small(ids.select("id").distinct()), "id", "left_semi").dropDuplicates(["id"])
+    missing = ids.join(found.select("id"), "id", "left_anti").limit(20).collect()
     if missing:
         raise UsageError("unknown ids", [r["id"] for r in missing])
-    return corpus.select("id", "vec").join(ids.select("id").distinct(), "id", "left_semi")
+    return found.join(wanted, "id").select("place", "id", "vec").orderBy("place")
+
+
+#: Beginnings of method names that write, which no source may have.
+WRITES = ("add", "alter", "append", "compact", "create", "delete", "drop", "insert", "merge", "optimize", "overwrite", "remove", "reindex", "set", "truncate", "update", "upsert", "vacuum", "write")
+
+
+def assert_read_only(source: object) -> None:
+    """Raise UsageError if an object that is to be used as a source offers methods that write."""
+    bad = [n for n in dir(source) if not n.startswith("_") and callable(getattr(source, n, None)) and n.split("_")[0].lower() in WRITES]
+    if bad:
+        raise UsageError(f"a source must be read only; it has {', '.join(sorted(bad))}")

@@ -101,7 +101,7 @@ def jdbc_options(t: SqlTarget, lower: int | None = None, upper: int | None = Non
         out["user"] = t.user
     if t.password:
         out["password"] = t.password
-    if lower is not None and upper is not None:
+    if lower is not None and upper is not None and upper > lower:
         out |= {"partitionColumn": "id", "lowerBound": str(lower), "upperBound": str(upper), "numPartitions": str(partitions)}
     return out
 

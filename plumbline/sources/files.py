@@ -9,7 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.operators.validate import encode_ids
+from plumbline.plans.export import unpack
 from plumbline.plans.report import Report, from_json
+from plumbline.session import broadcast_if_small
+from plumbline.sources.base import options_of, register
+from plumbline.sources.tables import TableSource
 
 
 def read_fvecs(spark: SparkSession, path: str) -> DataFrame:
@@ -34,14 +39,6 @@ def read_fvecs(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(parse, "path string, id bigint, vec array<float>").select("id", "vec")
 
 
-def fvecs_bytes(rows: np.ndarray) -> bytes:
-    """Rows in the fvecs format."""
-    rows = np.ascontiguousarray(rows, "<f4")
-    out = np.empty((len(rows), rows.shape[1] + 1), "<i4")
-    out[:, 0], out[:, 1:] = rows.shape[1], rows.view("<i4")
-    return out.tobytes()
-
-
 def read_word_vectors(spark: SparkSession, path: str) -> DataFrame:
     """``(token, vec)`` of text lines ``token v1 ... vd``; lines without a number after the token are left out."""
     parts = F.split(F.trim("value"), r"\s+")
@@ -70,3 +67,27 @@ def read_npy(spark: SparkSession, path: str) -> DataFrame:
 def read_report(path: str) -> Report:
     with open(path, encoding="utf-8") as f:
         return from_json(f.read())
+
+
+def _words(spark: SparkSession, path: str) -> DataFrame:
+    rows = read_word_vectors(spark, path)
+    table = encode_ids(rows.select(F.col("token").alias("key")))
+    return rows.join(broadcast_if_small(table), F.col("token") == F.col("key")).select("id", "vec", "token")
+
+
+READERS = {"fvecs": read_fvecs, "npy": read_npy, "words": _words}
+
+
+def _opener(scheme: str):
+    def open_(spark: SparkSession, uri: str) -> TableSource:
+        """``fvecs:///path``, ``npy:///path`` or ``words:///path`` with ``metric``; ``member`` is a glob inside an archive."""
+        path, options = options_of(uri)
+        if path.endswith((".zip", ".tar", ".tar.gz", ".tgz", ".tar.bz2")):
+            path = f"{unpack(spark, path)}/{options.pop('member', '*')}"
+        return TableSource(READERS[scheme](spark, path), path, {"id": "id", "column": "vec", **options}, {"engine": scheme})
+
+    return open_
+
+
+for _scheme in READERS:
+    register(_scheme, _opener(_scheme))

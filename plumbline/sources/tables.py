@@ -86,7 +86,7 @@ class TableSource:
         return cell_sizes(rows) if "cell" in rows.columns else None
 
 
-def _sidecar(spark: SparkSession, path: str) -> dict:
+def sidecar(spark: SparkSession, path: str) -> dict:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(f"{path}/index.json")
     if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
@@ -95,9 +95,15 @@ def _sidecar(spark: SparkSession, path: str) -> dict:
 
 
 def open_parquet(spark: SparkSession, uri: str) -> TableSource:
+    """A folder of Parquet files, or one that was saved as an index: ``corpus``, ``centroids`` and ``index.json``."""
     path, options = options_of(uri)
     reader = spark.read.option("pathGlobFilter", options.get("glob", "*.parquet"))
-    return TableSource(reader.parquet(path), path, options, _sidecar(spark, path))
+    meta = sidecar(spark, path)
+    if "columns" not in meta:
+        return TableSource(reader.parquet(path), path, options, meta)
+    frozen = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/centroids")
+    there = frozen.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(frozen)
+    return TableSource(reader.parquet(f"{path}/corpus"), path, meta["columns"] | {"id": "id", "column": "vec"} | options, meta, spark.read.parquet(f"{path}/centroids") if there else None)
 
 
 register("parquet", open_parquet)
