@@ -18,6 +18,8 @@ SHIPPED_QUERIES = 20_000
 BLOCK_ROWS = 65_536
 #: Memory for the distances of queries to rows that are held at once.
 WORKING_SET_MB = 256
+#: Numbers of the pairs whose exact distances are computed at once.
+PAIR_NUMBERS = 256 << 10
 #: Candidates that all tasks together may send to the final ranking; larger tasks send fewer.
 SENT_ROWS = 200_000_000
 
@@ -57,11 +59,18 @@ def score(queries: np.ndarray, rows: np.ndarray, metric: str) -> np.ndarray:
     return 1 - inner if metric == "COSINE" else -inner
 
 
-def pair_distance(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
-    if metric == "L2":
-        return np.sqrt(((a - b) ** 2).sum(1))
-    inner = np.einsum("ij,ij->i", a, b)
-    return 1 - inner if metric == "COSINE" else -inner
+def pair_distance(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray, metric: str) -> np.ndarray:
+    """Distances of the rows ``a[i]`` and ``b[j]`` in double precision, a stretch of pairs that fits a cache at a time."""
+    out = np.empty(len(i))
+    step = max(1, PAIR_NUMBERS // max(1, a.shape[1]))
+    for s in range(0, len(i), step):
+        x, y = a[i[s : s + step]].astype(np.float64), b[j[s : s + step]]
+        if metric == "L2":
+            x -= y
+            out[s : s + step] = np.sqrt(np.einsum("ij,ij->i", x, x))
+        else:
+            out[s : s + step] = np.einsum("ij,ij->i", x, y.astype(np.float64))
+    return out if metric == "L2" else 1 - out if metric == "COSINE" else -out
 
 
 def block_top(qids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, metric: str, exclude_self: bool, working_set_mb: int = WORKING_SET_MB) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -83,6 +92,8 @@ def block_top(qids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k
     unit = 5 * float(np.finfo(x.dtype).eps) * x.shape[1]  # a sum of d products is off by d * eps of their sizes at most
     step = max(1, (working_set_mb << 20) // (x.dtype.itemsize * 3 * len(ids)))
     largest = float(x2.max())
+    order = np.argsort(ids, kind="stable")
+    sorted_ids = ids[order]
     for s in range(0, len(qids), step):
         ask, a2 = q[s : s + step], q2[s : s + step, None]
         d = ask @ x.T
@@ -90,12 +101,15 @@ def block_top(qids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k
         if metric == "L2":
             d += x2  # the square less that of the query: the same order
         if exclude_self:
-            d[qids[s : s + step, None] == ids[None, :]] = np.inf
+            low, high = np.searchsorted(sorted_ids, qids[s : s + step], "left"), np.searchsorted(sorted_ids, qids[s : s + step], "right")
+            while (same := np.nonzero(low < high)[0]).size:  # once, unless an id is repeated
+                d[same, order[low[same]]] = np.inf
+                low[same] += 1
         at = min(k, d.shape[1]) - 1
         edge = np.partition(d, at, axis=1)[:, at, None]
-        margin = unit * (a2 + largest)
-        i, j = np.nonzero((d <= edge + margin) & np.isfinite(d))
-        out.append((qids[s + i], ids[j], np.round(pair_distance(ask[i].astype(np.float64), x[j].astype(np.float64), metric), TIE_DECIMALS)))
+        limit = np.minimum(edge + unit * (a2 + largest), np.finfo(d.dtype).max)  # what is excluded stays beyond it
+        i, j = np.nonzero(d <= limit)
+        out.append((qids[s + i], ids[j], np.round(pair_distance(ask, i, x, j, metric), TIE_DECIMALS)))
     return tuple(np.concatenate(c) for c in zip(*out))
 
 

@@ -1,7 +1,8 @@
 """Queries of the audit operators on the test tables, with their SQL twins.
 
 ``embeddings`` is the corpus (unit vectors, so COSINE), its label the IVF cell and payload; tombstones are the rows whose
-keyed md5 number is below 0.35; queries are the first 50 ids by keyed md5.
+keyed md5 number is below 0.35; queries are the first 200 ids by keyed md5, as many
+as an audit takes.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from plumbline.plans.catalogue import query, table
 from plumbline.session import materialise
 from plumbline.sources.tables import TableSource
 
-SEED, K, N_QUERIES, NPROBE, EF = 1337, 10, 50, 2, 16
+SEED, K, N_QUERIES, NPROBE, EF = 1337, 10, 200, 2, 16
 THRESHOLDS = {"hub_share_top1pct": (0.20, 0.35), "antihub_fraction": (0.25, 0.40)}
 
 
@@ -26,7 +27,8 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries(rows: DataFrame) -> DataFrame:
-    return sampling.sample_ids(rows, N_QUERIES, SEED, "canary").select(F.col("id").alias("qid"), "vec")
+    """The query set, evaluated once."""
+    return materialise(sampling.sample_ids(rows, N_QUERIES, SEED, "canary").select(F.col("id").alias("qid"), "vec"), "queries")
 
 
 def engine(rows: DataFrame, asked: DataFrame, k: int = K) -> DataFrame:
@@ -40,7 +42,7 @@ def rounded(df: DataFrame, *cols: str) -> DataFrame:
 
 _U = "CAST('0x' || substr(md5('1337:{p}:' || {c}), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE"
 _E = f"""e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, label::BIGINT AS cell, {_U.format(p="churn", c="vec_id")} < 0.35 AS deleted FROM embeddings),
-q AS (SELECT id AS qid, v AS qv FROM e ORDER BY {_U.format(p="canary", c="id")}, id LIMIT 50)"""
+q AS (SELECT id AS qid, v AS qv FROM e ORDER BY {_U.format(p="canary", c="id")}, id LIMIT 200)"""
 _CENT = """cent AS (SELECT cell, list(m ORDER BY pos) AS c FROM (SELECT cell, pos, avg(x) AS m FROM (SELECT cell, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM e) GROUP BY 1, 2) GROUP BY 1),
 probed AS (SELECT qid, qv, cell FROM (SELECT qid, qv, cent.cell, row_number() OVER (PARTITION BY qid ORDER BY round(1 - list_dot_product(qv, c), 12), cent.cell) AS r FROM q, cent) WHERE r <= 2)"""
 
@@ -161,7 +163,7 @@ def canary_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _BOOT = f"""{_WITH_CANARY}, i AS (SELECT recall_dist AS v, row_number() OVER (ORDER BY qid) - 1 AS i FROM per),
-d AS (SELECT b, CAST(floor(CAST('0x' || substr(md5('1337:' || b || ':' || j), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE * 50) AS BIGINT) AS i FROM range(1000) x(b), range(50) y(j)),
+d AS (SELECT b, CAST(floor(CAST('0x' || substr(md5('1337:' || b || ':' || j), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE * n) AS BIGINT) AS i FROM range(1000) x(b), (SELECT unnest(range(0, count(*))) AS j, count(*) AS n FROM i) y),
 m AS (SELECT b, avg(v) AS m FROM d JOIN i USING (i) GROUP BY 1)
 SELECT round((SELECT avg(v) FROM i), 6) AS mean, round(least(quantile_cont(m, 0.025), (SELECT avg(v) FROM i)), 6) AS ci_low, round(greatest(quantile_cont(m, 0.975), (SELECT avg(v) FROM i)), 6) AS ci_high FROM m"""
 
@@ -524,7 +526,7 @@ def scene_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _BATCH = """b AS (SELECT id, min(struct_pack(t := loaded_at, v := vec)).v::DOUBLE[] AS v FROM vector_batch WHERE id IS NOT NULL AND len(vec) = 48 GROUP BY 1),
 f AS (SELECT id, v FROM b WHERE len(list_filter(v, lambda x: x IS NOT NULL AND isfinite(x))) = 48)"""
-_PICK = f"q AS (SELECT id AS qid, v AS qv FROM u ORDER BY {_U.format(p='canary', c='id')}, id LIMIT 50)"
+_PICK = f"q AS (SELECT id AS qid, v AS qv FROM u ORDER BY {_U.format(p='canary', c='id')}, id LIMIT 200)"
 
 
 def batches(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -109,10 +109,15 @@ def json_schema() -> dict:
             "evidence_strength": {"enum": ["high", "medium", "low"]}, "explanation": text, "unavailable_reason": {"type": ["string", "null"]},
         },
     }
+    count = {"type": ["integer", "null"]}
+    closed = lambda required, **properties: {"type": "object", "additionalProperties": False, "required": required, "properties": properties}
+    target = closed(["engine", "index_name", "metric_space"], engine=text, index_name=text, index_kind=text, metric_space={"enum": ["COSINE", "L2", "DOT"]}, dimension={"type": "integer", "minimum": 0}, location=text, version=text)
+    run = closed([], seed={"type": "integer"}, started_at={"type": "string", "format": "date-time"}, duration_seconds={"type": "number", "minimum": 0}, tool_version=text, config={"type": "object"})
+    counts = closed([], live=count, deleted=count, total=count, indexed=count, degenerate=count, exact={"type": "boolean"})
     return {
         "$schema": "https://json-schema.org/draft/2020-12/schema", "type": "object", "additionalProperties": False,
         "required": ["target", "run", "counts", "metrics", "verdict", "schema_version"],
-        "properties": {"target": {"type": "object"}, "run": {"type": "object"}, "counts": {"type": "object"}, "metrics": {"type": "array", "items": metric}, "verdict": {"enum": list(EXIT)}, "warnings": {"type": "array", "items": text}, "schema_version": text},
+        "properties": {"target": target, "run": run, "counts": counts, "metrics": {"type": "array", "items": metric}, "verdict": {"enum": list(EXIT)}, "warnings": {"type": "array", "items": text}, "schema_version": text},
     }
 
 
