@@ -195,8 +195,9 @@ def encode_texts(documents: DataFrame, ranks_file: bytes, key: str = "doc_id", t
     return plain.unionByName(joined).withColumnRenamed("k", key)
 
 
-def count_tokens(documents: DataFrame, ranks_file: bytes, keep: list[str], text: str = "text") -> DataFrame:
-    """``documents`` reduced to ``keep`` and ``n_tokens``; null and empty texts have 0. The ids do not leave the Python workers."""
+def count_tokens(documents: DataFrame, ranks_file: bytes, keep: list[str], text: str = "text", long: int = LONG) -> DataFrame:
+    """``documents`` reduced to ``keep`` and ``n_tokens``; null and empty texts have 0. The ids of short texts do not leave the
+    Python workers; long texts are encoded in parallel by the tree, each different one once."""
     held = documents.sparkSession.sparkContext.broadcast(ranks_file)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,4 +208,8 @@ def count_tokens(documents: DataFrame, ranks_file: bytes, keep: list[str], text:
 
     rows = documents.select(*keep, F.col(text).alias("_text"))
     schema = rows.select(*keep, F.lit(0).cast("bigint").alias("n_tokens")).schema
-    return rows.mapInArrow(count, schema)
+    short = rows.filter(F.col("_text").isNull() | (F.length("_text") <= long)).mapInArrow(count, schema)
+    lengthy = rows.filter(F.length("_text") > long).withColumn("_h", F.md5("_text"))
+    each = encode_texts(lengthy.groupBy("_h").agg(F.first("_text").alias("_text")), ranks_file, "_h", "_text", long)
+    counted = lengthy.drop("_text").join(each.select("_h", F.size("ids").cast("bigint").alias("n_tokens")), "_h")
+    return short.unionByName(counted.select(*keep, "n_tokens"))

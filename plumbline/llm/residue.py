@@ -46,18 +46,20 @@ _STATUS = re.compile(r"(?<!\d)[45]\d\d(?!\d)")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿豈-﫿々ー]")
 
 #: What opens any mark of an unfilled value: a quick look saves the search for most texts.
-_OPENS = re.compile(r"\{[\w{%]|\[[\w\[%]|<[\w<%]|«[a-zA-Z]|\$[{A-Z]|#\{|%[\w(=]|@@\w|--[A-Z]|__[_A-Z]|xxx|XXX|undefined|\(T|\(F")
+_OPENS = re.compile(r"&lt;|\{[\w{%!#]|\[[\w\[%*]|<[\w<%?#]|«[a-zA-Z]|\$[{A-Z]|#\{|##[A-Z]|%[\w(=]|@[@A-Z]|!![A-Z]|~~[A-Z]|\|\|[A-Z]|\*\||--[A-Z]|__[_A-Z]|xxx|XXX|undefined|\(T|\(F")
 #: Marks that nothing but a template leaves behind.
 _SLOT = re.compile(
-    r"""\{\{\{?\s*[\w.$\ -]{1,60}\s*\}?\}\} | [$\#]\{[^{}\s]{1,60}\} | (?<![\w{$\#%])\{[^\W\d][\w\ .-]{0,40}\}(?!\}) | %[A-Z][A-Z0-9_]+% | (?<!\S)%[a-z][a-z0-9_]+%(?!\w) | @@\w[\w\ ]{0,40}@@
-    | \[\[\w[\w\ ]{0,40}\]\] | <<\w[\w\ ]{0,40}>> | --[A-Z][A-Z0-9_]+-- | (?<!\w)__[A-Z][A-Z0-9_]+__(?!\w) | \$[A-Z][A-Z0-9_]{2,}\$ | «[a-z][a-z_\ ]{1,40}(?<!\ )» | «[A-Z][A-Z_\ ]{1,40}(?<!\ )»
-    | \[%=?\s*[\w.\ ]{1,60}\s*%\] | \{%=?\s*\w+\s*%\} | <%=?\s*[\w.\ ]{1,60}\s*%> | <[A-Z][A-Z0-9_]*(?:\ [A-Z0-9_]+)*> | %\([a-z_]+\)[sdif] | \[object\ Object\]
-    | \[(?:insert|enter|add|your|name\ of|einfügen|insérer|insertar|inserir|вставить|вставьте|挿入|插入)\b[^\]\n]{0,60}\]
+    r"""\{\{\{?[^{}\n]{1,120}\}?\}\} | [$\#]\{[^{}\s]{1,60}\} | (?<![\w{$\#%])\{[^\W\d][\w\ .-]{0,40}\}(?!\}) | (?<![\w%])%[A-Z][A-Z0-9_]*% | (?<!\S)%[a-z][a-z0-9_]+%(?!\w) | @@\w[\w\ ]{0,40}@@
+    | \[\[\w[\w\ ]{0,40}\]\] | <<\w[\w\ ]{0,40}>> | --[A-Z][A-Z0-9_]+-- | (?<!\w)__[A-Z][A-Z0-9_]+__(?!\w) | \$[A-Z][A-Z0-9_]{2,}\$ | «[a-z][a-z_\ ]{0,40}(?<!\ )» | «[A-Z][A-Z_\ ]{1,40}(?<!\ )»
+    | \[%=?\s*[\w.\ ]{1,60}\s*%\] | \{%=?\s*\w+\s*%\} | <%=?\s*[\w.\ ]{1,60}\s*%> | <[A-Z][A-Z0-9_]*(?:\ [A-Z0-9_]+)*> | %\([a-z_]+\)[sdif] | &lt;\w[\w\ -]{0,60}&gt; | (?<![\w^_}\\{])\{0\}(?!\}) | \*\|[A-Z][A-Z0-9_:]+\|\* | \#\#[A-Z][A-Z0-9_]+\#\# | ~~[A-Z][A-Z0-9_]+~~ | !![A-Z][A-Z0-9_]+!! | \|\|[A-Z][A-Z0-9_]+\|\|
+    | (?<!\S)@[A-Z][A-Z0-9_]+@(?!\w) | \{![\w.]{1,60}\} | \{\#\s*\w{1,60}\s*\#\} | <\#\s*[\w.]{1,60}\s*\#> | <\?=?\s*\$?[\w.>()-]{1,60}\s*\?> | \[\*\w{1,60}\*\] | \[object\ Object\]
+    | <(?:your|my|insert|enter|add)[-_\ ][\w\ -]{1,40}> | <[a-z]+(?:[-_][a-z]+)+>
+    | [\[<](?:insert|enter|add|your|name\ of)\b[^\]>\n]{0,60}[\]>] | [\[<][^\]>\n]{0,60}?(?:fill\ in|goes\ here|einsetzen|einfügen|eintragen|eingeben|ausfüllen|insérer|saisir|remplir|à\ compléter|insertar|rellenar|completar|inserir|preencher|вставить|вставьте|указать|укажите|заполнить|ввести|挿入|入力|記入|插入|填写|填入|输入)[^\]>\n]{0,40}[\]>]
     | \((?:TODO|TBD|FIXME|FILL\ IN)\b[^)\n]{0,60}\) | (?<=\w\ )_{4,}(?!\w) | _{4,}(?=\ \w)""",
     re.X,
 )
 #: Marks that ordinary writing has too.
-_DOUBTFUL = re.compile(r"(?<!\S)%[sdifSD](?!\w)|(?<!\w)[xX]{3,}(?!\w)|(?<!\w)undefined(?!\w)|\[(?:[A-Z][a-zA-Z]*)(?:\ [A-Z][a-zA-Z]*){0,4}\](?!\()")
+_DOUBTFUL = re.compile(r"<[a-z]{3,20}>|(?<![\w{])\{\d{1,2}\}(?!\})|(?<!\S)%[sdifSD](?!\w)|(?<!\w)[xX]{3,}(?!\w)|(?<!\w)undefined(?!\w)|\[(?:[A-Z][a-zA-Z]*)(?:\ [A-Z][a-zA-Z]*){0,4}\](?!\()")
 _GAP = re.compile(r"\n[ \t]*\n")
 _TALK_GAP = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])|\n+")
 
