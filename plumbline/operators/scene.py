@@ -199,6 +199,6 @@ def tour_frames(presets: dict[str, Preset], fps: int = 30, fly: float = 1.6, hol
             t = min(1.0, (j + 1) / n_fly) if j < n_fly else 1.0
             t = t * t * (3 - 2 * t)
             mix = lambda a, b: tuple(x + (y - x) * t for x, y in zip(a, b))  # noqa: B023, E731
-            frames.append({"index": len(frames), "time": len(frames) / fps, "preset": stop.name, "caption": stop.caption, "position": mix(last.position, stop.position), "target": mix(last.target, stop.target), "holding": j >= n_fly})
+            frames.append({"seconds": len(frames) / fps, "eye": mix(last.position, stop.position), "look_at": mix(last.target, stop.target), "stop": stop.name, "text": stop.caption, "arrived": j >= n_fly})
         last = stop
     return frames

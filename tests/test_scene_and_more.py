@@ -54,8 +54,8 @@ def test_colours_cameras_and_tour(spark):
     p = scene.camera_presets(s)
     assert p["overview"].available and p["hub_cluster"].available and not p["antihub_periphery"].available
     frames = scene.tour_frames(p, fps=10)
-    assert frames[0]["preset"] == "overview" and [f["index"] for f in frames] == list(range(len(frames)))
-    assert frames[-1]["position"] == pytest.approx(p["worst_partition"].position)
+    assert frames[0]["stop"] == "overview" and [f["seconds"] for f in frames] == [i / 10 for i in range(len(frames))]
+    assert frames[-1]["arrived"] and frames[-1]["eye"] == pytest.approx(p["worst_partition"].position)
 
 
 def test_projection_signs_scale_and_bounds(spark):
