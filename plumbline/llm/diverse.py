@@ -309,12 +309,12 @@ def _best(scored: DataFrame, plan: DataFrame) -> DataFrame:
     are compared to a millionth; the hash of the id decides between equal ones, as among the leads.
     """
     key = ["run_id", "request_id"]
-    of_class = scored.groupBy(*key, "cls").agg(F.min(F.struct(-F.col("gain"), "u", "id")).alias("_f")).select(*key, F.col("_f.id").alias("id"), F.lit(True).alias("_class"))
-    marked = scored.join(broadcast_if_small(of_class), [*key, "id"], "left")
     u = F.col("u") / F.lit(2.0**64) + 0.5
     step = F.lit(2.0**20)
     lost = (F.floor((F.lit(1.0) - F.least(F.greatest(F.col("gain").cast("double"), F.lit(0.0)), F.lit(1.0))) * step) + u) / (step + 1)
-    order = F.when(F.col("_class"), u / 8).when(F.col("lead"), F.lit(0.125) + u * 0.375).otherwise(F.lit(0.5) + lost / 2)
+    of_class = scored.groupBy(*key, "cls").agg(F.min(lost).alias("_first"))  # a number a class, so Spark aggregates by hash
+    marked = scored.join(broadcast_if_small(of_class), [*key, "cls"])
+    order = F.when(lost == F.col("_first"), u / 8).when(F.col("lead"), F.lit(0.125) + u * 0.375).otherwise(F.lit(0.5) + lost / 2)
     marked = materialise(marked.select(F.concat_ws(":", *key).alias("_g"), *key, "budget", "id", F.least(order, F.lit(1 - 2.0**-40)).alias("_v")), "ordered")
     quotas = plan.select(F.concat_ws(":", *key).alias("_g"), F.col("budget").alias("quota"))
     return first_by_group(marked, quotas, F.col("_v"), "_g").select(*key, "budget", "id")
