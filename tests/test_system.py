@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from plumbline import cli, service
 from plumbline.operators import generate, knn, order_stats
 from plumbline.operators.validate import UsageError
-from plumbline.plans import audit_queries, catalogue, heavy_key_queries  # noqa: F401
+from plumbline.plans import audit_queries, catalogue, heavy_key_queries, scene_queries  # noqa: F401
 from plumbline.plans import report as R
 from plumbline.plans.audit import gate, run_audit
 from plumbline.plans import calibrate
