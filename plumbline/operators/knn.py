@@ -11,10 +11,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.vectors import TIE_DECIMALS, all_finite, distance
-from plumbline.session import broadcast_if_small, materialise
+from plumbline.session import broadcast_if_small, materialise, rows_up_to
 
 #: Queries that may travel with the tasks; larger sets are compared block by block.
 SHIPPED_QUERIES = 20_000
+#: Queries from which a corpus that is no larger than they are travels instead, so that a task finishes its queries.
+MANY_QUERIES = 2_000
 BLOCK_ROWS = 65_536
 #: Memory for the distances of queries to rows that are held at once.
 WORKING_SET_MB = 256
@@ -143,7 +145,7 @@ def exact_knn(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "COSI
     """Exact neighbours of ``queries(qid, vec)`` in ``corpus(id, vec)``.
 
     ``strategy``: "arrow" streams the corpus through one matrix product per batch, with the queries shipped to the tasks
-    if they are at most SHIPPED_QUERIES, else in blocks; "expression" is the same in Catalyst expressions, for small
+    if they are at most SHIPPED_QUERIES, else in blocks; of many queries and a corpus that is no larger, the corpus is shipped; "expression" is the same in Catalyst expressions, for small
     inputs and cross-checks. Self matches (``id = qid``) are excluded before ranking; fewer than ``k`` rows give short
     answers; a repeated id counts once; vectors that are null, of another length than most queries, or hold a number that
     is null or not finite take no part, and such queries have no answer. COSINE is 1 - dot: normalise before. An empty
@@ -156,6 +158,8 @@ def exact_knn(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "COSI
         return rank_top(pairs.select("qid", "id", F.round(distance("qvec", "vec", metric), TIE_DECIMALS).alias("dist")), k)
     asked = queries.limit(SHIPPED_QUERIES + 1).toArrow()
     if asked.num_rows <= SHIPPED_QUERIES:
+        if asked.num_rows > MANY_QUERIES and rows_up_to(corpus, asked.num_rows) <= asked.num_rows:
+            return rank_top(_turned(corpus, queries, asked, k, metric, exclude_self, working_set_mb), k)
         return rank_top(_shipped(corpus, asked, k, metric, exclude_self, working_set_mb), k)
     return rank_top(_blocked(corpus, queries, k, metric, exclude_self, working_set_mb), k)
 
@@ -207,6 +211,22 @@ def _shipped(corpus: DataFrame, asked: pa.Table, k: int, metric: str, exclude_se
     return few_tasks(corpus, len(qids) * k).mapInArrow(run, _SCHEMA)
 
 
+def _turned(corpus: DataFrame, queries: DataFrame, asked: pa.Table, k: int, metric: str, exclude_self: bool, working_set_mb: int) -> DataFrame:
+    """The same with the corpus shipped and the queries streamed: a task sends ``k`` rows for each of its own queries only."""
+    dim = shipped_queries(asked)[1].shape[1]
+    rows = corpus.toArrow()
+    held = corpus.sparkSession.sparkContext.broadcast(matrix(rows.column("id"), rows.column("vec"), None, dim or None))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, x = held.value
+        for b in batches if len(ids) else ():
+            qids, q = matrix(b.column("qid"), b.column("qvec"), None, x.shape[1])
+            found = keep_top(*block_top(qids, q, ids, x, k, metric, exclude_self, working_set_mb), k)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["qid", "id", "dist"])
+
+    return queries.mapInArrow(run, _SCHEMA)
+
+
 def grouped_top(rows: DataFrame, asked: pa.Table, k: int, metric: str, exclude_self: bool = True, flag: str | None = None) -> DataFrame:
     """``(grp, qid, id, dist)`` candidates of ``asked(grp, qid, qvec)`` among the rows ``(grp, id, vec)`` of the same group.
 

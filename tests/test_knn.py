@@ -36,6 +36,11 @@ def test_strategies_and_blocks_agree_with_brute_force(spark, metric, monkeypatch
         want |= {(i, r): j for r, j in enumerate(np.lexsort((np.arange(150), np.round(d, 12)))[:7])}
     assert found(knn.exact_knn(c, q, 7, metric)) == want
     assert found(knn.exact_knn(c, q, 7, metric, strategy="expression")) == want
+    monkeypatch.setattr(knn, "MANY_QUERIES", 5)
+    few = c.filter("id < 20").repartition(3)
+    turned = found(knn.exact_knn(few, q.unionByName(q.limit(3)).repartition(4), 7, metric))
+    monkeypatch.setattr(knn, "MANY_QUERIES", 10**6)
+    assert turned == found(knn.exact_knn(few, q, 7, metric)) and len(turned) == 140
     monkeypatch.setattr(knn, "SHIPPED_QUERIES", 5)
     monkeypatch.setattr(knn, "BLOCK_ROWS", 40)
     assert found(knn.exact_knn(c.repartition(5), q, 7, metric)) == want
