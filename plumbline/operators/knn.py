@@ -156,12 +156,23 @@ def exact_knn(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "COSI
         rows, asked = corpus.filter(all_finite("vec")), broadcast_if_small(queries.filter(all_finite("qvec")))
         pairs = rows.join(asked, (F.size("vec") == F.size("qvec")) & ((F.col("id") != F.col("qid")) if exclude_self else F.col("id").isNotNull()))
         return rank_top(pairs.select("qid", "id", F.round(distance("qvec", "vec", metric), TIE_DECIMALS).alias("dist")), k)
-    asked = queries.limit(SHIPPED_QUERIES + 1).toArrow()
-    if asked.num_rows <= SHIPPED_QUERIES:
-        if asked.num_rows > MANY_QUERIES and rows_up_to(corpus, asked.num_rows) <= asked.num_rows:
-            return rank_top(_turned(corpus, queries, asked, k, metric, exclude_self, working_set_mb), k)
-        return rank_top(_shipped(corpus, asked, k, metric, exclude_self, working_set_mb), k)
-    return rank_top(_blocked(corpus, queries, k, metric, exclude_self, working_set_mb), k)
+    few = min(MANY_QUERIES, SHIPPED_QUERIES)
+    asked = queries.limit(few + 1).toArrow()
+    if asked.num_rows > few:
+        n, dim = _usual(queries)
+        if n <= SHIPPED_QUERIES and rows_up_to(corpus, n) <= n:
+            return rank_top(_turned(corpus, queries, dim, k, metric, exclude_self, working_set_mb), k)
+        if n > SHIPPED_QUERIES:
+            return rank_top(_blocked(corpus, queries, dim, k, metric, exclude_self, working_set_mb), k)
+        asked = queries.toArrow()
+    return rank_top(_shipped(corpus, asked, k, metric, exclude_self, working_set_mb), k)
+
+
+def _usual(queries: DataFrame) -> tuple[int, int | None]:
+    """Rows, and the length that most vectors have, the smaller one of equally usual ones."""
+    sizes = queries.groupBy(F.coalesce(F.size("qvec"), F.lit(-1)).alias("d")).agg(F.count(F.lit(1)).alias("n")).collect()  # a row a length
+    usual = [(-r["n"], r["d"]) for r in sizes if r["d"] > 0]
+    return sum(r["n"] for r in sizes), min(usual)[1] if usual else None
 
 
 def exact_knn_within(corpus: DataFrame, queries: DataFrame, k: int, metric: str, seconds: float, slices: int = 16, working_set_mb: int = WORKING_SET_MB) -> tuple[DataFrame, bool]:
@@ -211,11 +222,10 @@ def _shipped(corpus: DataFrame, asked: pa.Table, k: int, metric: str, exclude_se
     return few_tasks(corpus, len(qids) * k).mapInArrow(run, _SCHEMA)
 
 
-def _turned(corpus: DataFrame, queries: DataFrame, asked: pa.Table, k: int, metric: str, exclude_self: bool, working_set_mb: int) -> DataFrame:
+def _turned(corpus: DataFrame, queries: DataFrame, dim: int | None, k: int, metric: str, exclude_self: bool, working_set_mb: int) -> DataFrame:
     """The same with the corpus shipped and the queries streamed: a task sends ``k`` rows for each of its own queries only."""
-    dim = shipped_queries(asked)[1].shape[1]
     rows = corpus.toArrow()
-    held = corpus.sparkSession.sparkContext.broadcast(matrix(rows.column("id"), rows.column("vec"), None, dim or None))
+    held = corpus.sparkSession.sparkContext.broadcast(matrix(rows.column("id"), rows.column("vec"), None, dim))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, x = held.value
@@ -291,16 +301,13 @@ def keep_flagged(qid: np.ndarray, ids: np.ndarray, dist: np.ndarray, flag: np.nd
     return a, r, d, flag[_place(ids, r)] if len(r) else np.empty(0, bool)
 
 
-def _blocked(corpus: DataFrame, queries: DataFrame, k: int, metric: str, exclude_self: bool, working_set_mb: int) -> DataFrame:
+def _blocked(corpus: DataFrame, queries: DataFrame, dim: int | None, k: int, metric: str, exclude_self: bool, working_set_mb: int) -> DataFrame:
     blocks = max(1, -(-corpus.count() // BLOCK_ROWS))
     rows = corpus.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     q_blocks = max(1, -(-queries.count() // BLOCK_ROWS))
     rows = rows.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
     asked = queries.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(q_blocks)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
-    usual = queries.filter(F.size("qvec") > 0).groupBy(F.size("qvec").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    dim = usual["d"] if usual else None
-
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
         found = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
         if a.num_rows and b.num_rows:
