@@ -106,8 +106,10 @@ _OF = {
     "script": frozenset({"script", "scripts", "switch", "around_script", "around"}),
     "filler": frozenset({"filler", "write", "here", "around_filler", "around"}),
 }
+#: A word after which a value is expected, or a letter of a language that is written without blanks.
+_GIVES_VALUE = re.compile(rf"(?i:(?:^|[^\w])(?:{'|'.join(map(re.escape, W.BEFORE_VALUES.split()))})\s)$|[぀-ヿ㐀-鿿]\s?$")
 _FUNCTION = frozenset(W.FUNCTION_WORDS.split())
-_NO_SLOTS = frozenset(_listed(W.BRACKETED))
+_NO_SLOTS, _VALUE_NAMES = frozenset(_listed(W.BRACKETED)), frozenset(W.VALUE_NAMES.split())
 _KEYS = re.compile("(?:" + "|".join(re.escape(k) for k in sorted(W.KEY_RUNS.split(), key=len, reverse=True)) + ")+;?")
 _KEY_STARTS = frozenset(k[:3] for k in W.KEY_RUNS.split())
 _LATIN = tuple(sorted(W.LATIN_ENDINGS.split(), key=len, reverse=True))
@@ -140,6 +142,7 @@ def unfilled(text: str) -> list[tuple[int, int]]:
         at = text.index(sentence, at)
         bare = _QUOTED.sub(" ", sentence)
         strong, weak = _SLOT.search(bare), [m for m in _DOUBTFUL.finditer(bare) if _lower(m.group().strip("[]")) not in _NO_SLOTS]
+        strong = strong or any(_GIVES_VALUE.search(bare[max(0, m.start() - 12) : m.start()]) and (m.group()[0] != "[" or _VALUE_NAMES & set(_lower(m.group()[1:-1]).split())) for m in weak)
         if (strong or weak) and not _LOG.match(sentence) and not _talk().search(_lower(sentence)):
             if _WORD.search(_DOUBTFUL.sub(" ", _SLOT.sub(" ", sentence))):
                 (sure if strong else doubtful).append((at, at + len(sentence)))

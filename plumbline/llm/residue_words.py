@@ -196,3 +196,19 @@ LATIN_ENDINGS = "us um it at et ae unt is ur am em or ibus que isi io quam oris
 BRACKETED = """
 home | end | enter | return | esc | escape | tab | shift | ctrl | control | alt | delete | insert | backspace | space | up | down | left | right | page up | page down | note | notes | sic | figure | table | citation needed | edit | source | sources | applause | laughter | music | ok | cancel | yes | no | menu | back | next | close | open | save | print | search | help
 """
+
+#: Words that announce a value.
+BEFORE_VALUES = """
+of from by at on until within than for since near with after before between about under over against via per
+von vom bei um am bis seit aus mit nach zwischen gegen über unter
+de du des à au depuis dans avec avant après vers jusqu'à entre
+del desde hasta con entre hacia
+do da dos das em até com desde entre
+от до из за по после между около
+"""
+
+#: Names of values, which stand in brackets where the value was left out.
+VALUE_NAMES = """
+date time clock day month year week hour minutes seconds duration name names owner author client customer company team person title subject address street city country phone email number count total amount sum price
+percent share rate score value version id index path url link target source file size rows reason cause unit setting
+"""

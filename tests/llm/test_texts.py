@@ -123,7 +123,7 @@ RESIDUE = [
     "Add a short summary here.", "ACCESS DENIED. LOG IN AGAIN.",
     "Please enable cookies to continue.", "Verify you are human to go on.", "Under construction", "Whoops! That page has vanished.", "Checking your browser before you can continue.", "Diese Seite ist im Aufbau.",
     "Cette page est en construction.", "Esta página está en construcción.", "Página em construção.", "Доступ ограничен.", "このページは工事中です。", "页面走丢了。", "Sans JavaScript, cette page ne peut pas s'afficher.", "Content to be announced.",
-    "Hello *|FNAME|*, welcome back.", "Your order ##ORDER_NO## has left.", "Dear {!Contact.Name}, we wrote to you.", "The owner is <?= $owner ?> since May.", "Version @VERSION@ is out.", "Row {0} of {1} was read twice.", "The report of &lt;owner&gt; is late.", "The largest has {{ total | default('') }} rows.", "It took {0} minutes longer.", "The snapshot of <your-index-name> is old.", "Laut [owner hier einsetzen] sank der Wert.", "Le rapport de [nom à insérer] manque.", "With %N% queries the picture is clear.",
+    "Hello *|FNAME|*, welcome back.", "Your order ##ORDER_NO## has left.", "Dear {!Contact.Name}, we wrote to you.", "The owner is <?= $owner ?> since May.", "Version @VERSION@ is out.", "Row {0} of {1} was read twice.", "The report of &lt;owner&gt; is late.", "The largest has {{ total | default('') }} rows.", "It took {0} minutes longer.", "One tenant out of [Count] was slow.", "By [Clock] the count was right again.", "The share rose from undefined at noon.", "The snapshot of <your-index-name> is old.", "Laut [owner hier einsetzen] sank der Wert.", "Le rapport de [nom à insérer] manque.", "With %N% queries the picture is clear.",
     "The run of %(date)s ended with %(verdict)s.", "It took xxxx minutes and read xxxx rows.", "From undefined to undefined the share rose.",
 ]
 CONTENT = [
@@ -135,7 +135,7 @@ CONTENT = [
     "The value was undefined in the specification, so every engine chose its own. Later versions settled it. The tests now check the order of ties. Nobody has reported a difference since. The note stays for the record.",
     "Section XXX covers the Roman numerals and their use in old catalogues.", "The scanner reads %s of the file before it decides.", "Use [Home] to go back and [End] to see the last chunk of the scene.",
     "The alert uses {{ $labels.index }} and the collector fills it in.", "Chapter one tells of the night the index was lost.\n\nPage not found.\n\n" + "The team looked through every log they had and wrote down what they saw, hour by hour. " * 60,
-    "Long report. " * 400 + "The recall of {{name}} fell.", "## Notes\n\nThe set {1} has one element.", "Mail anna@HOST.example or ask at the desk.",
+    "Long report. " * 400 + "The recall of {{name}} fell.", "## Notes\n\nThe set {1} has one element.", "Mail anna@HOST.example or ask at the desk.", "The field [Next Run] stays empty.", "Press [Enter] after [Tab] to go on.", "A proof was given by [Knuth] in an older book.", "See the table of [Sources] at the end.",
 ]
 
 
