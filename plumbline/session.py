@@ -111,6 +111,8 @@ def _width(kind: T.DataType, c: Column) -> Column:
         if isinstance(kind.elementType, T.StringType | T.BinaryType | T.ArrayType | T.StructType | T.MapType):
             return F.coalesce(F.aggregate(c, F.lit(16).cast("bigint"), lambda s, x: s + _width(kind.elementType, x)), F.lit(16))
         return F.greatest(F.size(c), F.lit(0)) * 8 + 16
+    if isinstance(kind, T.MapType):
+        return F.greatest(F.size(c), F.lit(0)) * 64 + 16
     if isinstance(kind, T.StructType):
         return sum((_width(f.dataType, c.getField(f.name)) for f in kind.fields), F.lit(8))
     return F.lit(8)
@@ -118,7 +120,8 @@ def _width(kind: T.DataType, c: Column) -> Column:
 
 def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
     """Whether a table may be broadcast: its rows and bytes are counted, no further than the bound."""
-    width = sum((_width(f.dataType, F.col(f"`{f.name}`")) for f in df.schema.fields), F.lit(0))
+    quoted = lambda name: "`" + name.replace("`", "``") + "`"
+    width = sum((_width(f.dataType, F.col(quoted(f.name))) for f in df.schema.fields), F.lit(0))
     r = df.limit(rows + 1).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(width.cast("bigint")), F.lit(0)).alias("b")).first()
     return r["n"] <= rows and r["b"] <= size
 

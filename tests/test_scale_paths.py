@@ -30,6 +30,8 @@ def test_broadcasts_are_bounded_by_rows_and_by_bytes(spark):
     wide = spark.range(50).select("id", F.expr("array_repeat(1.0f, 1000)").alias("v"), F.lit("é" * 10).alias("s"), F.struct(F.lit(None).cast("string").alias("x")).alias("t"))
     assert session.small_enough(wide) and session.small_enough(wide.limit(0))
     assert not session.small_enough(wide, rows=49) and not session.small_enough(wide, size=300_000)
+    odd = spark.createDataFrame([(1, {"a": 1}, [["x", None], None])], "`a.``b` int, m map<string,int>, n array<array<string>>")
+    assert session.small_enough(odd) and not session.small_enough(odd, size=50)
 
 
 def test_settled_rows_are_the_same_in_memory_and_on_disk(spark, monkeypatch):
