@@ -57,6 +57,9 @@ def test_an_audit_from_source_to_gate(spark):
     assert by["dfi"].state == "FAIL" and by["dfi"].value == pytest.approx(0.35) and rep.verdict == "FAIL"
     assert by["hub_share_top1pct"].unavailable_reason == "sample_too_small"
     assert by["canary_recall"].value is not None and by["canary_recall"].evidence_strength == "low" and by["canary_recall"].detail["ci95"][0] <= by["canary_recall"].value
+    schema, doc = R.json_schema()["properties"], json.loads(R.to_json(rep))
+    assert all(set(doc[part]) <= set(schema[part]["properties"]) and set(schema[part]["required"]) <= set(doc[part]) and not schema[part]["additionalProperties"] for part in ("target", "run", "counts"))
+    assert all(set(m) <= set(schema["metrics"]["items"]["properties"]) for m in doc["metrics"]) and set(doc) <= set(schema)
     again = run_audit(src, cfg, {"nprobe": 1, "ef_budget": 8})
     volatile = lambda r: R.to_json(R.Report(r.target, {}, r.counts, r.metrics, r.verdict, r.warnings))
     assert volatile(rep) == volatile(again)
